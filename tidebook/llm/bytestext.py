@@ -16,7 +16,7 @@ U64 = np.uint64
 _BASE, _MASK = 0x9E3779B97F4A7C15 | 1, (1 << 64) - 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _STEP = 1 << 18  # bytes hashed at once
-_BLOCK = 1 << 22  # bytes of text handled at once
+_BLOCK = 1 << 20  # bytes of text handled at once
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -44,7 +44,7 @@ def column_bytes(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 def blocks(batch: pa.RecordBatch, text: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Cut a batch into runs of rows of about four megabytes of text (a longer text is a run of its own)."""
+    """Cut a batch into runs of rows of about a megabyte of text (a longer text is a run of its own)."""
     data, offsets = column_bytes(batch.column(batch.schema.get_field_index(text)))
     low, n = 0, batch.num_rows
     while low < n:

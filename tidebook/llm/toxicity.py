@@ -57,12 +57,13 @@ def grams(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None = Non
     return key >> BITS, key & ((1 << BITS) - 1)
 
 
-def ratios(index: np.ndarray, toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
-    """Scale of each feature: its log-count ratio, or 0 where it is too rare or too even."""
-    r = np.log((toxic + 1) / (n_toxic + 2)) - np.log((clean + 1) / (n_clean + 2))
-    r[(toxic + clean < MIN_TEXTS) | (np.abs(r) < MIN_RATIO)] = 0
+def scales(counted: DataFrame, n_toxic: int, n_clean: int) -> np.ndarray:
+    """Scale of each feature: its log-count ratio, or 0 where it is too rare or too even (those stay on the executors)."""
+    ratio = F.log((F.col("toxic") + 1) / F.lit(n_toxic + 2)) - F.log((F.col("clean") + 1) / F.lit(n_clean + 2))
+    rows = counted.where(F.col("index") < 1 << BITS).select("index", (F.col("toxic") + F.col("clean")).alias("n"), ratio.alias("r"))
+    table = rows.where((F.col("n") >= MIN_TEXTS) & (F.abs("r") >= MIN_RATIO)).select("index", "r").toPandas()  # 2 ** BITS rows at most
     out = np.zeros(1 << BITS)
-    out[index] = r
+    out[table["index"].to_numpy()] = table["r"].to_numpy()
     return out
 
 
@@ -84,15 +85,14 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", max_row
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[1, seen]), pa.array(counts[0, seen])], ["index", "toxic", "clean"])
 
     counted = rows.mapInArrow(frequencies, "index long, toxic long, clean long").groupBy("index").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    table = staged(counted, "toxic-counts").toPandas()  # 2 ** BITS rows at most
-    whole = table[table["index"] == 1 << BITS]
-    n_toxic, n_clean = int(whole["toxic"].sum()), int(whole["clean"].sum())
-    weights = np.zeros((1 << BITS) + 1)
+    counted = staged(counted, "toxic-counts")
+    whole = counted.where(F.col("index") == 1 << BITS).first()
+    n_toxic, n_clean = (whole.toxic, whole.clean) if whole else (0, 0)
     if not n_toxic or not n_clean:
+        weights = np.zeros((1 << BITS) + 1)
         weights[-1] = 30.0 * (n_toxic > 0) - 30.0 * (n_clean > 0)
         return weights
-    table = table[table["index"] < 1 << BITS]
-    scale = spark.sparkContext.broadcast(ratios(*(table[c].to_numpy() for c in ("index", "toxic", "clean")), n_toxic, n_clean))
+    scale = spark.sparkContext.broadcast(scales(counted, n_toxic, n_clean))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = scale.value != 0
