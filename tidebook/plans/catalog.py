@@ -561,6 +561,33 @@ def x4_arrival_rate(spark, d):
     return alerts.arrival_rate(rows, "ts", 60, 10).select(F.unix_millis("window_start").alias("window_ms"), "events", "per_second")
 
 
+def o13_components_down(spark, d):
+    probes = _probes(spark, d).where("probe_id % 13 < 9").withColumn("ts", F.col("ts").cast("timestamp"))
+    as_of = F.lit(_table(spark, d, "events").agg(F.max("ts").cast("timestamp").alias("t")).first().t)  # one row
+    return alerts.components_down(probes, as_of, 1).withColumn("since", F.col("since").cast("timestamp_ntz"))
+
+
+def w7_batch_attempts(spark, d):
+    """The log of attempts folded to a row a batch; attempts come from the event stream."""
+    e = _table(spark, d, "events")
+    log = e.select(F.col("event_type").alias("pipeline"), F.lit("e1").alias("stream_epoch"), F.col("user_id").alias("batch_id"), F.col("event_id").alias("attempt_id"), F.col("ts").alias("started_at"), "value")
+    return batchlog.latest_attempts(log).select("pipeline", "batch_id", "attempt_id", "attempts", "value")
+
+
+def r18_benchmark_runs(spark, d):
+    """Newest runs with the limits they were held to."""
+    runs = benchstats.iteration_summary(_iterations(spark, d)).withColumn("within", (F.col("loss_rate") <= 0.01) & (F.col("error_rate") <= 0.1))
+    return batchlog.newest(runs, "last_commit_ms", 20, "user_id").select("user_id", "last_commit_ms", "loss_rate", "within")
+
+
+def s17_live_tap(spark, d):
+    """Identifiers of any record, whatever its state."""
+    from tidebook.streaming.stream import live_tap
+
+    rows = live_tap(feed.as_envelopes(_changes(spark, d)))
+    return rows.select(F.col("partition").alias("kafka_partition"), F.col("offset").alias("kafka_offset"), "op", "lsn", "malformed", "tombstone")
+
+
 # ---- scalars --------------------------------------------------------------------------------------------------------
 
 

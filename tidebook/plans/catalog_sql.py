@@ -140,7 +140,7 @@ reach(id, depth) USING KEY (id) AS (
 _ITER = """
 it AS (
   SELECT user_id, count(*) + user_id % 3 AS expected, count(*) AS observed, count(*) FILTER (event_id % 5 = 0) AS dup, count(*) FILTER (event_id % 11 = 0) AS dlq,
-    epoch_ms(min(ts)) AS t0, epoch_ms(max(ts)) AS t1
+    epoch_us(min(ts)) // 1000 AS t0, epoch_us(max(ts)) // 1000 AS t1
   FROM events GROUP BY user_id),
 su AS (
   SELECT user_id, observed / greatest((t1 - t0) / 1000.0, 1e-9) AS throughput_eps, greatest(expected - observed, 0) / greatest(expected, 1) AS loss_rate,
@@ -202,7 +202,7 @@ def oracle_sql() -> dict[str, str]:
         "a4_freshness": f"WITH {_COMMITTED} SELECT batch AS batch_id, quantile_cont((commit_ms - ts_ms) / 1000.0, 0.5) AS p50, quantile_cont((commit_ms - ts_ms) / 1000.0, 0.95) AS p95, max((commit_ms - ts_ms) / 1000.0) AS longest, count(*) AS events FROM k WHERE outcome = 'applied' GROUP BY batch",
         "a5_statistics": "SELECT event_type, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, quantile_cont(value, 0.99) AS p99, avg(value) AS mean, coalesce(stddev_samp(value), 0) AS stddev, min(value) AS smallest, max(value) AS largest, count(value) AS samples FROM events GROUP BY event_type",
         "a6_repeated_keys": f"WITH {_FEED} SELECT count(*) - count(DISTINCT eid) AS value FROM f",
-        "a8_batch_totals": f"WITH {_LOG} SELECT CAST(sum(n) AS BIGINT) AS input_rows, CAST(sum(dlq_rows) AS BIGINT) AS dlq_rows, CAST(sum(duplicates) AS BIGINT) AS duplicates, CAST(sum(applied) AS BIGINT) AS applied, CAST(sum(superseded) AS BIGINT) AS superseded, CAST(sum(stale) AS BIGINT) AS stale, CAST(sum(late_rows) AS BIGINT) AS late_rows, CAST(sum(commit_retries) AS BIGINT) AS commit_retries, count(*) AS batches, max(commit_ms) AS last_commit_ms FROM log WHERE commit_ms >= {start} + 2000000",
+        "a8_batch_totals": f"WITH {_LOG} SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS input_rows, CAST(coalesce(sum(dlq_rows), 0) AS BIGINT) AS dlq_rows, CAST(coalesce(sum(duplicates), 0) AS BIGINT) AS duplicates, CAST(coalesce(sum(applied), 0) AS BIGINT) AS applied, CAST(coalesce(sum(superseded), 0) AS BIGINT) AS superseded, CAST(coalesce(sum(stale), 0) AS BIGINT) AS stale, CAST(coalesce(sum(late_rows), 0) AS BIGINT) AS late_rows, CAST(coalesce(sum(commit_retries), 0) AS BIGINT) AS commit_retries, count(*) AS batches, max(commit_ms) AS last_commit_ms FROM log WHERE commit_ms >= {start} + 2000000",
         "a11_fingerprint": f"WITH {_SILVER}, g AS (SELECT CAST(concat('0x', substr(md5(concat_ws('|', pk, o_orderstatus, amount, is_deleted, top)), 1, 15)) AS BIGINT) AS d FROM s) SELECT count(*) AS row_count, bit_xor(d) AS xor_digest, CAST(CAST(sum(d) AS HUGEINT) AS VARCHAR) AS sum_digest FROM g",
         "a14_consumer_lag": f"WITH {_FEED} SELECT CAST(sum(greatest(e - coalesce(c, 0), 0)) AS BIGINT) AS total_lag, count(*) AS partitions FROM (SELECT part, max(off) + 1 AS e, max(off) FILTER (batch <= 5) + 1 AS c FROM f GROUP BY part)",
         "s12_end_offsets": f"WITH {_FEED} SELECT 'cdc.shop.orders' AS kafka_topic, part AS kafka_partition, max(off) + 1 AS end_offset FROM f GROUP BY part",
@@ -262,6 +262,10 @@ def oracle_sql() -> dict[str, str]:
         "o10_file_sizes": f"WITH {_LOG} SELECT 'orders' AS pipeline, sum(n * 120) / sum(batch + 1) AS bytes_per_file FROM log",
         "o12_replication_lag": "SELECT c_custkey AS slot, c_custkey * c_nationkey * 10000000 AS lag_bytes, c_custkey * c_nationkey * 10000000 > 268435456 AS firing FROM customer WHERE c_nationkey < 10",
         "x4_arrival_rate": "SELECT w AS window_ms, count(*) AS events, count(*) / 60 AS per_second FROM (SELECT epoch_us(ts) // 10000000 * 10000 - k * 10000 AS w FROM events CROSS JOIN range(6) t(k)) GROUP BY w",
+        "o13_components_down": f"WITH {_PROBES}, q AS (SELECT * FROM pr WHERE probe_id % 13 < 9), x AS (SELECT *, lag(status) OVER (PARTITION BY component ORDER BY ts, probe_id) AS previous FROM q), y AS (SELECT component, arg_max(status, (ts, probe_id)) AS status FROM q GROUP BY component), z AS (SELECT component, max(ts) AS since FROM x WHERE previous IS NULL OR previous <> status GROUP BY component) SELECT component, status, since FROM y JOIN z USING (component) WHERE status <> 'healthy' AND since <= (SELECT max(ts) FROM events) - INTERVAL 1 SECOND",
+        "w7_batch_attempts": "SELECT event_type AS pipeline, user_id AS batch_id, event_id AS attempt_id, attempts, value FROM (SELECT *, count(*) OVER (PARTITION BY event_type, user_id) AS attempts, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1",
+        "r18_benchmark_runs": f"WITH {_ITER} SELECT user_id, t1 AS last_commit_ms, loss_rate, loss_rate <= 0.01 AND error_rate <= 0.1 AS within FROM su JOIN it USING (user_id) ORDER BY t1 DESC, user_id LIMIT 20",
+        "s17_live_tap": f"WITH {_FEED} SELECT CAST(part AS INTEGER) AS kafka_partition, off AS kafka_offset, CASE WHEN pk % 73 = 0 OR pk % 101 = 0 THEN NULL WHEN pk % 89 = 0 THEN 't' ELSE op END AS op, CASE WHEN pk % 73 <> 0 AND pk % 101 <> 0 THEN lsn END AS lsn, pk % 73 = 0 OR pk % 101 = 0 AS malformed, false AS tombstone FROM f",
         "k14_lsn_text": "SELECT o_orderkey, o_orderkey * 987654321 AS lsn, concat(printf('%X', (o_orderkey * 987654321) >> 32), '/', printf('%X', (o_orderkey * 987654321) & 4294967295)) AS lsn_text, o_orderkey * 987654321 AS lsn_back FROM orders",
         "k3_positions": f"WITH {_FEED} SELECT eid AS event_id, off AS kafka_offset, concat(lpad(CAST(part AS VARCHAR), 5, '0'), ':', lpad(CAST(off AS VARCHAR), 20, '0')) AS position, sha256(concat('shop.orders|', pk, '|', lsn)) AS digest FROM f",
         "k12_times": "SELECT o_orderkey, strftime(o_orderdate - INTERVAL 2 HOUR, '%Y-%m-%dT%H:%M:%S.123456Z') AS utc, epoch_ms(date_trunc('second', o_orderdate)) - 7200000 + 123 AS ms FROM orders",
