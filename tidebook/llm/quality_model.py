@@ -82,6 +82,11 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tuple[n
     return np.searchsorted(owner, np.arange(n_texts + 1)), index, value
 
 
+def passes(rows: int) -> int:
+    """Passes over a sample: a small one is seen more often."""
+    return max(4, min(30, 50_000 // max(1, rows)))
+
+
 def ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], bits: int = BITS, epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.05) -> np.ndarray:
     """FTRL-proximal logistic regression; the last weight is the bias."""
     n = (1 << bits) + 1
@@ -138,7 +143,7 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", max_r
         sample.sort(key=lambda r: (r[0], r[1]))
         positive = sum(r[1] for r in sample)
         if 0 < positive < len(sample):
-            w = ftrl([r[1:] for r in sample])
+            w = ftrl([r[1:] for r in sample], epochs=passes(len(sample)))
         else:
             w = np.zeros((1 << BITS) + 1)
             w[-1] = 0.0 if not sample else (30.0 if positive else -30.0)

@@ -1,6 +1,6 @@
 """Toxicity: a linear classifier on character n-grams whose features are scaled by naive Bayes log-count ratios.
 
-Features are hashed n-grams of three to five characters (A-Z lowered), present or not.  On at most ``max_rows`` labelled
+Features are hashed n-grams of three, five and seven characters (A-Z lowered), present or not.  On at most ``max_rows`` labelled
 rows (those of least hash, whole texts) the log ratio of a feature's smoothed share among toxic texts to its share among the
 others is its scale; features of a ratio near zero, or of fewer than ``MIN_TEXTS`` texts, carry no weight.  A logistic
 regression is then learnt on the scaled features by follow-the-regularised-leader, in one task over the bounded sample.
@@ -20,11 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebook.llm import bytestext as bt
-from tidebook.llm.quality_model import ftrl, labelled_sample, logistic
+from tidebook.llm.quality_model import ftrl, labelled_sample, logistic, passes
 from tidebook.llm.shared import staged
 
-BITS, SIZES = 20, (3, 4, 5)
+BITS, SIZES = 21, (3, 5, 7)
 MIN_TEXTS, MIN_RATIO = 4, 1.0
+CUT = 0.7
 
 
 def grams(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -118,14 +119,21 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", max_row
 
 
 def fit(sample: list[tuple[int, np.ndarray]], scale: np.ndarray) -> np.ndarray:
-    w = ftrl([(y, i, scale[i] * 0.1) for y, i in sample], BITS, epochs=5, alpha=0.5, l1=0.2, l2=1.0)
+    """Weights times scales.  The bias is then moved so that the score ``CUT`` lies halfway between the highest clean and the
+    lowest toxic texts of the sample (their outer hundredths left aside): short texts have few features and low sums."""
+    w = ftrl([(y, i, scale[i] * 0.1) for y, i in sample], BITS, epochs=passes(len(sample)), alpha=0.5, l1=0.05, l2=0.1)
     w[:-1] *= scale * 0.1
+    sums = np.array([w[i].sum() for _, i in sample])
+    toxic = np.array([y for y, _ in sample]) == 1
+    high, low = np.quantile(sums[~toxic], 0.999), np.quantile(sums[toxic], 0.01)
+    if low > high:
+        w[-1] = np.log(CUT / (1 - CUT)) - (high + low) / 2
     return w
 
 
 def score(documents: DataFrame, weights: np.ndarray, doc_id: str = "doc_id", text: str = "text", out: str = "score") -> DataFrame:
     """doc_id and the score of each whole text."""
-    shared = documents.sparkSession.sparkContext.broadcast(weights)  # 8 MB: fixed by BITS
+    shared = documents.sparkSession.sparkContext.broadcast(weights)  # 16 MB: fixed by BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
