@@ -52,8 +52,10 @@ def _silver(planned: DataFrame) -> DataFrame:
 
 
 def _decoded(spark: SparkSession, d: str) -> DataFrame:
-    # written out once: several columns of a decoded row are read by what follows
-    return staged(decode(feed.as_envelopes(_changes(spark, d)), SHOP, PII_KEY), "decoded")
+    # decoding is the costly step: a feed of one small file is dealt to all cores first, and the rows are written out once,
+    # as several columns of a decoded row are read by what follows
+    changes = _changes(spark, d).repartition(spark.sparkContext.defaultParallelism)
+    return staged(decode(feed.as_envelopes(changes), SHOP, PII_KEY), "decoded")
 
 
 def _batch_log(committed: DataFrame) -> DataFrame:
