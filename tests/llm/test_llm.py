@@ -144,6 +144,39 @@ def test_secret_ownership(spark):
     assert secret_scan.scan_secrets(docs.where("1 = 0"), F.col("source"), F.col("source")).count() == 0
 
 
+BODY = "\n".join(f"MIIEpAIBAAKCAQEA{k:02d}abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRST" for k in range(9)) + "\nAb3d+/w="
+KEYS = {
+    "whole": f"-----BEGIN RSA PRIVATE KEY-----\n{BODY}\n-----END RSA PRIVATE KEY-----",
+    "with headers": f"-----BEGIN RSA PRIVATE KEY-----\r\nProc-Type: 4,ENCRYPTED\r\nDEK-Info: AES-128-CBC,00FF\r\n\r\n{BODY}\r\n-----END RSA PRIVATE KEY-----",
+    "no end": f"-----BEGIN PRIVATE KEY-----\n{BODY}",
+    "no end, headers": f"-----BEGIN PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\n{BODY}",
+    "escaped": "-----BEGIN PRIVATE KEY-----\\n" + BODY.replace("\n", "\\n") + "\\n-----END PRIVATE KEY-----\\n",
+}
+
+
+@pytest.mark.parametrize("name", list(KEYS))
+def test_private_keys_are_whole(name):
+    key = KEYS[name].removesuffix("\\n")
+    got = [c for c in secret_scan.find_candidates(f"before it\n{key}\nafter it, prose") if c[0] == "pem"]
+    assert [c[1:3] for c in got] == [(10, 10 + len(key))] and got[0][3].endswith(BODY.replace("\n", ""))
+
+
+def test_private_keys_in_a_row_and_without_body():
+    text = KEYS["no end"] + "\n" + KEYS["whole"] + "\nthe line -----BEGIN PRIVATE KEY----- begins a key"
+    assert [text[a:b] for k, a, b, _ in secret_scan.find_candidates(text) if k == "pem"] == [KEYS["no end"], KEYS["whole"], "-----BEGIN PRIVATE KEY-----"]
+    assert secret_scan.find_candidates("-----END PRIVATE KEY-----") == []
+
+
+def test_private_keys_are_cut_out_of_texts(spark, small):
+    import corpus_pipeline
+
+    rows = [(k, f"start {k}\n{key.replace('MIIE', f'MII{k}')}\nrest {k}", "en", f"s{k}", 9) for k, key in enumerate(KEYS.values())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for r in corpus_pipeline.cut_secrets(spark, docs, small).collect():
+        assert r.text.startswith(f"start {r.doc_id}\n[SECRET]") and r.text.endswith(f"\nrest {r.doc_id}")
+        assert "KEY-----" not in r.text and not any(line[8:] in r.text for line in BODY.split("\n")[:-1]) and r.n_chars == len(r.text)
+
+
 def test_redact(spark):
     df = spark.createDataFrame([("aéb SECRET c", [(4, 8), (6, 10)]), ("x", [])], "text string, spans array<struct<start:long,end:long>>")
     assert [r[0] for r in df.select(redact(F.col("text"), F.col("spans"), "[S]")).collect()] == ["aéb [S] c", "x"]

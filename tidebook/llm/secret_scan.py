@@ -2,7 +2,8 @@
 
 Each candidate's value is hashed; over the corpus a value is counted by distinct repositories and distinct owners.  A value
 held by at least ``example_owners`` owners is an example that people copy; any other is live-looking.  Base kinds (assign,
-access, hex) are reported whatever the verdict; the method adds three kinds of its own.
+access, hex) are reported whatever the verdict; the method adds three kinds of its own.  A private key is one candidate from
+its BEGIN to its END line.
 
 The count of a value that a third of all rows hold is pre-aggregated before it is shuffled, and the verdict meets the
 candidates by an equi-join on the hash whose other side has one row a value.  A null text has no spans; a null repository or
@@ -29,11 +30,31 @@ _ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[
 _WORDS = ("pass", "secret", "token", "api")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
-_PEM = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----")
+_PEM = re.compile(r"-----(BEGIN|END) [A-Z ]{0,40}PRIVATE KEY-----")
+_BREAK = r"(?:\s|\\[nr])"  # white space, and line ends that are written out
+_PEM_HEADERS = re.compile(_BREAK + r"*+(?:(?:Proc-Type|DEK-Info):[^\r\n\\]*+" + _BREAK + r"*+)*+")
+_PEM_LINES = re.compile(r"(?:" + _BREAK + r"*+(?:[A-Za-z0-9+/]{40,}+={0,2}|[A-Za-z0-9+/]++={0,2}(?=[\x20\t]*(?:[\r\n\\\"']|\Z))))*+")
+_BREAKS = re.compile(_BREAK)
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+")
 _PREFIXED = re.compile(r"(?<![A-Za-z0-9])(?:ghp_[A-Za-z0-9]{36}|sk_live_[A-Za-z0-9]{16,}|xox[abp]-[A-Za-z0-9-]{20,})")
 
 
+def private_keys(text: str) -> Iterator[tuple[str, int, int, str]]:
+    """Each key from its BEGIN line to its END line, or to the end of its base64 lines where END is missing.  The value is the
+    whole body without white space; a BEGIN line without a body is its own value."""
+    marks = list(_PEM.finditer(text))
+    for m, after in zip(marks, [*marks[1:], None], strict=True):
+        if m[1] == "BEGIN":
+            if after is not None and after[1] == "END":
+                stop, end = after.start(), after.end()
+            else:
+                head = _PEM_HEADERS.match(text, m.end()).end()
+                stop = end = _PEM_LINES.match(text, head).end()
+                if end == head:
+                    stop = end = m.end()
+            yield "pem", m.start(), end, _BREAKS.sub("", text[m.end() : stop]) or m[0]
+
+
 def find_candidates(text: str) -> list[tuple[str, int, int, str]]:
     """(kind, start, end, value) by start, then kind as listed."""
     out: list[tuple[str, int, int, str]] = []
@@ -44,7 +65,7 @@ def find_candidates(text: str) -> list[tuple[str, int, int, str]]:
         out += [("access", *m.span(), m[0]) for m in _ACCESS.finditer(text) if len(m[0]) >= 16]
     out += [("hex", *m.span(), m[0]) for m in _HEX.finditer(text)]
     if "PRIVATE KEY-----" in text:
-        out += [("pem", *m.span(), text[m.end() : m.end() + 128]) for m in _PEM.finditer(text)]
+        out += private_keys(text)
     if "eyJ" in text:
         out += [("jwt", *m.span(), m[0]) for m in _JWT.finditer(text)]
     if "ghp_" in text or "sk_live_" in text or "xox" in text:
