@@ -437,6 +437,21 @@ def test_packing_of_awkward_rows(awkward, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_packing_of_added_tokens(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|> ", "  x  <|endoftext|>\n y, z", "<|endoftext|", "one two<|endoftext|>three. four", "<|endoftext|>" * 1500]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = Counter()
+    for i, t in enumerate(texts):
+        ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 2]
+        cuts = [0, *range(len(ids) % 1024 or 1024, len(ids) + 1, 1024)]
+        want.update((i, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for a, b in zip(cuts[:-1], cuts[1:], strict=True))
+    assert Counter((r.doc_id, r.start, r.length, r.ids_crc32) for r in packing.pack(docs).collect()) == want
+
+
 def test_fullest_bin():
     assert sum(packing.fullest({700: 1, 300: 2, 24: 1, 23: 5}, 1024)) == 1024
     assert packing.fill({5: 3}, 10) == [(1, [5, 5]), (1, [5])]

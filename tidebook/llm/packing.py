@@ -6,13 +6,14 @@ documents: for each bin a bitset subset-sum dynamic programme over the lengths s
 the longest of them, and that combination is taken as often as the counts allow.  Pieces get their rank among those of
 their length from salted windows plus offsets, and a rank finds its bin and place in the list of combinations by binary search.
 
-A null or empty text is the end id alone; repeated rows are pieces of their own; an empty table gives no pieces; extra
+The string of an added token of the tokenizer becomes that token's id, as in ``tokenizers``.  A null or empty text is the end id alone; repeated rows are pieces of their own; an empty table gives no pieces; extra
 columns are not read.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -64,10 +65,11 @@ class Encoder:
     """Ids of whole texts, as little-endian unsigned 32-bit integers.
 
     A single space between two other visible characters always begins a token of the pre-tokenizer's pattern, so such a text
-    is encoded in stretches, which repeat often; any other text is encoded at once.
+    is encoded in stretches, which repeat often; any other text is encoded at once.  The strings of ``added`` tokens are cut
+    out first and become their ids; the parts between are texts of their own.
     """
 
-    def __init__(self, vocabulary: str, pattern: str):
+    def __init__(self, vocabulary: str, pattern: str, added: tuple[tuple[str, int], ...] = ()):
         import tiktoken
 
         with open(vocabulary, "rb") as f:
@@ -75,11 +77,18 @@ class Encoder:
         self.bpe = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.encode = self.bpe._core_bpe.encode_ordinary if hasattr(self.bpe, "_core_bpe") else self.bpe.encode_ordinary
         self.known = _Ids(self.whole)
+        self.added = {token: pack_ids("<I", n) for token, n in added}
+        self.cuts = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
 
     def whole(self, text: str) -> bytes:
         return pack_ids("<%dI" % len(ids := self.encode(text)), *ids)
 
     def __call__(self, text: str) -> bytes:
+        if self.cuts is None or not any(token in text for token in self.added):
+            return self.plain(text)
+        return b"".join(self.added.get(part) or self.plain(part) for part in self.cuts.split(text))
+
+    def plain(self, text: str) -> bytes:
         if not text:
             return b""
         if _RUN.search(text) or text[0].isspace() or text[-1].isspace():
@@ -93,21 +102,26 @@ class Encoder:
         return self.whole(parts[0]) + b"".join(map(self.known.__getitem__, parts[1:]))
 
 
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
+Added = tuple[tuple[str, int], ...]
+_ENCODERS: dict[tuple[str, str, Added], Encoder] = {}
 
 
-def tokenizer_vocabulary(name: str = "byte_bpe_50k") -> tuple[str, str]:
-    """Place of the vocabulary, as ranks, of the public tokenizer ``name``.json, and its pattern."""
+def tokenizer_vocabulary(name: str = "byte_bpe_50k") -> tuple[str, str, Added]:
+    """Place of the vocabulary, as ranks, of the public tokenizer ``name``.json, its pattern and its added tokens."""
     import public_tokenizers
 
-    return public_tokenizers.path(f"{name}.tiktoken"), public_tokenizers.PATTERN
+    with open(public_tokenizers.path(f"{name}.json"), encoding="utf-8") as f:
+        tokens = json.load(f)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in tokens):
+        raise ValueError(f"{name}: added tokens that depend on their neighbours")
+    return public_tokenizers.path(f"{name}.tiktoken"), public_tokenizers.PATTERN, tuple((t["content"], t["id"]) for t in tokens)
 
 
-def cut(documents: DataFrame, capacity: int, vocabulary: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def cut(documents: DataFrame, capacity: int, vocabulary: str, pattern: str, added: Added = (), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each piece; ``row`` tells repeated documents apart."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (vocabulary, pattern)
+        key = (vocabulary, pattern, added)
         encoder = _ENCODERS.get(key) or _ENCODERS.setdefault(key, Encoder(*key))
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
@@ -184,12 +198,12 @@ def places(bins: list[tuple[int, list[int]]]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 4)
 
 
-def pack(documents: DataFrame, capacity: int = 1024, vocabulary: str | None = None, pattern: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(documents: DataFrame, capacity: int = 1024, vocabulary: str | None = None, pattern: str | None = None, added: Added = (), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = documents.sparkSession
     if vocabulary is None:
-        vocabulary, pattern = tokenizer_vocabulary()
-    pieces = staged(cut(documents, capacity, vocabulary, pattern, doc_id, text), "pieces")
+        vocabulary, pattern, added = tokenizer_vocabulary()
+    pieces = staged(cut(documents, capacity, vocabulary, pattern, added, doc_id, text), "pieces")
     salts = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("row", "piece"), F.lit(salts)).cast("int"))
     counts = pieces.groupBy("length", "salt").agg(F.count("*").alias("n"))
