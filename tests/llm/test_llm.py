@@ -398,6 +398,23 @@ def test_decontamination_of_awkward_rows(spark, awkward, empty):
     assert decontaminate.find_contamination(awkward, items.where("1 = 0")).where("n_hit > 0").count() == 0 and decontaminate.find_contamination(empty, items).count() == 0
 
 
+@pytest.mark.parametrize("limits", [{"block_items": 1}, {"block_items": 2}, {"block_bytes": 40}])
+def test_decontamination_of_awkward_rows_in_blocks(spark, awkward, limits):
+    pairs = [(1, "lorem ipsum dolor sit amet lorem ipsum dolor sit amet lorem"), (2, "again"), (3, "Ünïcödé"), (None, "without an id"), (4, "same text here"), (4, "same text here"), (5, "word")]
+    more = [*AWKWARD, (10, "another text again under an id that is there"), (None, "a word and a second row without an id")]
+    rows = awkward.select("doc_id", "text").unionByName(spark.createDataFrame(more[-2:], "doc_id long, text string"))
+    items = spark.createDataFrame(pairs, "item_id long, text string")
+    got = Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in decontaminate.find_contamination(rows, items, **limits).collect())
+    want = Counter({(i, n, hit, tuple(x for x in found if x != "None")): c for (i, n, hit, found), c in plain_hits(more, pairs).items()})
+    assert got == want
+
+
+def test_blocks_of_items_are_bounded():
+    sizes = {3: (4, 10), 5: (5, 10), 6: (1, 90), 9: (20, 5), 30: (1, 5)}
+    assert decontaminate.cut_blocks(sizes, 32, 10, 100) == [(0, 6), (6, 9), (9, 30), (30, 32)]
+    assert decontaminate.cut_blocks({}, 32, 10, 100) == [(0, 32)]
+
+
 # ---- 10 packing -----------------------------------------------------------------------------------------------------
 
 

@@ -6,9 +6,11 @@ may move; where it says 0, the patterns whose last block has that hash are the c
 by hash and then by their bytes, confirms them.  The search runs in lanes: one lane for each stretch of a text as long as
 the largest shift, so that one numpy step moves all lanes.  Patterns of one length are searched together.
 
-The patterns travel to the tasks in blocks of at most ``block_items`` items; each block is a search of its own over all
-documents, and the blocks' hits are united by document where there is more than one.  Null texts have no words; items
-without words have no pattern; repeated rows and items are handled alike; extra columns are not read.
+The patterns travel to the tasks in blocks of at most ``block_items`` items and ``block_bytes`` bytes of text, as far as
+single items allow; each block is a search of its own over all documents.  Where there is more than one, the documents are
+written once with a row number, and the blocks' hits are united by it, so repeated and null ids stay rows of their own.
+Null texts have no words; items without words have no pattern; an item without an id marks words but is not listed; repeated
+rows and items are handled alike; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -23,10 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebook.llm import bytestext as bt
+from tidebook.llm.shared import staged
 
 _TABLE = 1 << 16
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-ROWS = "doc_id long, n_words long, hits array<struct<first:long,last:long>>, items array<string>"
+ROWS = "row long, doc_id long, n_words long, hits array<struct<first:long,last:long>>, items array<string>"
 
 
 def item_words(text: str | None) -> list[bytes]:
@@ -106,17 +109,17 @@ class Patterns:
         return first, np.minimum(first + step, high[text])
 
 
-def compile_patterns(items: list[tuple[str, str | None]], window: int) -> list[Patterns]:
+def compile_patterns(items: list[tuple[str | None, str | None]], window: int) -> list[Patterns]:
     by_length: dict[int, dict[tuple[bytes, ...], set[str]]] = defaultdict(lambda: defaultdict(set))
     for item, text in items:
         words = item_words(text)
         m = min(window, len(words))
         for i in range(len(words) - m + 1 if m else 0):
-            by_length[m][tuple(words[i : i + m])].add(item)
+            by_length[m][tuple(words[i : i + m])].update(() if item is None else (item,))
     return [Patterns(found) for _, found in sorted(by_length.items())]
 
 
-def search_batch(patterns: list[Patterns], ids: list, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
+def search_batch(patterns: list[Patterns], rows: pa.Array, ids: list, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
     data = bt.lowered(data)
     starts, ends, words = bt.runs(data, offsets, bt.ALNUM)
     hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
@@ -139,30 +142,52 @@ def search_batch(patterns: list[Patterns], ids: list, data: np.ndarray, offsets:
                 own.append({"first": low, "last": high})
         spans.append(own)
     kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.diff(words)), pa.array(spans, kind), pa.array([sorted(items.get(t, ())) for t in range(len(ids))], pa.list_(pa.string()))], ["doc_id", "n_words", "hits", "items"])
+    return pa.RecordBatch.from_arrays([rows, pa.array(ids, pa.int64()), pa.array(np.diff(words)), pa.array(spans, kind), pa.array([sorted(items.get(t, ())) for t in range(len(ids))], pa.list_(pa.string()))], ["row", "doc_id", "n_words", "hits", "items"])
 
 
-def find_contamination(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_items: int = 20_000) -> DataFrame:
+def cut_blocks(sizes: dict[int, tuple[int, int]], n_buckets: int, block_items: int, block_bytes: int) -> list[tuple[int, int]]:
+    """Runs [low, high) of buckets that hold at most so many items and bytes each, unless one bucket alone holds more;
+    ``sizes`` has items and bytes of the buckets that are not empty."""
+    out, low, items, size = [], 0, 0, 0
+    for bucket in sorted(sizes):
+        n, b = sizes[bucket]
+        if items and (items + n > block_items or size + b > block_bytes):
+            out.append((low, bucket))
+            low, items, size = bucket, 0, 0
+        items, size = items + n, size + b
+    return [*out, (low, n_buckets)]
+
+
+def find_contamination(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_items: int = 20_000, block_bytes: int = 8 << 20) -> DataFrame:
     """One row for each document: n_words, n_hit, items (ids as strings, sorted) and hits (word ranges, end exclusive)."""
     spark = documents.sparkSession
-    items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("text")).where("item is not null and text is not null")
-    n_blocks = max(1, -(-items.count() // block_items))
-    docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("text")).where("text is not null").distinct()
+    whole = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
+    n_buckets = 32 * max(1, -(-whole.n // block_items), -(-whole.b // block_bytes))
+    items = items.withColumn("bucket", F.pmod(F.xxhash64("item", "text"), F.lit(n_buckets)))
+    blocks = [(0, n_buckets)]
+    if n_buckets > 32:
+        items = staged(items, "items")
+        sizes = items.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b"))  # 32 rows a block
+        blocks = cut_blocks({r.bucket: (r.n, r.b) for r in sizes.collect()}, n_buckets, block_items, block_bytes)
+    docs = documents.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    if len(blocks) > 1:
+        docs = staged(docs, "documents")
     found = None
-    for k in range(n_blocks):
-        part = items.where(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == k) if n_blocks > 1 else items
-        shared = spark.sparkContext.broadcast([(r.item, r.text) for r in part.collect()])  # a block of items at most
+    for low, high in blocks:
+        part = items.where((F.col("bucket") >= low) & (F.col("bucket") < high))
+        shared = spark.sparkContext.broadcast([(r.item, r.text) for r in part.select("item", "text").collect()])  # a block of items at most
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             patterns = compile_patterns(shared.value, window)
             for batch in batches:
                 for rows, data, offsets in bt.blocks(batch):
-                    yield search_batch(patterns, rows.column(0).to_pylist(), data, offsets)
+                    yield search_batch(patterns, rows.column(0), rows.column(1).to_pylist(), data, offsets)
 
         one = docs.mapInArrow(search, ROWS)
         found = one if found is None else found.unionByName(one)
-    if n_blocks > 1:
-        found = found.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    if len(blocks) > 1:
+        found = found.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     covered = F.aggregate(
         F.array_sort("hits"),
         F.struct(F.lit(0).cast("long").alias("done"), F.lit(0).cast("long").alias("n")),
