@@ -2,7 +2,7 @@
 
 Each stage takes what its predecessor kept, as a table read again from Parquet.  The first three drop documents (toxic ones;
 all but one of each group of near copies; those that hold a benchmark window), the fourth cuts live-looking secrets out of
-the texts, the last packs the tokens.
+the texts, the last packs the tokens.  Decisions are those of single rows, whatever their doc_id.
 """
 
 from __future__ import annotations
@@ -20,23 +20,36 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.without_toxic(docs, weights, 0.7)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` written with a row id, ``_row``, that holds in every later read: doc_ids may repeat or be null."""
+    return staged(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = near_dup.near_duplicates(docs, size=5, percent=80)
-    return docs.join(found.where("not kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    """The row with the smallest doc_id of each group stays, the first of them where it repeats; a null id comes last."""
+    rows = numbered(docs)
+    found = near_dup.near_duplicates(rows, doc_id="_row", size=5, percent=80).select(F.col("doc_id").alias("_row"), "component_id")
+    found = staged(found, "components")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    first = found.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(order).alias("first")).select("first._row")
+    copies = staged(found.join(first, "_row", "left_anti").select("_row"), "copies")
+    return rows.join(copies, "_row", "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
-    hit = staged(found.where("n_hit > 0").select("doc_id"), "contaminated")
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    rows = numbered(docs)
+    found = decontaminate.find_contamination(rows, table(spark, sf_dir, "benchmark"), doc_id="_row")
+    hit = staged(found.where("n_hit > 0").select(F.col("doc_id").alias("_row")), "contaminated")
+    return rows.join(hit, "_row", "left_anti").select(*docs.columns)
 
 
 def cut_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = secret_scan.scan_secrets(docs, F.concat_ws("/", "source", "lang"), F.col("source"))
-    live = found.select("doc_id", F.filter("spans", lambda s: s["live"]).alias("_live")).where(F.size("_live") > 0)
-    live = staged(live.dropDuplicates(["doc_id"]), "live-secrets")
+    rows = numbered(docs)
+    found = secret_scan.scan_secrets(rows, F.concat_ws("/", "source", "lang"), F.col("source"), doc_id="_row")
+    live = found.select(F.col("doc_id").alias("_row"), F.filter("spans", lambda s: s["live"]).alias("_live")).where(F.size("_live") > 0)
+    live = staged(live, "live-secrets")
     text = F.when(F.col("_live").isNotNull(), redact(F.col("text"), F.col("_live"), "[SECRET]")).otherwise(F.col("text"))
-    rows = docs.join(live, "doc_id", "left").withColumn("text", text)
+    rows = rows.join(live, "_row", "left").withColumn("text", text)
     rows = rows.withColumn("n_chars", F.when(F.col("_live").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return rows.select(*docs.columns)
 

@@ -523,3 +523,18 @@ def test_pipeline(spark, small, texts):
         assert (r.text == left[i]) == (not any(len(owners[v]) < 2 for *_, v in found))
         assert not any(v in r.text for *_, v in found if len(owners[v]) < 2)
     check_packing(corpus_pipeline.pack_sequences(spark, kept4, small).collect(), [(i, r.text) for i, r in rows.items()])
+
+
+def test_pipeline_decides_by_row(spark, small):
+    import corpus_pipeline
+
+    prose = [" ".join(f"w{k}x{j}" for j in range(30)) for k in range(6)]
+    passage = spark.read.parquet(f"{small}/benchmark.parquet").where("size(split(text, ' ')) > 20").first().text
+    kept = lambda stage, rows: sorted(((r.doc_id, r.text) for r in stage(spark, frame(rows), small).collect()), key=str)
+    frame = lambda rows: spark.createDataFrame([(i, t, "en", f"s{k}", len(t)) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = [(9, prose[0]), (4, prose[0]), (4, prose[0]), (None, prose[0]), (None, prose[1]), (None, prose[1]), (4, prose[2]), (4, prose[3])]
+    assert kept(corpus_pipeline.drop_near_copies, rows) == sorted([(4, prose[0]), (None, prose[1]), (4, prose[2]), (4, prose[3])], key=str)
+    rows = [(None, prose[0]), (None, passage), (1, prose[1]), (1, passage)]
+    assert kept(corpus_pipeline.drop_contaminated, rows) == sorted([(None, prose[0]), (1, prose[1])], key=str)
+    rows = [(1, "token = abcdefgh12 and more"), (1, "plain and longer than the other text"), (None, "here token = abcdefgh34"), (None, prose[0])]
+    assert kept(corpus_pipeline.cut_secrets, rows) == sorted([(1, "[SECRET] and more"), rows[1], (None, "here [SECRET]"), rows[3]], key=str)
