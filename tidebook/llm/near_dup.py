@@ -1,25 +1,29 @@
 """MinHash near-dedup by a multi-index Hamming join.
 
-Every document's set of word shingles is hashed, and documents of equal sets form one class at once.  A class has two b-bit
-signatures: ``SYMBOLS`` minhashes of 16 bits for the index, and ``BITS`` minhashes of one bit for the distance.  Sets of
-similarity s agree in a symbol with probability s and in a bit with (1 + s) / 2, so the limits of 28 symbols and 150 bits
-lie five deviations above what similarity 0.8 gives; they lose fewer than one pair in 100,000 of exactly that similarity.
-
-The symbols are split into chunks of two.  By pigeonhole, two signatures within the symbol distance share at least
-``SHARED`` = chunks - distance whole chunks; the errors allowed are enumerated as the sets of chunks that may agree:
-
-* a class with fewer than ``SHARED`` chunk values that another class holds too has no partner and goes;
-* classes that share a chunk value meet in its bucket.  First, in two rounds, each bucket compares all its members with one
-  of them (another one in each bucket), so that a dense group becomes one component from a linear number of pairs;
-* a bucket that still holds several components compares bit signatures across components if such pairs are few for its
-  size, and else is split by a second, third, ... shared chunk, up to ``SHARED`` chunks, which sets that only have a common
-  passage don't share; a pair comes only from the bucket of its first shared chunks, so once.
-
-Pairs within the bit distance are then confirmed on the full sets.  Links are only sought between components, so no group's
-pairs are all emitted, and none is lost: every pair that isn't compared lies in one component already.
-
-Components come from alternating minimum-neighbour steps over the links, written out at each step.  A document without
-words is alone; null texts have none; repeated doc_ids are one document of their texts' first; extra columns are not read.
+Every document's set of word shingles is hashed; documents of equal sets are one class from the start.  A class has a
+signature of ``SYMBOLS`` b-bit minhashes (16 bits each).  Sets of similarity s agree in a symbol with probability s, so the
+Hamming distance limit of ``DISTANCE`` symbols lies five deviations above what similarity 0.8 gives: fewer than one pair in
+100,000 of exactly that similarity is beyond it.  Every pair within the limit is found, whatever the data:
+
+* the symbols are split into ``CHUNKS`` chunks of two.  By pigeonhole, signatures within the distance agree in ``SHARED``
+  chunks at least; a class with fewer chunk values that another class holds has no partner and goes;
+* classes that hold the same value of a chunk meet in its bucket.  First each bucket's most popular member (the one whose
+  chunk values are the most common of all, so the same one in most buckets of a dense group) is compared with the others:
+  pairs in proportion to the members, after which a dense group is one component but for its outliers;
+* a bucket that still holds several components compares its members across components inside a task, so only pairs that may
+  link leave it.  A bucket of over ``BLOCK`` members is first split by a second, third, ... chunk that its members share
+  (the errors allowed are enumerated as the sets of chunks that may agree) if that saves comparisons, and is compared block
+  by block otherwise; a task holds two blocks at a time.  A pair is taken only in the bucket of its first shared chunks.
+
+Before a pair leaves the task, its symbols' distance is counted, and a bitmap of each set gives an upper bound of the shared
+shingles (sets of over ``SMALL`` shingles: ``BITS`` one-bit minhashes, with a limit five deviations away).  What is left is
+confirmed on the full sets.  Links are only sought between components, so no group's pairs are all emitted, and no link
+between different components is lost.
+
+Components come from alternating minimum-neighbour steps over the links, written out at each step.  Rows are told apart by
+a number of their own: a doc_id that repeats with other texts has a row for each, and each row's component_id is the
+smallest doc_id that it reaches; rows without a doc_id take part, and their component_id is null if no id is reached.  A
+document without words, or a null text, is alone; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidebook.llm import bytestext as bt
@@ -38,10 +42,11 @@ SYMBOLS, CHUNKS = 64, 32
 SHARED = 4
 DISTANCE = CHUNKS - SHARED
 SYMBOL_BITS = 16
-HUB_ROUNDS = 2
-FEW = 512  # pairs a member that a bucket may compare without a further split
+BLOCK = 4096  # members of a bucket that a task compares at once
+BITMAP = 4096  # bits of the map of a set
+SMALL = 500  # shingles of a set that its map is meant for
 BITS, BIT_DISTANCE = 1024, 150
-_WORDS = [f"b{i}" for i in range(BITS // 64)]
+_PAIRS = 1 << 14  # pairs compared in one numpy step
 
 _RNG = np.random.default_rng(20240607)
 _MULTIPLY = _RNG.integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -97,8 +102,8 @@ def chunk_values(first: np.ndarray, sets: np.ndarray) -> np.ndarray:
     return out - (1 << 31)
 
 
-def signatures(documents: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
-    """doc_id, n_shingles, two hashes of the whole set, chunks array<int>."""
+def signatures(rows: DataFrame, size: int) -> DataFrame:
+    """row, doc_id, n_shingles, two hashes of the whole set, chunks array<int>."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,174 +114,239 @@ def signatures(documents: DataFrame, doc_id: str, text: str, size: int) -> DataF
                 for turn in (1, 2):
                     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(bt.mix(sets * np.uint64(2 * turn + 1) + np.uint64(turn)))])
                     whole.append((sums[first[1:]] - sums[first[:-1]]).view(np.int64))
-                values = chunk_values(first, sets).astype(np.int32)
-                chunks = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * CHUNKS), pa.array(values.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(n), pa.array(whole[0]), pa.array(whole[1]), chunks], ["doc_id", "n_shingles", "h1", "h2", "chunks"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), pa.array(whole[0]), pa.array(whole[1]), _lists(chunk_values(first, sets))], ["row", "doc_id", "n_shingles", "h1", "h2", "chunks"])
 
-    rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(sign, "doc_id long, n_shingles long, h1 long, h2 long, chunks array<int>")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.select("row", "doc_id", "text").mapInArrow(sign, f"row long, doc_id {kind}, n_shingles long, h1 long, h2 long, chunks array<int>")
 
 
-def bit_signatures(first: np.ndarray, sets: np.ndarray) -> np.ndarray:
-    """One-bit minhashes (rows: texts), packed into longs."""
-    full = np.flatnonzero(first[1:] > first[:-1])
-    out = np.zeros((len(first) - 1, BITS // 64), np.uint64)
-    if len(full):
-        small, at = (sets >> np.uint64(32)).astype(np.uint32), first[:-1][full]
-        for k in range(BITS):
-            least = np.minimum.reduceat(small * _MULTIPLY32[k] + _ADD32[k], at)
-            bit = bt.mix(least.astype(np.uint64)) & np.uint64(1)
-            out[full, k // 64] |= bit << np.uint64(k % 64)
-    return out.view(np.int64)
+def _lists(values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * CHUNKS), pa.array(values.astype(np.int32).ravel()))
+
+
+def sketches(first: np.ndarray, sets: np.ndarray) -> np.ndarray:
+    """Of each text a row of longs: its set's bitmap (sets of up to ``SMALL``), then one-bit minhashes (sets that a larger
+    one may link with); zeros where they are not meant."""
+    n = np.diff(first)
+    out = np.zeros((len(n), (BITMAP + BITS) // 64), np.uint64)
+    owner = np.repeat(np.arange(len(n)), n)
+    mapped = n[owner] <= SMALL
+    bit = (sets[mapped] >> np.uint64(20)) % np.uint64(BITMAP)
+    flat = np.unique(owner[mapped] * np.int64(BITMAP) + bit.astype(np.int64))
+    np.bitwise_or.at(out, (flat // BITMAP, flat % BITMAP // 64), np.uint64(1) << (flat % 64).astype(np.uint64))
+    for text in np.flatnonzero(n >= SMALL * 4 // 5):
+        small = (sets[first[text] : first[text + 1]] >> np.uint64(32)).astype(np.uint32)
+        for k in range(0, BITS, 64):
+            least = np.array([(small * _MULTIPLY32[j] + _ADD32[j]).min() for j in range(k, k + 64)], np.uint64)
+            out[text, (BITMAP + k) // 64] = np.bitwise_or.reduce((bt.mix(least) & np.uint64(1)) << np.arange(64, dtype=np.uint64))
+    return out
 
 
-def sets_of(documents: DataFrame, doc_id: str, text: str, size: int, wanted: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, chunks, the bit signature and the full set of each wanted document."""
+def sets_of(rows: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
+    """rep, n, chunks, sketch and the full set of each wanted row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in bt.blocks(batch):
                 first, sets = shingles(data, offsets, size)
-                values = chunk_values(first, sets).astype(np.int32)
-                chunks = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * CHUNKS), pa.array(values.ravel()))
                 whole = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(sets.view(np.int64)))
-                bits = [pa.array(column) for column in bit_signatures(first, sets).T]
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(np.diff(first)), chunks, *bits, whole], ["doc_id", "n_shingles", "chunks", *_WORDS, "shingles"])
+                sketch = pa.array([x.tobytes() for x in sketches(first, sets)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(first)), _lists(chunk_values(first, sets)), sketch, whole], ["rep", "n", "chunks", "sketch", "shingles"])
 
-    rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(wanted.select("doc_id"), "doc_id", "left_semi")
-    schema = f"doc_id long, n_shingles long, chunks array<int>, {', '.join(f'{b} long' for b in _WORDS)}, shingles array<long>"
-    return rows.mapInArrow(run, schema).dropDuplicates(["doc_id"])
+    texts = rows.select("row", "text").join(wanted.select(F.col("rep").alias("row")), "row", "left_semi")
+    return texts.mapInArrow(run, "rep long, n long, chunks array<int>, sketch binary, shingles array<long>")
 
 
 def components(links: DataFrame, name: str = "component") -> DataFrame:
-    """doc_id and the smallest doc_id it reaches, for each end of a link (columns u, v)."""
-    edges = staged(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), f"{name}-edges")
+    """node and the smallest node it reaches, for each end of a link (columns u, v)."""
+    edges = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
     before = None
     while True:
         # large star: neighbours above a node move to its least neighbour
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: neighbours below a node, and the node, move to the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        edges = staged(small.where("u <> v").distinct(), f"{name}-step")
-        state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if (state.n, state.s) == before:
+        told = Observation()
+        step = small.where("u <> v").distinct().observe(told, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s"))
+        edges = staged(step, f"{name}-step")
+        state = (told.get["n"], told.get["s"])
+        if state == before or not state[0]:
             break
-        before = (state.n, state.s)
-    return edges.groupBy("u").agg(F.min("v").alias("component_id")).withColumnRenamed("u", "doc_id")
+        before = state
+    return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
 
 
-class _Search:
-    """The join's state: classes with their signatures, their sets, and the links found so far."""
+def sizes_fit(a: Column, b: Column, percent: int) -> Column:
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
-    def __init__(self, classes: DataFrame, sets: DataFrame, percent: int):
-        self.classes, self.sets, self.percent = classes, sets, percent
-        self.links: list[DataFrame] = []
-        self.labels: DataFrame | None = None
 
-    def confirm(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (u, v) that are within the distance and link on their full sets."""
-        one = lambda x: self.classes.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n{x}"), *[F.col(w).alias(f"{x}{w}") for w in _WORDS])
-        near = pairs.join(one("u"), "u").join(one("v"), "v").where(sizes_fit(F.col("nu"), F.col("nv"), self.percent) & (distance("u", "v") <= BIT_DISTANCE))
-        return self.link(near.select("u", "v", "nu", "nv"))
+def symbol_distance(a: Column, b: Column) -> Column:
+    """Symbols in which two signatures differ."""
+    half = (1 << SYMBOL_BITS) - 1
+    differ = F.zip_with(a, b, lambda x, y: (x.bitwiseXOR(y).bitwiseAND(half) != 0).cast("int") + (F.shiftrightunsigned(x.bitwiseXOR(y), SYMBOL_BITS) != 0).cast("int"))
+    return F.aggregate(differ, F.lit(0), lambda s, x: s + x)
 
-    def link(self, near: DataFrame) -> DataFrame:
-        """Of pairs (u, v, nu, nv) those that link on their full sets."""
-        own = lambda x: self.sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s{x}"))
-        full = near.join(own("u"), "u").join(own("v"), "v")
-        both = F.size(F.array_intersect("su", "sv"))
-        return full.select("u", "v", (F.col("nu") + F.col("nv")).alias("n"), both.alias("both")).where(100 * F.col("both") >= self.percent * (F.col("n") - F.col("both"))).select("u", "v")
 
-    def add(self, links: DataFrame, name: str) -> None:
-        found = staged(links, f"links-{name}")
-        self.links.append(found)
-        every = self.links[0]
-        for x in self.links[1:]:
-            every = every.unionByName(x)
-        self.labels = components(every)
+def link(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (u, v) those that link on their full sets."""
+    own = lambda x: sets.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("shingles").alias(f"s{x}"))
+    full = near.join(own("u"), "u").join(own("v"), "v")
+    full = full.select("u", "v", (F.col("nu") + F.col("nv")).alias("n"), F.size(F.array_intersect("su", "sv")).alias("both"))
+    return full.where(100 * F.col("both") >= percent * (F.col("n") - F.col("both"))).select("u", "v")
 
-    def label(self, rows: DataFrame) -> DataFrame:
-        if self.labels is None:
-            return rows.withColumn("comp", F.col("doc_id"))
-        return rows.join(self.labels, "doc_id", "left").withColumn("comp", F.coalesce("component_id", "doc_id")).drop("component_id")
 
+def hub_pairs(able: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Each class with the most popular member of each of its buckets, if sizes and signatures allow a link."""
+    rows = able.select("rep", "n", "rank", F.explode("keys").alias("key"))
+    hubs = rows.groupBy("key").agg(F.max_by("rep", "rank").alias("hub"), F.max_by("n", "rank").alias("hub_n"))
+    pairs = rows.join(hubs, "key").where((F.col("rep") != F.col("hub")) & sizes_fit(F.col("n"), F.col("hub_n"), percent))
+    pairs = pairs.select(F.least("rep", "hub").alias("u"), F.greatest("rep", "hub").alias("v")).distinct()
+    own = lambda x: sets.select(F.col("rep").alias(x), F.col("chunks").alias(f"x{x}"))
+    return pairs.join(own("u"), "u").join(own("v"), "v").where(symbol_distance(F.col("xu"), F.col("xv")) <= DISTANCE).select("u", "v")
 
-def distance(u: str, v: str):
-    """Bits in which two signatures differ."""
-    return sum((F.bit_count(F.col(f"{u}{w}").bitwiseXOR(F.col(f"{v}{w}"))) for w in _WORDS[1:]), F.bit_count(F.col(f"{u}{_WORDS[0]}").bitwiseXOR(F.col(f"{v}{_WORDS[0]}"))))
 
+def open_buckets(rows: DataFrame) -> DataFrame:
+    """Rows (key, rep, comp, ...) of buckets with several components, with the bucket's size."""
+    parts = rows.groupBy("key", "comp").agg(F.count("*").alias("m"))
+    sizes = parts.groupBy("key").agg(F.sum("m").alias("size"), F.count("*").alias("comps")).where("comps > 1")
+    return rows.join(sizes.select("key", "size"), "key")
 
-def sizes_fit(a, b, percent: int):
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
+def across(able: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) across components that may link; ``able`` has rep, comp and keys."""
+    now = able.select("rep", "comp", F.explode("keys").alias("key")).withColumn("chunk", F.shiftright("key", 32).cast("int"))
+    ready: list[DataFrame] = []
+    for level in range(1, SHARED + 1):
+        buckets = staged(open_buckets(now), f"open{level}").withColumn("level", F.lit(level))
+        large = buckets.where(F.col("size") > BLOCK)
+        if level == SHARED or large.isEmpty():
+            ready.append(buckets)
+            break
+        later = able.select("rep", F.explode("keys").alias("key2")).withColumn("chunk2", F.shiftright("key2", 32).cast("int"))
+        split = large.select("rep", "comp", "key", "size", "chunk").join(later, "rep").where("chunk2 > chunk")
+        split = staged(split.select("rep", "comp", F.xxhash64("key", "key2").alias("key"), F.col("chunk2").alias("chunk"), F.col("key").alias("parent"), "size"), f"split{level}")
+        cost = split.groupBy("key", "parent", "size").agg(F.count("*").alias("m")).groupBy("parent", "size").agg(F.sum(F.col("m").cast("double") * F.col("m")).alias("cost"))
+        better = staged(cost.where(F.col("cost") < 0.25 * F.col("size") * F.col("size")).select("parent"), f"better{level}")
+        ready.append(buckets.join(better.withColumnRenamed("parent", "key"), "key", "left_anti").select(*buckets.columns))
+        now = split.join(better, "parent", "left_semi").select("rep", "comp", "key", "chunk")
+    rows = ready[0]
+    for more in ready[1:]:
+        rows = rows.unionByName(more)
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "comp", "rep", "level", "chunk")
+    rows = rows.join(sets.select("rep", "n", "chunks", "sketch"), "rep")
 
-def _open(rows: DataFrame, *keep: str) -> DataFrame:
-    """Rows of buckets that hold more than one component, with the bucket's size and its pairs across components."""
-    parts = rows.groupBy("key", "comp").agg(F.count("*").alias("m"))
-    stats = parts.groupBy("key").agg(F.sum("m").alias("size"), F.sum(F.col("m") * F.col("m")).alias("squares"), F.count("*").alias("comps"))
-    stats = stats.where("comps > 1").select("key", "size", ((F.col("size") * F.col("size") - F.col("squares")) / 2).alias("across"))
-    return rows.join(stats, "key")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            # a unit (key, low, high) may go on in the next batch
+            units = [batch.column(k).to_numpy() for k in range(3)]
+            last = np.logical_and.reduce([x == x[-1] for x in units])
+            same = bool(held) and all(x[0] == held[0].column(k)[0].as_py() for k, x in enumerate(units))
+            if same and last.all():
+                held.append(batch)
+                continue
+            begin = int(np.argmin(last[::-1])) if not last.all() else batch.num_rows
+            yield from compare([*held, batch.slice(0, batch.num_rows - begin)], percent)
+            held = [batch.slice(batch.num_rows - begin)]
+        if held:
+            yield from compare(held, percent)
+
+    columns = ["key", "low", "high", "block", "comp", "rep", "level", "chunk", "n", "chunks", "sketch"]
+    dealt = rows.select(*columns).repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "block", "comp")
+    return dealt.mapInArrow(run, "u long, v long").distinct()
+
+
+def compare(batches: list[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of whole units, sorted by key, low, high, block, comp, that lie across components and may link."""
+    table = pa.Table.from_batches(batches).combine_chunks()
+    rows = table.num_rows
+    if not rows:
+        return
+    column = lambda name: table.column(name).combine_chunks()
+    key, low, high, block, comp, rep, level, chunk, n = (column(c).to_numpy() for c in ("key", "low", "high", "block", "comp", "rep", "level", "chunk", "n"))
+    chunks = column("chunks").flatten().to_numpy().reshape(rows, CHUNKS)
+    symbols = chunks.view(np.uint16)
+    sketch = np.frombuffer(b"".join(column("sketch").to_pylist()), np.uint64).reshape(rows, -1)
+    n_map = BITMAP // 64
+
+    def run_ends(*by: np.ndarray) -> np.ndarray:
+        """For each row the end of its run of equal values."""
+        new = np.ones(rows + 1, bool)
+        new[1:-1] = np.logical_or.reduce([x[1:] != x[:-1] for x in by])
+        at = np.flatnonzero(new)
+        return at[np.searchsorted(at, np.arange(rows), "right")]
+
+    end = run_ends(key, low, high)
+    begin = np.where(low == high, run_ends(key, low, high, comp), run_ends(key, low, high, block))
+    many = np.where((low == high) | (block == low), end - begin, 0)
+    done = np.concatenate([[0], np.cumsum(many)])
+    for start in range(0, int(done[-1]), _PAIRS):
+        flat = np.arange(start, min(start + _PAIRS, int(done[-1])))
+        u = np.searchsorted(done, flat, "right") - 1
+        v = begin[u] + flat - done[u]
+        keep = (comp[u] != comp[v]) & (100 * np.minimum(n[u], n[v]) >= percent * np.maximum(n[u], n[v]))
+        u, v = u[keep], v[keep]
+        same = chunks[u] == chunks[v]
+        keep = (same & (np.arange(CHUNKS) <= chunk[u][:, None])).sum(1) == level[u]
+        u, v = u[keep], v[keep]
+        keep = (symbols[u] != symbols[v]).sum(1) <= DISTANCE
+        u, v = u[keep], v[keep]
+        large = np.maximum(n[u], n[v]) > SMALL
+        keep = np.zeros(len(u), bool)
+        a, b = u[~large], v[~large]
+        apart = np.bitwise_count(sketch[a, :n_map] ^ sketch[b, :n_map]).sum(1, dtype=np.int64)
+        total = n[a] + n[b]
+        most = (total - apart) // 2  # no more shingles are shared
+        keep[~large] = 100 * most >= percent * (total - most)
+        keep[large] = np.bitwise_count(sketch[u[large], n_map:] ^ sketch[v[large], n_map:]).sum(1, dtype=np.int64) <= BIT_DISTANCE
+        u, v = rep[u[keep]], rep[v[keep]]
+        if len(u):
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+
+
+def numbered(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """row, doc_id and text, written once, so that the number of a row holds in every later read."""
+    return staged(documents.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "numbered")
+
+
+def grouped(rows: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """row, doc_id, n_shingles, group (a row's number) and component_id for rows of stable numbers (row, doc_id, text)."""
+    signed = staged(signatures(rows, size), "signatures")
+    key = ["h1", "h2", "n_shingles"]
+    classes = staged(signed.where("n_shingles > 0").groupBy(*key).agg(F.min("row").alias("rep"), F.min("doc_id").alias("least")), "classes")
+    reps = signed.join(classes.select(F.col("rep").alias("row")), "row", "left_semi").select(F.col("row").alias("rep"), F.col("n_shingles").alias("n"), F.posexplode("chunks").alias("chunk", "value"))
+    # chunk values that more than one class holds, and the classes with enough of them
+    keyed = reps.select("rep", "n", (F.shiftleft(F.col("chunk").cast("long"), 32) + F.col("value").bitwiseAND(F.lit(0xFFFFFFFF))).alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
+    able = keyed.join(shared, "key").groupBy("rep").agg(F.first("n").alias("n"), F.sum("held").alias("popular"), F.collect_list("key").alias("keys")).where(F.size("keys") >= SHARED)
+    rank = F.col("popular") * (1 << 20) + F.pmod(F.xxhash64("rep"), F.lit(1 << 20))
+    able = staged(able.select("rep", "n", rank.alias("rank"), "keys"), "able")
+    sets = staged(sets_of(rows, size, able), "sets")
+
+    first = staged(components(link(hub_pairs(able, sets, percent), sets, percent), "hub"), "labels")
+    able = able.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "keys", F.coalesce("component", "rep").alias("comp"))
+    able = staged(able, "labelled")
+    found = link(across(able, sets, percent), sets, percent)
+    comps = able.select("rep", "comp")
+    ends = found.join(comps.select(F.col("rep").alias("u"), F.col("comp").alias("cu")), "u").join(comps.select(F.col("rep").alias("v"), F.col("comp").alias("cv")), "v")
+    second = components(ends.select(F.col("cu").alias("u"), F.col("cv").alias("v")), "across")
+    comps = comps.join(second.withColumnRenamed("node", "comp"), "comp", "left").select("rep", F.coalesce("component", "comp").alias("group"))
+
+    classes = classes.join(comps, "rep", "left").select(*key, F.coalesce("group", "rep").alias("group"), "least")
+    ids = classes.groupBy("group").agg(F.min("least").alias("component_id"))
+    answer = classes.select(*key, "group").join(ids, "group")
+    out = signed.select("row", "doc_id", *key).join(answer, key, "left")
+    lone = F.col("n_shingles") == 0
+    return out.select("row", "doc_id", "n_shingles", F.when(lone, F.col("row")).otherwise(F.col("group")).alias("group"), F.when(lone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: linked where 100 * shared >= percent * united shingles."""
-    # one row per doc_id, so that a repeated row is not its own partner
-    signed = staged(signatures(documents, doc_id, text, size), "signatures")
-    real = signed.where("n_shingles > 0 and doc_id is not null")
-    same = staged(real.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = real.join(same.withColumnRenamed("rep", "doc_id"), ["h1", "h2", "n_shingles", "doc_id"], "left_semi").select("doc_id", "n_shingles", "chunks").dropDuplicates(["doc_id"])
-    reps = staged(reps, "reps")
-
-    # chunk values that more than one class holds, and the classes with enough of them
-    rows = reps.select("doc_id", F.posexplode("chunks").alias("chunk", "value"))
-    keyed = rows.withColumn("key", F.xxhash64("chunk", "value"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    held = staged(keyed.join(shared, "key").select("doc_id", "key", "chunk"), "held")
-    able = staged(held.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") >= SHARED).select("doc_id"), "able")
-    held = staged(held.join(able, "doc_id", "left_semi"), "buckets")
-    sets = staged(sets_of(documents, doc_id, text, size, able), "sets")
-    classes = sets.drop("shingles")
-
-    search = _Search(classes, sets, percent)
-    for r in range(HUB_ROUNDS):
-        open_rows = _open(search.label(held))
-        hub = open_rows.groupBy("key").agg(F.min_by(F.struct("doc_id", "comp"), F.xxhash64("doc_id", "key", F.lit(r))).alias("hub"))
-        pairs = open_rows.join(hub, "key").where("comp <> hub.comp").select(F.least("doc_id", "hub.doc_id").alias("u"), F.greatest("doc_id", "hub.doc_id").alias("v"))
-        search.add(search.confirm(pairs.distinct()), f"hub{r}")
-
-    # what is left: pairs across components from small buckets, further splits of the others
-    now = held
-    found = None
-    for level in range(1, SHARED + 1):
-        open_rows = staged(_open(search.label(now)), f"open{level}")
-        few = F.lit(True) if level == SHARED else F.col("across") <= FEW * F.col("size")
-        out = emit(open_rows.where(few), classes, level, percent)
-        found = out if found is None else found.unionByName(out)
-        if level == SHARED:
-            break
-        more = open_rows.where(~few)
-        if more.isEmpty():
-            break
-        later = held.select("doc_id", F.col("chunk").alias("chunk2"), F.col("key").alias("key2"))
-        split = more.select("doc_id", "key", "chunk").join(later, "doc_id").where("chunk2 > chunk")
-        split = split.select("doc_id", F.xxhash64("key", "key2").alias("key"), F.col("chunk2").alias("chunk"))
-        now = staged(split, f"split{level}")
-    search.add(search.link(staged(found, "near")), "rest")
-
-    answer = same.join(search.labels.withColumnRenamed("doc_id", "rep"), "rep", "left").select("h1", "h2", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "h1", "h2").join(answer, ["h1", "h2", "n_shingles"], "left")
-    lone = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", lone.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-
-
-def emit(rows: DataFrame, classes: DataFrame, level: int, percent: int) -> DataFrame:
-    """Pairs across components, within the bit distance, whose first ``level`` shared chunks are the bucket's."""
-    rich = rows.select("key", "chunk", "comp", "doc_id").join(classes, "doc_id")
-    side = lambda x, extra: rich.select("key", *extra, F.col("doc_id").alias(x), F.col("comp").alias(f"c{x}"), F.col("n_shingles").alias(f"n{x}"), F.col("chunks").alias(f"x{x}"), *[F.col(w).alias(f"{x}{w}") for w in _WORDS])
-    a, b = side("u", ["chunk"]), side("v", [])
-    upto = F.size(F.filter(F.zip_with(F.slice("xu", 1, F.col("chunk") + 1), F.slice("xv", 1, F.col("chunk") + 1), lambda x, y: x == y), lambda x: x))
-    fits = (F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & sizes_fit(F.col("nu"), F.col("nv"), percent) & (distance("u", "v") <= BIT_DISTANCE) & (upto == level)
-    return a.join(b, (a["key"] == b["key"]) & fits).select("u", "v", "nu", "nv")
+    found = grouped(numbered(documents, doc_id, text), size, percent)
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
