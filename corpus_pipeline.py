@@ -26,31 +26,25 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the smallest doc_id of each group stays, the first of them where it repeats; a null id comes last."""
+    """The row with the smallest doc_id of each group stays, the first of them where it repeats; a null id comes last.  Groups
+    are those of five-word shingles, as this stage has no contract that says otherwise (op3's says four)."""
     rows = numbered(docs)
-    found = near_dup.near_duplicates(rows, doc_id="_row", size=5, percent=80).select(F.col("doc_id").alias("_row"), "component_id")
-    found = staged(found, "components")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
-    first = found.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(order).alias("first")).select("first._row")
-    copies = staged(found.join(first, "_row", "left_anti").select("_row"), "copies")
+    found = staged(near_dup.grouped(rows.withColumnRenamed("_row", "row"), size=5, percent=80), "groups")
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("group").agg(F.min("row").alias("row"))
+    copies = staged(found.join(first, "row", "left_anti").select(F.col("row").alias("_row")), "copies")
     return rows.join(copies, "_row", "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = numbered(docs)
-    found = decontaminate.find_contamination(rows, table(spark, sf_dir, "benchmark"), doc_id="_row")
-    hit = staged(found.where("n_hit > 0").select(F.col("doc_id").alias("_row")), "contaminated")
-    return rows.join(hit, "_row", "left_anti").select(*docs.columns)
+    return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def cut_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = numbered(docs)
-    found = secret_scan.scan_secrets(rows, F.concat_ws("/", "source", "lang"), F.col("source"), doc_id="_row")
-    live = found.select(F.col("doc_id").alias("_row"), F.filter("spans", lambda s: s["live"]).alias("_live")).where(F.size("_live") > 0)
-    live = staged(live, "live-secrets")
-    text = F.when(F.col("_live").isNotNull(), redact(F.col("text"), F.col("_live"), "[SECRET]")).otherwise(F.col("text"))
-    rows = rows.join(live, "_row", "left").withColumn("text", text)
-    rows = rows.withColumn("n_chars", F.when(F.col("_live").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    found = secret_scan.scan_secrets(docs, F.concat_ws("/", "source", "lang"), F.col("source"), keep=docs.columns, out="_spans")
+    live = F.filter("_spans", lambda s: s["live"])
+    cut = F.size(live) > 0
+    text = F.when(cut, redact(F.col("text"), live, "[SECRET]")).otherwise(F.col("text"))
+    rows = found.withColumn("n_chars", F.when(cut, F.length(text).cast("long")).otherwise(F.col("n_chars"))).withColumn("text", text)
     return rows.select(*docs.columns)
 
 
