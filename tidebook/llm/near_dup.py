@@ -329,13 +329,13 @@ def grouped(rows: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     able = staged(able.select("rep", "n", rank.alias("rank"), "keys"), "able")
     sets = staged(sets_of(rows, size, able), "sets")
 
-    first = staged(components(link(hub_pairs(able, sets, percent), sets, percent), "hub"), "labels")
+    first = staged(components(staged(link(hub_pairs(able, sets, percent), sets, percent), "hub-links"), "hub"), "labels")
     able = able.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "keys", F.coalesce("component", "rep").alias("comp"))
     able = staged(able, "labelled")
-    found = link(across(able, sets, percent), sets, percent)
+    found = link(staged(across(able, sets, percent), "across"), sets, percent)
     comps = able.select("rep", "comp")
     ends = found.join(comps.select(F.col("rep").alias("u"), F.col("comp").alias("cu")), "u").join(comps.select(F.col("rep").alias("v"), F.col("comp").alias("cv")), "v")
-    second = components(ends.select(F.col("cu").alias("u"), F.col("cv").alias("v")), "across")
+    second = components(staged(ends.select(F.col("cu").alias("u"), F.col("cv").alias("v")), "across-links"), "across")
     comps = comps.join(second.withColumnRenamed("node", "comp"), "comp", "left").select("rep", F.coalesce("component", "comp").alias("group"))
 
     classes = classes.join(comps, "rep", "left").select(*key, F.coalesce("group", "rep").alias("group"), "least")
