@@ -7,8 +7,8 @@ by hash and then by their bytes, confirms them.  The search runs in lanes: one l
 the largest shift, so that one numpy step moves all lanes.  Patterns of one length are searched together.
 
 The patterns travel to the tasks in blocks of at most ``block_items`` items and ``block_bytes`` bytes of text, as far as
-single items allow; each block is a search of its own over all documents.  Where there is more than one, the documents are
-written once with a row number, and the blocks' hits are united by it, so repeated and null ids stay rows of their own.
+single items allow; each block is a search of its own over all documents (a filter of what the blocks before left, where contaminated rows only have to
+go).  Where there is more than one, the documents are written once with a row number, and the blocks' hits are united by it, so repeated and null ids stay rows of their own.
 Null texts have no words; items without words have no pattern; an item without an id marks words but is not listed; repeated
 rows and items are handled alike; extra columns are not read.
 """
@@ -21,15 +21,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebook.llm import bytestext as bt
 from tidebook.llm.shared import staged
 
-_TABLE = 1 << 16
+_LEAST_BITS, _MOST_BITS = 16, 22  # of a shift table
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-ROWS = "row long, doc_id long, n_words long, hits array<struct<first:long,last:long>>, items array<string>"
+HITS = "n_words long, hits array<struct<first:long,last:long>>, items array<string>"
 
 
 def item_words(text: str | None) -> list[bytes]:
@@ -56,10 +57,13 @@ class Patterns:
         flat = _hash([w for p in self.words for w in p]).reshape(-1, self.m)
         self.b = min(2, self.m)  # words in a block
         most = self.m - self.b + 1
-        self.shift = np.full(_TABLE, most, np.int64)
+        # eight places for each of the patterns' blocks, so that most blocks of a text still meet an empty one
+        bits = min(_MOST_BITS, max(_LEAST_BITS, (8 * most * len(self.words)).bit_length()))
+        self.mask = np.uint64((1 << bits) - 1)
+        self.shift = np.full(1 << bits, most, np.uint8 if most < 256 else np.int64)
         for end in range(self.b - 1, self.m):
             blocks = self.blocks(flat, end)
-            np.minimum.at(self.shift, (blocks & np.uint64(_TABLE - 1)).astype(np.int64), self.m - 1 - end)
+            np.minimum.at(self.shift, (blocks & self.mask).astype(np.int64), self.m - 1 - end)
         last = self.blocks(flat, self.m - 1)
         order = np.argsort(last, kind="stable")
         self.last, self.order, self.flat = last[order], order, flat
@@ -74,7 +78,7 @@ class Patterns:
         at = first
         while len(at):
             block = _block(h[at - 1], h[at]) if self.b == 2 else bt.mix(h[at])
-            move = self.shift[(block & np.uint64(_TABLE - 1)).astype(np.int64)]
+            move = self.shift[(block & self.mask).astype(np.int64)].astype(np.int64)
             zero = np.flatnonzero(move == 0)
             if len(zero):
                 low, high = np.searchsorted(self.last, block[zero], "left"), np.searchsorted(self.last, block[zero], "right")
@@ -119,7 +123,7 @@ def compile_patterns(items: list[tuple[str | None, str | None]], window: int) ->
     return [Patterns(found) for _, found in sorted(by_length.items())]
 
 
-def search_batch(patterns: list[Patterns], rows: pa.Array, ids: list, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
+def search_batch(patterns: list[Patterns], rows: pa.Array, ids: pa.Array, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
     data = bt.lowered(data)
     starts, ends, words = bt.runs(data, offsets, bt.ALNUM)
     hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
@@ -142,7 +146,7 @@ def search_batch(patterns: list[Patterns], rows: pa.Array, ids: list, data: np.n
                 own.append({"first": low, "last": high})
         spans.append(own)
     kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
-    return pa.RecordBatch.from_arrays([rows, pa.array(ids, pa.int64()), pa.array(np.diff(words)), pa.array(spans, kind), pa.array([sorted(items.get(t, ())) for t in range(len(ids))], pa.list_(pa.string()))], ["row", "doc_id", "n_words", "hits", "items"])
+    return pa.RecordBatch.from_arrays([rows, ids, pa.array(np.diff(words)), pa.array(spans, kind), pa.array([sorted(items.get(t, ())) for t in range(len(ids))], pa.list_(pa.string()))], ["row", "doc_id", "n_words", "hits", "items"])
 
 
 def cut_blocks(sizes: dict[int, tuple[int, int]], n_buckets: int, block_items: int, block_bytes: int) -> list[tuple[int, int]]:
@@ -158,33 +162,37 @@ def cut_blocks(sizes: dict[int, tuple[int, int]], n_buckets: int, block_items: i
     return [*out, (low, n_buckets)]
 
 
-def find_contamination(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_items: int = 20_000, block_bytes: int = 8 << 20) -> DataFrame:
-    """One row for each document: n_words, n_hit, items (ids as strings, sorted) and hits (word ranges, end exclusive)."""
-    spark = documents.sparkSession
+def item_blocks(benchmark: DataFrame, item_id: str, item_text: str, block_items: int, block_bytes: int) -> list[DataFrame]:
+    """The distinct items (item, text), in blocks."""
     items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("text")).where("text is not null").distinct()
     whole = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
     n_buckets = 32 * max(1, -(-whole.n // block_items), -(-whole.b // block_bytes))
-    items = items.withColumn("bucket", F.pmod(F.xxhash64("item", "text"), F.lit(n_buckets)))
-    blocks = [(0, n_buckets)]
-    if n_buckets > 32:
-        items = staged(items, "items")
-        sizes = items.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b"))  # 32 rows a block
-        blocks = cut_blocks({r.bucket: (r.n, r.b) for r in sizes.collect()}, n_buckets, block_items, block_bytes)
+    if n_buckets == 32:
+        return [items]
+    items = staged(items.withColumn("bucket", F.pmod(F.xxhash64("item", "text"), F.lit(n_buckets))), "items")
+    sizes = items.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b"))  # 32 rows a block
+    blocks = cut_blocks({r.bucket: (r.n, r.b) for r in sizes.collect()}, n_buckets, block_items, block_bytes)
+    return [items.where((F.col("bucket") >= low) & (F.col("bucket") < high)) for low, high in blocks]
+
+
+def find_contamination(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_items: int = 20_000, block_bytes: int = 8 << 20) -> DataFrame:
+    """One row for each document: n_words, n_hit, items (ids as strings, sorted) and hits (word ranges, end exclusive)."""
+    spark = documents.sparkSession
+    blocks = item_blocks(benchmark, item_id, item_text, block_items, block_bytes)
     docs = documents.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     if len(blocks) > 1:
         docs = staged(docs, "documents")
     found = None
-    for low, high in blocks:
-        part = items.where((F.col("bucket") >= low) & (F.col("bucket") < high))
+    for part in blocks:
         shared = spark.sparkContext.broadcast([(r.item, r.text) for r in part.select("item", "text").collect()])  # a block of items at most
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             patterns = compile_patterns(shared.value, window)
             for batch in batches:
                 for rows, data, offsets in bt.blocks(batch):
-                    yield search_batch(patterns, rows.column(0), rows.column(1).to_pylist(), data, offsets)
+                    yield search_batch(patterns, rows.column(0), rows.column(1), data, offsets)
 
-        one = docs.mapInArrow(search, ROWS)
+        one = docs.mapInArrow(search, f"row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, {HITS}")
         found = one if found is None else found.unionByName(one)
     if len(blocks) > 1:
         found = found.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
@@ -195,3 +203,22 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, doc_id: str =
         lambda s: s["n"],
     )
     return found.select("doc_id", "n_words", covered.alias("n_hit"), "items", "hits")
+
+
+def without_contaminated(documents: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_items: int = 20_000, block_bytes: int = 8 << 20) -> DataFrame:
+    """The rows, all columns as they are, in which no window of any item occurs: each block of items filters what the one
+    before it left, in the same task, without a join."""
+    spark = documents.sparkSession
+    left = documents
+    for part in item_blocks(benchmark, item_id, item_text, block_items, block_bytes):
+        shared = spark.sparkContext.broadcast([(r.item, r.text) for r in part.select("item", "text").collect()])  # a block of items at most
+
+        def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            patterns = compile_patterns(shared.value, window)
+            for batch in batches:
+                for rows, data, offsets in bt.blocks(batch, text):
+                    found = search_batch(patterns, pa.nulls(rows.num_rows), pa.nulls(rows.num_rows), data, offsets)
+                    yield rows.filter(pc.equal(pc.list_value_length(found.column(3)), 0))
+
+        left = left.mapInArrow(clean, documents.schema)
+    return left

@@ -116,11 +116,12 @@ def logistic(x: np.ndarray) -> np.ndarray:
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, max_rows: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """label and text of at most ``max_rows`` labelled rows, those of least hash of doc_id; one label a document."""
+    """label and text of at most ``max_rows`` labelled rows, those of least hash of doc_id, which stands for it; of several labels
+    of one doc_id the largest holds."""
     own = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     own = staged(own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows), f"labels-{label}")
     texts = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return texts.join(own, "doc_id").select("doc_id", "label", "text")
+    return texts.join(own, "doc_id").select(F.xxhash64("doc_id").alias("doc_id"), "label", "text")
 
 
 def train(documents: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = 12_000, doc_id: str = "doc_id", text: str = "text") -> np.ndarray:
@@ -140,7 +141,7 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality", max_r
             for doc, y, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 n = len(v) // 8
                 sample.append((doc, y, np.frombuffer(v, "<i4", n), np.frombuffer(v, "<f4", n, 4 * n)))
-        sample.sort(key=lambda r: (r[0], r[1]))
+        sample.sort(key=lambda r: (r[0], r[1], r[2].tobytes()))
         positive = sum(r[1] for r in sample)
         if 0 < positive < len(sample):
             w = ftrl([r[1:] for r in sample], epochs=passes(len(sample)))
@@ -164,6 +165,7 @@ def score(documents: DataFrame, weights: np.ndarray, doc_id: str = "doc_id", tex
             for part, data, offsets in bt.blocks(batch):
                 first, index, value = features(data, offsets)
                 total = np.concatenate([[0.0], np.cumsum(w[index] * value)])
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(logistic(total[first[1:]] - total[first[:-1]] + w[-1]))], ["doc_id", out])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(logistic(total[first[1:]] - total[first[:-1]] + w[-1]))], ["doc_id", out])
 
-    return documents.select(doc_id, text).mapInArrow(run, f"doc_id long, {out} double")
+    rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {out} double")

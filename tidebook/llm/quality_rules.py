@@ -1,14 +1,22 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
-Measures of a text (rates of symbols, capitals, repeated lines, repeated word windows, and word length) reject it above a
-cutoff.  The cutoff of a rule in a stratum is the lowest of a fixed grid for which labelled good texts prove, by the exact
-binomial (Clopper-Pearson) bound, that the rule rejects at most its share of ``max_false_rejection`` of the stratum's good
-texts.  The error probability ``delta`` is divided by the number of strata, rules and grid points (Bonferroni), and the
-rejection budget by the number of rules, so that with probability 1 - delta every stratum loses at most the stated share.
-A stratum with too few labels gets no cutoff and loses nothing.
+Measures of a text (rates of symbols, capitals, repeated lines, repeated word windows and exclamation marks) reject it above
+a cutoff.  In each stratum the labelled good texts fall into two halves by the hash of their text:
+
+* the first half proposes: for each rule the strictest cutoff of a fixed grid that rejects at most a quarter of the rule's
+  share of the allowed false rejections there, and from it a path of ``STEPS`` sets of cutoffs, each a step stricter;
+* the second half proves: along the path, loosest set first, the exact binomial (Clopper-Pearson) bound has to show that the
+  rules of a set together reject at most ``max_false_rejection`` of the stratum's good texts.  The last set before the first
+  failure holds.  As the order is fixed beforehand, testing along a path needs no correction for its length; the error
+  probability ``delta`` is divided by the number of strata (Bonferroni).
+
+So with probability 1 - delta every stratum loses at most the stated share of its good texts.  A stratum with too few labels
+proves nothing and loses nothing.  Texts that occur more than once in a stratum are one trial, since copies would not be
+independent ones.
 
 Defined results: a null or empty text has no words and fails the base rule; a null stratum is one of its own; repeated rows
-are judged alike; with no labels only the base rule rejects; extra columns are not read.
+are judged alike; with no labels only the base rule rejects; a doc_id with a label of 1 counts as good, also where it has
+another label; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -23,23 +31,25 @@ SPACE = "[ \\x09-\\x0D]"
 SYMBOLS = "[#*$%&|<>]"
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 8, 20, 30
 
-#: Grids of cutoffs, from strict to loose; a text is rejected above the cutoff.
+#: Grids of cutoffs; a text is rejected above the cutoff.
 GRIDS = {
-    "symbol_rate": (0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.75, 1.0),
-    "upper_rate": (0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8),
-    "dup_line_rate": (0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.7),
-    "repeat_rate": (0.05, 0.1, 0.15, 0.2, 0.25, 0.3),
-    "bang_rate": (0.05, 0.1, 0.2, 0.3, 0.5, 1.0, 1.5),
+    "symbol_rate": (0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.75, 1.0),
+    "upper_rate": (0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8),
+    "dup_line_rate": (0.02, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.7),
+    "repeat_rate": (0.02, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3),
+    "bang_rate": (0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 1.0, 1.5),
 }
+STEPS = 4  # sets of cutoffs on a path
 
 
 def measures(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", stratum: Column | None = None) -> DataFrame:
-    """doc_id, stratum, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_upper, n_bang."""
+    """doc_id, stratum, fingerprint, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_upper, n_bang."""
     t = F.coalesce(F.col(text), F.lit(""))
     rows = documents.select(F.col(doc_id).alias("doc_id"), F.coalesce((stratum if stratum is not None else F.lit("")).cast("string"), F.lit("")).alias("stratum"), t.alias("t"))
     rows = rows.select(
         "doc_id",
         "stratum",
+        F.xxhash64("t").alias("fingerprint"),
         F.regexp_count("t", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         F.regexp_count("t", F.lit("[A-Z\\u00C0-\\u00DE]")).cast("long").alias("n_upper"),
         F.regexp_count("t", F.lit("!")).cast("long").alias("n_bang"),
@@ -49,6 +59,7 @@ def measures(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     rows = rows.select(
         "doc_id",
         "stratum",
+        "fingerprint",
         "n_symbols",
         "n_upper",
         "n_bang",
@@ -100,17 +111,39 @@ def most_rejections(n: Column, share: float, delta: Column) -> Column:
 
 def cutoffs(rows: DataFrame, good: DataFrame, max_false_rejection: float, delta: float) -> DataFrame:
     """stratum, then for each rule its cutoff or null; ``good`` has the doc_id of each labelled good text."""
-    tests = [(rule, c) for rule, grid in GRIDS.items() for c in grid]
     held = rows.join(good.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_semi")
-    counts = held.groupBy("stratum").agg(F.count("*").alias("n"), *[F.count_if(F.col(rule) > c).alias(f"r{i}") for i, (rule, c) in enumerate(tests)])
-    counts = staged(counts, "good-counts")  # a row a stratum
-    allowed = most_rejections(F.col("n"), max_false_rejection / len(GRIDS), F.lit(delta / max(1, counts.count() * len(tests))))
-    counts = counts.withColumn("allowed", allowed)
-    lowest = []
-    for rule in GRIDS:
-        passed = [F.when(F.col(f"r{i}") <= F.col("allowed"), F.lit(c)) for i, (r, c) in enumerate(tests) if r == rule]
-        lowest.append(F.least(*passed).alias(f"max_{rule}"))
-    return counts.select("stratum", *lowest)
+    held = staged(held.select("stratum", "fingerprint", *GRIDS).dropDuplicates(["stratum", "fingerprint"]), "good-texts")
+    first = F.pmod(F.xxhash64("fingerprint"), F.lit(2)) == 0
+    # first half: place of each rule's cutoff in its grid, counted from the loosest (0: none)
+    loose_first = {rule: sorted(grid, reverse=True) for rule, grid in GRIDS.items()}
+    counts = held.where(first).groupBy("stratum").agg(F.count("*").alias("n"), *[F.count_if(F.col(rule) > c).alias(f"{rule}_{k}") for rule, grid in loose_first.items() for k, c in enumerate(grid)])
+    few = F.floor(F.col("n") * max_false_rejection / len(GRIDS) / 4)
+    places = {rule: sum(((F.col(f"{rule}_{k}") <= few).cast("int") for k in range(len(grid))), F.lit(0)) for rule, grid in loose_first.items()}
+    paths = counts.select("stratum", *[p.alias(f"place_{rule}") for rule, p in places.items()])
+
+    def cutoff(rule: str, step: int) -> Column:
+        grid = F.array(*[F.lit(c) for c in loose_first[rule]])
+        return F.try_element_at(grid, F.nullif(F.ceil(F.col(f"place_{rule}") * step / STEPS).cast("int"), F.lit(0)))
+
+    paths = staged(paths.select("stratum", *[cutoff(rule, step).alias(f"{rule}_{step}") for rule in GRIDS for step in range(1, STEPS + 1)]), "paths")  # a row a stratum
+    # second half: what each set of the path rejects
+    rejected = lambda step: _any([F.coalesce(F.col(rule) > F.col(f"{rule}_{step}"), F.lit(False)) for rule in GRIDS])
+    proof = held.where(~first).join(paths, "stratum").groupBy("stratum").agg(F.count("*").alias("n"), *[F.count_if(rejected(step)).alias(f"rejected_{step}") for step in range(1, STEPS + 1)])
+    allowed = most_rejections(F.col("n"), max_false_rejection, F.lit(delta / max(1, paths.count())))
+    proof = proof.withColumn("allowed", allowed)
+    passed, fine = F.lit(0), F.lit(True)
+    for step in range(1, STEPS + 1):
+        fine = fine & (F.col(f"rejected_{step}") <= F.col("allowed"))
+        passed = F.when(fine, step).otherwise(passed)
+    chosen = proof.select("stratum", passed.alias("step")).join(paths, "stratum")
+    return chosen.select("stratum", *[F.try_element_at(F.array(*[F.col(f"{rule}_{step}") for step in range(1, STEPS + 1)]), F.nullif("step", F.lit(0))).alias(f"max_{rule}") for rule in GRIDS])
+
+
+def _any(conditions: list[Column]) -> Column:
+    out = F.lit(False)
+    for c in conditions:
+        out = out | c
+    return out
 
 
 def judge_quality(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", stratum: Column | None = None, max_false_rejection: float = 0.02, delta: float = 0.05) -> DataFrame:

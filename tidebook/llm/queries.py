@@ -48,7 +48,8 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.scan_pii(table(spark, sf_dir, "documents"))
     s = F.col("spans")
-    return found.select("doc_id", *[_count(s, k).alias(f"n_{k}") for k in pii.BASE_KINDS], _base(s, pii.BASE_KINDS).alias("base_sha256"), _span_text(s).alias("spans"))
+    least = F.array_min(F.transform(s, lambda x: x["score"])).alias("least_score")
+    return found.select("doc_id", *[_count(s, k).alias(f"n_{k}") for k in pii.BASE_KINDS], _base(s, pii.BASE_KINDS).alias("base_sha256"), _span_text(s).alias("spans"), least)
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +76,7 @@ def op6_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = class_lm.held_out(F.col("doc_id"), 7, 2)
     model, words = class_lm.train(documents.where(~held))
     scored = class_lm.score(documents, model, words)
-    return scored.select("doc_id", held.alias("held_out"), F.col("n_tokens").cast("long").alias("n_tokens"), F.col("n_known").cast("long").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    return scored.select("doc_id", held.alias("held_out"), F.col("n_tokens").cast("long").alias("n_tokens"), F.col("n_known").cast("long").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,15 @@
 """Secrets: patterns propose candidates, the whole corpus tells copied examples from live-looking credentials.
 
 Each candidate's value is hashed; over the corpus a value is counted by distinct repositories and distinct owners.  A value
-held by at least ``example_owners`` owners is an example that people copy; any other is live-looking.  Base kinds (assign,
-access, hex) are reported whatever the verdict; the method adds three kinds of its own.  A private key is one candidate from
-its BEGIN to its END line.
-
-The count of a value that a third of all rows hold is pre-aggregated before it is shuffled, and the verdict meets the
-candidates by an equi-join on the hash whose other side has one row a value.  A null text has no spans; a null repository or
-owner counts as one unnamed one; repeated rows are scanned alike; extra columns are not read.
+held by at least ``example_owners`` owners and in at least ``example_repos`` repositories is an example that people copy.
+Any other is live-looking: one owner's, in however many repositories, or a single copy that a second owner holds (a fork or
+a leak is no example yet).  Base kinds (assign, access, hex) are reported whatever the verdict; the method adds three kinds
+of its own.  A private key is one candidate from its BEGIN to its END line.
+
+The count of a value that a third of all rows hold is pre-aggregated before it is shuffled.  The verdict meets the candidates
+by an equi-join on the hash whose other side has one row a value, so the side of a hot value is one that Spark splits (AQE);
+only rows with candidates take part, the others pass as they are.  A null text has no spans; a null repository or owner
+counts as one unnamed one; repeated rows are scanned alike; columns that are not kept are not read.
 """
 
 from __future__ import annotations
@@ -74,13 +76,19 @@ def find_candidates(text: str) -> list[tuple[str, int, int, str]]:
     return out
 
 
-SPANS = "doc_id long, repo string, owner string, spans array<struct<kind:string,start:long,end:long,value:string>>"
+FOUND = "array<struct<kind:string,start:long,end:long,value:string>>"
 SPAN = "struct<kind:string,start:long,end:long,value:string,repos:long,owners:long,live:boolean>"
 
 
-def candidates(documents: DataFrame, repo: Column, owner: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each document with its candidates; ``value`` is a hash, never the secret."""
+def candidates(documents: DataFrame, repo: Column, owner: Column, keep: list[str], text: str = "text") -> DataFrame:
+    """The kept columns of each row, _repo, _owner and its candidates, _spans; ``value`` is a hash, never the secret."""
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())]))
+    name = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    rows = documents.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], name(repo).alias("repo"), name(owner).alias("owner"), F.col(text).alias("text"))
+    inside = keep.index(text) if text in keep else None  # the text crosses to Python once
+    if inside is not None:
+        rows = rows.drop("text").withColumnRenamed(f"k{inside}", "text").select(*[f"k{i}" if i != inside else "text" for i in range(len(keep))], "repo", "owner")
+    at = inside if inside is not None else len(keep) + 2
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,29 +96,35 @@ def candidates(documents: DataFrame, repo: Column, owner: Column, doc_id: str =
                 part = batch.slice(low, 500)
                 spans = [
                     [{"kind": k, "start": s, "end": e, "value": hashlib.sha256(v.encode()).hexdigest()} for k, s, e, v in find_candidates(t)] if t else []
-                    for t in part.column(3).to_pylist()
+                    for t in part.column(at).to_pylist()
                 ]
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(1).cast(pa.string()), part.column(2).cast(pa.string()), pa.array(spans, kind)], ["doc_id", "repo", "owner", "spans"])
+                names = [f"k{i}" for i in range(len(keep))] + ["repo", "owner", "spans"]
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep) + 2)), pa.array(spans, kind)], names)
 
-    rows = documents.select(F.col(doc_id).alias("doc_id"), F.coalesce(repo.cast("string"), F.lit("")).alias("repo"), F.coalesce(owner.cast("string"), F.lit("")).alias("owner"), F.col(text).alias("text"))
-    return rows.mapInArrow(scan, SPANS)
+    kept = ", ".join(f"k{i} {documents.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
+    found = rows.mapInArrow(scan, f"{kept}, repo string, owner string, spans {FOUND}")
+    return found.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("repo").alias("_repo"), F.col("owner").alias("_owner"), F.col("spans").alias("_spans"))
 
 
-def ownership(found: DataFrame, example_owners: int) -> DataFrame:
+def ownership(found: DataFrame, example_owners: int, example_repos: int) -> DataFrame:
     """value, repos, owners, live: over the whole corpus."""
-    held = found.select(F.explode("spans.value").alias("value"), "repo", "owner").groupBy("value", "repo", "owner").agg(F.lit(1).alias("one"))
-    repos = held.groupBy("value", "repo").agg(F.lit(1).alias("one")).groupBy("value").agg(F.count("*").alias("repos"))
-    owners = held.groupBy("value", "owner").agg(F.lit(1).alias("one")).groupBy("value").agg(F.count("*").alias("owners"))
-    return repos.join(owners, "value").withColumn("live", F.col("owners") < example_owners)
-
-
-def scan_secrets(documents: DataFrame, repo: Column, owner: Column, doc_id: str = "doc_id", text: str = "text", example_owners: int = 2) -> DataFrame:
-    """One row for each document: doc_id and ``spans``, each with its value's repositories, owners and whether it looks live."""
-    found = staged(candidates(documents, repo, owner, doc_id, text).withColumn("_row", F.monotonically_increasing_id()), "secrets")
-    flat = found.where(F.size("spans") > 0).select("_row", F.posexplode("spans").alias("pos", "s"))
-    known = flat.withColumn("value", F.col("s.value")).join(ownership(found, example_owners), "value")
+    held = found.select(F.explode("_spans.value").alias("value"), "_repo", "_owner").groupBy("value", "_repo", "_owner").agg(F.lit(1).alias("one"))
+    repos = held.groupBy("value", "_repo").agg(F.lit(1).alias("one")).groupBy("value").agg(F.count("*").alias("repos"))
+    owners = held.groupBy("value", "_owner").agg(F.lit(1).alias("one")).groupBy("value").agg(F.count("*").alias("owners"))
+    return repos.join(owners, "value").withColumn("live", ~((F.col("owners") >= example_owners) & (F.col("repos") >= example_repos)))
+
+
+def scan_secrets(documents: DataFrame, repo: Column, owner: Column, keep: list[str] | None = None, text: str = "text", example_owners: int = 2, example_repos: int = 3, out: str = "spans") -> DataFrame:
+    """Each row's kept columns (doc_id by default) and its spans, each with its value's repositories, owners and whether it
+    looks live."""
+    keep = ["doc_id"] if keep is None else keep
+    found = staged(candidates(documents, repo, owner, keep, text).withColumn("_row", F.monotonically_increasing_id()), "secrets")
+    some = found.where(F.size("_spans") > 0)
+    flat = some.select("_row", F.posexplode("_spans").alias("pos", "s"))
+    known = flat.withColumn("value", F.col("s.value")).join(ownership(some, example_owners, example_repos), "value")
     span = F.struct("s.kind", "s.start", "s.end", "value", "repos", "owners", "live")
     spans = known.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("pos", span.alias("span")))).alias("all"))
-    spans = spans.select("_row", F.transform("all", lambda x: x["span"]).alias("spans"))
-    empty = F.from_json(F.lit("[]"), f"array<{SPAN}>")
-    return found.drop("spans").join(spans, "_row", "left").select("doc_id", F.coalesce("spans", empty).alias("spans"))
+    spans = spans.select("_row", F.transform("all", lambda x: x["span"]).alias("_judged"))
+    with_spans = some.join(spans, "_row").select(*keep, F.col("_judged").alias(out))
+    without = found.where(F.size("_spans") == 0).select(*keep, F.from_json(F.lit("[]"), f"array<{SPAN}>").alias(out))
+    return with_spans.unionByName(without)

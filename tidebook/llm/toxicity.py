@@ -3,8 +3,8 @@
 Features are hashed n-grams of three, five and seven characters (A-Z lowered), present or not.  On at most ``max_rows`` labelled
 rows (those of least hash, whole texts) the log ratio of a feature's smoothed share among toxic texts to its share among the
 others is its scale; features of a ratio near zero, or of fewer than ``MIN_TEXTS`` texts, carry no weight.  A logistic
-regression is then learnt on the scaled features by follow-the-regularised-leader, in one task over the bounded sample.
-Scoring gathers the weights of all n-grams of a whole text and adds each distinct one once.
+regression is then learnt on the scaled features by follow-the-regularised-leader, in one task over the bounded sample,
+where cross-fitting sets the bias.  Scoring gathers the weights of all n-grams of a whole text and adds each distinct one once.
 
 A null or empty text has only the bias; without labelled rows of both classes every score is the share of label 1 (0.5 if
 there are no rows); a null label does not count; repeated rows are scored alike; extra columns are not read.
@@ -25,7 +25,7 @@ from tidebook.llm.shared import staged
 
 BITS, SIZES = 21, (3, 5, 7)
 MIN_TEXTS, MIN_RATIO = 4, 1.0
-CUT = 0.7
+CUT, FOLDS = 0.7, 3
 
 
 def grams(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -58,14 +58,12 @@ def grams(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None = Non
     return key >> BITS, key & ((1 << BITS) - 1)
 
 
-def scales(counted: DataFrame, n_toxic: int, n_clean: int) -> np.ndarray:
-    """Scale of each feature: its log-count ratio, or 0 where it is too rare or too even (those stay on the executors)."""
+def scales(counted: DataFrame, n_toxic: int, n_clean: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features and scales: log-count ratios; those too rare or too even stay on the executors."""
     ratio = F.log((F.col("toxic") + 1) / F.lit(n_toxic + 2)) - F.log((F.col("clean") + 1) / F.lit(n_clean + 2))
     rows = counted.where(F.col("index") < 1 << BITS).select("index", (F.col("toxic") + F.col("clean")).alias("n"), ratio.alias("r"))
-    table = rows.where((F.col("n") >= MIN_TEXTS) & (F.abs("r") >= MIN_RATIO)).select("index", "r").toPandas()  # 2 ** BITS rows at most
-    out = np.zeros(1 << BITS)
-    out[table["index"].to_numpy()] = table["r"].to_numpy()
-    return out
+    table = rows.where((F.col("n") >= MIN_TEXTS) & (F.abs("r") >= MIN_RATIO)).select(F.col("index").cast("int").alias("index"), "r").toPandas()  # 2 ** BITS rows at most
+    return table["index"].to_numpy(), table["r"].to_numpy()
 
 
 def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 12_000, doc_id: str = "doc_id", text: str = "text") -> np.ndarray:
@@ -77,11 +75,11 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", max_row
         counts = np.zeros((2, (1 << BITS) + 1), np.int64)
         for batch in batches:
             for part, data, offsets in bt.blocks(batch):
-                y = part.column(1).to_numpy().astype(bool)
+                y = part.column(1).to_numpy()
                 text_, index = grams(data, offsets)
                 for k in (0, 1):
-                    counts[k, :-1] += np.bincount(index[y[text_] == bool(k)], minlength=1 << BITS)
-                    counts[k, -1] += int((y == bool(k)).sum())
+                    counts[k, :-1] += np.bincount(index[y[text_] == k], minlength=1 << BITS)
+                    counts[k, -1] += int((y == k).sum())
         seen = np.flatnonzero(counts.any(0))
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[1, seen]), pa.array(counts[0, seen])], ["index", "toxic", "clean"])
 
@@ -96,7 +94,7 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", max_row
     scale = spark.sparkContext.broadcast(scales(counted, n_toxic, n_clean))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = scale.value != 0
+        wanted = dense(*scale.value)[:-1] != 0
         for batch in batches:
             for part, data, offsets in bt.blocks(batch):
                 text_, index = grams(data, offsets, wanted)
@@ -109,50 +107,88 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", max_row
         for batch in batches:
             for doc, y, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 sample.append((doc, y, np.frombuffer(v, "<i4")))
-        sample.sort(key=lambda r: (r[0], r[1]))
-        w = fit([r[1:] for r in sample], scale.value)
-        yield pa.RecordBatch.from_arrays([pa.array([w.astype("<f8").tobytes()], pa.binary())], ["weights"])
+        sample.sort(key=lambda r: (r[0], r[1], r[2].tobytes()))
+        at, values, bias = sparse(fit([r[1:] for r in sample], dense(*scale.value)[:-1]))
+        yield pa.RecordBatch.from_arrays([pa.array([at.astype("<i4").tobytes()], pa.binary()), pa.array([values.astype("<f8").tobytes()], pa.binary()), pa.array([bias])], ["at", "values", "bias"])
 
-    sparse = staged(rows.mapInArrow(vectors, "doc_id long, label int, vector binary"), "toxic-vectors")
-    model = staged(sparse.repartition(1).mapInArrow(learn, "weights binary"), "toxic-model").collect()
-    return np.frombuffer(model[0].weights, "<f8")
+    made = staged(rows.mapInArrow(vectors, "doc_id long, label int, vector binary"), "toxic-vectors")
+    model = staged(made.repartition(1).mapInArrow(learn, "at binary, values binary, bias double"), "toxic-model").first()
+    return dense(np.frombuffer(model.at, "<i4"), np.frombuffer(model["values"], "<f8"), model.bias)
 
 
-def fit(sample: list[tuple[int, np.ndarray]], scale: np.ndarray) -> np.ndarray:
-    """Weights times scales.  The bias is then moved so that the score ``CUT`` lies halfway between the highest clean and the
-    lowest toxic texts of the sample (their outer hundredths left aside): short texts have few features and low sums."""
+def ratios(sample: list[tuple[int, np.ndarray]]) -> np.ndarray:
+    """Log-count ratios of the features of the rows; 0 for those too rare or too even."""
+    counts, rows = np.zeros((2, 1 << BITS), np.int32), [0, 0]
+    for y, index in sample:
+        counts[y, index] += 1
+        rows[y] += 1
+    ratio = np.log((counts[1] + 1) / (rows[1] + 2)) - np.log((counts[0] + 1) / (rows[0] + 2))
+    return np.where((counts.sum(0) >= MIN_TEXTS) & (np.abs(ratio) >= MIN_RATIO), ratio, 0.0)
+
+
+def learnt(sample: list[tuple[int, np.ndarray]], scale: np.ndarray) -> np.ndarray:
     w = ftrl([(y, i, scale[i] * 0.1) for y, i in sample], BITS, epochs=passes(len(sample)), alpha=0.5, l1=0.05, l2=0.1)
     w[:-1] *= scale * 0.1
-    sums = np.array([w[i].sum() for _, i in sample])
-    toxic = np.array([y for y, _ in sample]) == 1
-    high, low = np.quantile(sums[~toxic], 0.999), np.quantile(sums[toxic], 0.01)
-    if low > high:
-        w[-1] = np.log(CUT / (1 - CUT)) - (high + low) / 2
     return w
 
 
+def fit(sample: list[tuple[int, np.ndarray]], scale: np.ndarray) -> np.ndarray:
+    """Weights times scales.  The bias is then moved so that the score ``CUT`` lies where the rate of toxic texts missed plus
+    twice that of clean ones taken is the least, in the middle of the widest gap between neighbouring sums for which it is.
+    The sums are those that each row has from weights and scales of the two thirds of the sample it isn't in."""
+    w = learnt(sample, scale)
+    sums, toxic = np.zeros(len(sample)), np.array([y for y, _ in sample]) == 1
+    for fold in range(FOLDS):
+        rest = [row for k, row in enumerate(sample) if k % FOLDS != fold]
+        part = learnt(rest, ratios(rest))
+        sums[fold::FOLDS] = [part[i].sum() for _, i in sample[fold::FOLDS]]
+    order = np.argsort(sums, kind="stable")
+    sums, toxic = sums[order], toxic[order]
+    missed = np.concatenate([[0], np.cumsum(toxic)]) / toxic.sum()
+    taken = 1 - np.concatenate([[0], np.cumsum(~toxic)]) / (~toxic).sum()
+    low, high = np.concatenate([[sums[0] - 2], sums]), np.concatenate([sums, [sums[-1] + 2]])
+    errors = np.where(high > low, missed + 2 * taken, np.inf)
+    best = np.flatnonzero(errors <= errors.min() + 1e-12)
+    at = best[np.argmax((high - low)[best])]
+    w[-1] = np.log(CUT / (1 - CUT)) - (low[at] + high[at]) / 2
+    return w
+
+
+def sparse(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """What travels of the weights: the places that aren't zero, their values, and the bias."""
+    at = np.flatnonzero(weights[:-1])
+    return at.astype(np.int32), weights[at], float(weights[-1])
+
+
+def dense(at: np.ndarray, values: np.ndarray, bias: float = 0.0) -> np.ndarray:
+    out = np.zeros((1 << BITS) + 1)
+    out[at], out[-1] = values, bias
+    return out
+
+
 def score(documents: DataFrame, weights: np.ndarray, doc_id: str = "doc_id", text: str = "text", out: str = "score") -> DataFrame:
     """doc_id and the score of each whole text."""
-    shared = documents.sparkSession.sparkContext.broadcast(weights)  # 16 MB: fixed by BITS
+    shared = documents.sparkSession.sparkContext.broadcast(sparse(weights))  # bounded by BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = shared.value
+        w = dense(*shared.value)
         wanted = w[:-1] != 0
         for batch in batches:
             for part, data, offsets in bt.blocks(batch):
                 text_, index = grams(data, offsets, wanted)
                 total = np.bincount(text_, w[index], part.num_rows) + w[-1]
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(logistic(total))], ["doc_id", out])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(logistic(total))], ["doc_id", out])
 
-    return documents.select(doc_id, text).mapInArrow(run, f"doc_id long, {out} double")
+    rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {out} double")
 
 
 def without_toxic(documents: DataFrame, weights: np.ndarray, threshold: float = 0.7, text: str = "text") -> DataFrame:
     """The rows, all columns as they are, whose text scores below ``threshold``."""
-    shared = documents.sparkSession.sparkContext.broadcast(weights)
+    shared = documents.sparkSession.sparkContext.broadcast(sparse(weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = shared.value
+        w = dense(*shared.value)
         wanted = w[:-1] != 0
         for batch in batches:
             for part, data, offsets in bt.blocks(batch, text):
