@@ -43,12 +43,12 @@ def column_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def blocks(batch: pa.RecordBatch, text: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Cut a batch into runs of rows of about a megabyte of text (a longer text is a run of its own)."""
+def blocks(batch: pa.RecordBatch, text: str = "text", size: int = _BLOCK) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Cut a batch into runs of rows of about ``size`` bytes of text (a longer text is a run of its own)."""
     data, offsets = column_bytes(batch.column(batch.schema.get_field_index(text)))
     low, n = 0, batch.num_rows
     while low < n:
-        high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + _BLOCK, "right")) - 1)
+        high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + size, "right")) - 1)
         yield batch.slice(low, high - low), data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
         low = high
 

@@ -26,6 +26,7 @@ from tidebook.llm.shared import staged
 BITS, SIZES = 21, (3, 5, 7)
 MIN_TEXTS, MIN_RATIO = 4, 1.0
 CUT, FOLDS = 0.7, 3
+_BLOCK = 1 << 18  # bytes of text whose n-grams are made at once
 
 
 def grams(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -72,16 +73,18 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", max_row
     rows = staged(labelled_sample(documents, labels, label, max_rows, doc_id, text), "toxic-sample")
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, (1 << BITS) + 1), np.int64)
+        counts = np.zeros((2, (1 << BITS) + 1), np.int32)
         for batch in batches:
-            for part, data, offsets in bt.blocks(batch):
+            for part, data, offsets in bt.blocks(batch, size=_BLOCK):
                 y = part.column(1).to_numpy()
                 text_, index = grams(data, offsets)
                 for k in (0, 1):
-                    counts[k, :-1] += np.bincount(index[y[text_] == k], minlength=1 << BITS)
+                    np.add.at(counts[k], index[y[text_] == k], 1)  # each n-gram once a text
                     counts[k, -1] += int((y == k).sum())
         seen = np.flatnonzero(counts.any(0))
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[1, seen]), pa.array(counts[0, seen])], ["index", "toxic", "clean"])
+        for low in range(0, len(seen), 1 << 16):
+            part = seen[low : low + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[1, part].astype(np.int64)), pa.array(counts[0, part].astype(np.int64))], ["index", "toxic", "clean"])
 
     counted = rows.mapInArrow(frequencies, "index long, toxic long, clean long").groupBy("index").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     counted = staged(counted, "toxic-counts")
@@ -96,7 +99,7 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", max_row
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = dense(*scale.value)[:-1] != 0
         for batch in batches:
-            for part, data, offsets in bt.blocks(batch):
+            for part, data, offsets in bt.blocks(batch, size=_BLOCK):
                 text_, index = grams(data, offsets, wanted)
                 first = np.searchsorted(text_, np.arange(part.num_rows + 1))
                 packed = [index[a:b].astype("<i4").tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
@@ -174,7 +177,7 @@ def score(documents: DataFrame, weights: np.ndarray, doc_id: str = "doc_id", tex
         w = dense(*shared.value)
         wanted = w[:-1] != 0
         for batch in batches:
-            for part, data, offsets in bt.blocks(batch):
+            for part, data, offsets in bt.blocks(batch, size=_BLOCK):
                 text_, index = grams(data, offsets, wanted)
                 total = np.bincount(text_, w[index], part.num_rows) + w[-1]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(logistic(total))], ["doc_id", out])
@@ -191,7 +194,7 @@ def without_toxic(documents: DataFrame, weights: np.ndarray, threshold: float =
         w = dense(*shared.value)
         wanted = w[:-1] != 0
         for batch in batches:
-            for part, data, offsets in bt.blocks(batch, text):
+            for part, data, offsets in bt.blocks(batch, text, _BLOCK):
                 text_, index = grams(data, offsets, wanted)
                 total = np.bincount(text_, w[index], part.num_rows) + w[-1]
                 yield part.filter(pa.array(logistic(total) < threshold))
