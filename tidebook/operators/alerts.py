@@ -6,18 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebook.functions.scalars import lsn_number, seconds_between
+from tidebook.operators.percentiles import percentiles
 
 # Limits of the rules.
 STALL_SECONDS, LAG_LIMIT, LAG_DEGRADED, FRESH_SECONDS, RETRY_LIMIT, HEARTBEAT_SECONDS, SLOT_LIMIT = 300, 5_000, 50_000, 60, 10, 60, 256 * 1024 * 1024
 SEVERITY = {"healthy": 0, "unknown": 1, "degraded": 1, "down": 2}
 
 
-def alerts(log: DataFrame, bronze: DataFrame, lag: DataFrame, heartbeats: DataFrame, as_of: Column, minutes: int = 15) -> DataFrame:
+def alerts(log: DataFrame, bronze: DataFrame, lag: DataFrame, heartbeats: DataFrame, as_of: Column, minutes: int = 15, exact: bool = False) -> DataFrame:
     """alert, value, firing: one row for each rule, from one row of each input."""
     recent = F.col("committed_at") >= as_of - F.make_dt_interval(mins=F.lit(minutes))
     one = F.lit(1).alias("one")
     b = log.agg(seconds_between(as_of, F.max("committed_at")).alias("idle"), F.coalesce(F.sum(F.when(recent, F.col("dlq_rows"))), F.lit(0)).alias("rejects"), F.coalesce(F.sum(F.when(recent, F.col("commit_retries"))), F.lit(0)).alias("retries"), one)
-    f = bronze.where(recent & (F.col("apply_outcome") == "applied")).agg(F.percentile(seconds_between(F.col("committed_at"), F.col("source_ts")), 0.95).alias("p95"), one)
+    f = percentiles(bronze.where(recent & (F.col("apply_outcome") == "applied")), seconds_between(F.col("committed_at"), F.col("source_ts")), {"p95": 0.95}, exact=exact).agg(F.max("p95").alias("p95"), one)
     h = heartbeats.agg(seconds_between(as_of, F.max("ts")).alias("beat"), one)
     row = b.join(f, "one").join(h, "one").join(lag.select("total_lag", one), "one")
     idle, behind = F.coalesce("idle", F.lit(float("inf"))), F.col("total_lag")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebook.functions.scalars import seconds_between
+from tidebook.operators.percentiles import percentiles
 
 OUTCOMES = ("applied", "superseded", "stale", "duplicate")
 
@@ -46,23 +47,32 @@ def outcome_counts(planned: DataFrame, by: tuple[str, ...] = ("batch_id",)) -> D
     return planned.groupBy(*by).agg(*counts, F.count_if(F.coalesce("is_late", F.lit(False))).alias("late_rows"))
 
 
-def freshness(rows: DataFrame, committed: Column, source: Column, *by: str, exact: bool = True) -> DataFrame:
-    """p50, p95 and maximum of seconds from source to commit.  ``exact`` sorts; else a bounded sketch is used."""
+def _beside(found: DataFrame, rest: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Columns of two aggregations of the same groups; without groups both are one row."""
+    if by:
+        return rest.join(found, list(by), "left")
+    return rest.join(found, F.lit(True), "left")
+
+
+def freshness(rows: DataFrame, committed: Column, source: Column, *by: str, exact: bool = False) -> DataFrame:
+    """p50, p95 and maximum of seconds from source to commit; exact percentiles on request, else from a bounded sketch."""
     seconds = seconds_between(committed, source)
-    own = (lambda q: F.percentile(seconds, q)) if exact else (lambda q: F.percentile_approx(seconds, q, 10_000))
-    return rows.groupBy(*by).agg(own(0.5).alias("p50"), own(0.95).alias("p95"), F.max(seconds).alias("longest"), F.count("*").alias("events"))
+    rest = rows.groupBy(*by).agg(F.max(seconds).alias("longest"), F.count("*").alias("events"))
+    return _beside(percentiles(rows, seconds, {"p50": 0.5, "p95": 0.95}, *by, exact=exact), rest, by).select(*by, "p50", "p95", "longest", "events")
 
 
-def statistics(rows: DataFrame, value: Column, *by: str) -> DataFrame:
-    """Linear-interpolated percentiles, mean, sample deviation (0 for one value), minimum, maximum and count."""
-    return rows.groupBy(*by).agg(
-        *[F.percentile(value, q).alias(f"p{round(q * 100)}") for q in (0.5, 0.95, 0.99)],
+def statistics(rows: DataFrame, value: Column, *by: str, exact: bool = False) -> DataFrame:
+    """Percentiles (from a bounded sketch, or exact and linear between values), mean, sample deviation (0 for one value),
+    minimum, maximum and count."""
+    names = {f"p{round(q * 100)}": q for q in (0.5, 0.95, 0.99)}
+    rest = rows.groupBy(*by).agg(
         F.avg(value).alias("mean"),
         F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("stddev"),
         F.min(value).alias("smallest"),
         F.max(value).alias("largest"),
         F.count(value).alias("samples"),
     )
+    return _beside(percentiles(rows, value, names, *by, exact=exact), rest, by).select(*by, *names, "mean", "stddev", "smallest", "largest", "samples")
 
 
 def latest_attempts(log: DataFrame) -> DataFrame:

@@ -38,8 +38,8 @@ def iteration_summary(iterations: DataFrame) -> DataFrame:
     })
 
 
-def pooled_latency(samples: DataFrame, value: str = "latency_ms", *by: str) -> DataFrame:
-    return statistics(samples, F.col(value).cast("double"), *by)
+def pooled_latency(samples: DataFrame, value: str = "latency_ms", *by: str, exact: bool = False) -> DataFrame:
+    return statistics(samples, F.col(value).cast("double"), *by, exact=exact)
 
 
 def evaluate_thresholds(metrics: DataFrame, limits: dict[str, float]) -> DataFrame:

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from tidebook.sources.staging import staged
 
 
+COMPACT = 8
+
+
 def edges_of(jobs: DataFrame) -> DataFrame:
     """src, dst: inputs to jobs and jobs to outputs."""
     into = jobs.select(F.explode("inputs").alias("src"), F.col("id").alias("dst"))
@@ -29,6 +32,8 @@ def downstream(edges: DataFrame, start: DataFrame) -> DataFrame:
         if frontier.isEmpty():
             return seen
         seen = seen.unionByName(frontier)
+        if depth % COMPACT == 0:  # a long chain's frontiers become one table again
+            seen = staged(seen, "reach")
 
 
 def upstream(edges: DataFrame, start: DataFrame) -> DataFrame:
@@ -36,7 +41,11 @@ def upstream(edges: DataFrame, start: DataFrame) -> DataFrame:
 
 
 def impact(edges: DataFrame, start: DataFrame, nodes: DataFrame) -> DataFrame:
-    """What a change of the start nodes touches: by kind of node, how many, the deepest, and the owners to tell."""
+    """What a change of the start nodes touches: by kind of node, how many, the deepest, and the owners to tell.  A start
+    node that is in ``nodes`` nowhere is an error."""
+    unknown = start.join(nodes, "id", "left_anti").select("id").limit(5).collect()
+    if unknown:
+        raise ValueError(f"unknown nodes: {', '.join(sorted(str(r.id) for r in unknown))}")
     touched = downstream(edges, start).where("depth > 0").join(nodes, "id")
     return touched.groupBy("kind").agg(F.count("*").alias("affected"), F.max("depth").alias("deepest"), F.array_join(F.array_sort(F.collect_set("owner")), ",").alias("owners"))
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from tidebook.operators.batchlog import fingerprint
 from tidebook.sources.lake import ATTEMPT, BRONZE_SCHEMA, COVER_SCHEMA, MANIFEST_SCHEMA, Lake
 
+EVIDENCE_SCHEMA = "table_name string, status string, started_at timestamp, finished_at timestamp, files_before long, bytes_before long, files_after long, bytes_after long, generations_before long, generations_after long, fingerprint_match boolean"
 TASKS = ("compact", "retention", "orphans")
 _SIZE = {"B": 1, "kB": 1 << 10, "MB": 1 << 20, "GB": 1 << 30}
 _TIME = {"s": 1, "m": 60, "h": 3600, "d": 86400}
@@ -43,6 +45,7 @@ def compact(lake: Lake, target: str = "64MB") -> dict:
     cover.write.parquet(f"{lake.root}/generations/{generation}/cover")
     before.repartition(files, "source_date", F.pmod(F.xxhash64("event_id"), F.lit(files))).write.partitionBy("source_date").parquet(f"{lake.root}/generations/{generation}/bronze")
     new = lake.read(f"generations/{generation}/bronze", BRONZE_SCHEMA)
+    new.groupBy("source_table", "primary_key").agg(F.max("source_lsn").alias("source_lsn")).write.parquet(f"{lake.root}/generations/{generation}/positions")
     covered = lake.read(f"generations/{generation}/cover", COVER_SCHEMA)
     old = before.join(covered, ATTEMPT, "left_semi")
     same = _identity(old).first() == _identity(new).first()
@@ -72,13 +75,15 @@ def orphan_files(lake: Lake, older_than: str, as_of) -> DataFrame:
 
 
 def maintain(lake: Lake, tasks: tuple[str, ...] = TASKS, target: str = "64MB", keep: str = "7d", delete: bool = False) -> DataFrame:
-    """Run tasks and append their evidence; a lake without bronze rows is skipped, an unknown task is an error."""
+    """Run tasks and append their evidence (a row a run, and a row a table in ``maintenance_tables``); a lake without bronze rows is skipped, an unknown task is an error."""
     unknown = set(tasks) - set(TASKS)
     if unknown:
         raise ValueError(f"unknown tasks: {sorted(unknown)}")
     parse_size(target), parse_duration(keep)
     size = lambda: lake.files().agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("b")).first()
     before, now = size(), F.current_timestamp()
+    tables = lambda: {r.kind: r for r in lake.file_statistics().collect()}  # a row a table
+    started, tables_before, generations_before = dt.datetime.now(dt.timezone.utc), tables(), lake.read("manifest", MANIFEST_SCHEMA).count()
     status, match, found = "succeeded", None, 0
     if lake.log().isEmpty():
         status = "skipped"
@@ -102,4 +107,10 @@ def maintain(lake: Lake, tasks: tuple[str, ...] = TASKS, target: str = "64MB", k
         F.lit(before.n).alias("files_before"), F.lit(after.n).alias("files_after"), F.lit(before.b).alias("bytes_before"), F.lit(after.b).alias("bytes_after"), F.lit(found).alias("orphan_files"), F.lit(match).cast("boolean").alias("fingerprint_match"),
     )
     lake.append("maintenance", row)
+    tables_after, none = tables(), Row(files=0, bytes=0)
+    evidence = [
+        (kind, status, started, dt.datetime.now(dt.timezone.utc), *(int(getattr(t.get(kind, none), c)) for t in (tables_before, tables_after) for c in ("files", "bytes")), generations_before, lake.read("manifest", MANIFEST_SCHEMA).count(), match if kind == "bronze" else None)
+        for kind in ("bronze", "rejects", "batches", "generations")
+    ]
+    lake.append("maintenance_tables", lake.spark.createDataFrame(evidence, EVIDENCE_SCHEMA))
     return row

@@ -40,7 +40,8 @@ def mark_repeats(events: DataFrame) -> DataFrame:
 def plan_history(events: DataFrame, lateness_ms: int = LATENESS_MS) -> DataFrame:
     """``events`` with ``apply_outcome`` and ``is_late`` (null for duplicates).
 
-    Needs event_id, source_table, primary_key, source_lsn, source_ts_ms, batch_id and the Kafka place.  Two shuffles of the
+    Needs event_id, source_table, primary_key, source_lsn, source_ts_ms, batch_id and the Kafka place.  ``previous_lsn`` is
+    added: the key's highest position of the batches before, which is that of its applied event before.  Two shuffles of the
     events, by id and by key; the batches' watermarks are a row each and are joined.
     """
     marked = mark_repeats(events)
@@ -52,7 +53,7 @@ def plan_history(events: DataFrame, lateness_ms: int = LATENESS_MS) -> DataFrame
     by_key = Window.partitionBy(*_KEY).orderBy("batch_id").rangeBetween(Window.unboundedPreceding, -1)
     in_batch = Window.partitionBy(*_KEY, "batch_id").orderBy(F.col("_lsn").desc_nulls_last(), *_last_first()[1:])
     planned = marked.withColumns({"_base": F.max("_lsn").over(by_key), "_rank": F.row_number().over(in_batch)}).join(marks, "batch_id")
-    return _outcomes(planned, F.col("arrival") > 1).drop("arrival", "_lsn", "_base", "_rank", "watermark_ms")
+    return _outcomes(planned, F.col("arrival") > 1).withColumnRenamed("_base", "previous_lsn").drop("arrival", "_lsn", "_rank", "watermark_ms")
 
 
 def _outcomes(planned: DataFrame, repeated) -> DataFrame:
@@ -78,7 +79,7 @@ def plan_batch(batch: DataFrame, bronze: DataFrame, silver_lsn: DataFrame, water
     ranks = Window.partitionBy(*_KEY).orderBy(F.col("_lsn").desc_nulls_last(), *_last_first()[1:])
     base = silver_lsn.select(*_KEY, F.col("_source_lsn").alias("_base"))
     planned = marked.withColumn("_rank", F.row_number().over(ranks)).join(base, list(_KEY), "left").withColumn("watermark_ms", F.lit(watermark_ms).cast("long"))
-    return _outcomes(planned, F.col("_repeat")).drop("_arrival", "_known", "_repeat", "_lsn", "_base", "_rank", "watermark_ms")
+    return _outcomes(planned, F.col("_repeat")).withColumnRenamed("_base", "previous_lsn").drop("_arrival", "_known", "_repeat", "_lsn", "_rank", "watermark_ms")
 
 
 def next_watermark(before_ms: int, newest_ms: int | None, lateness_ms: int = LATENESS_MS) -> int:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebook.functions.scalars import any_of, seconds_between
+from tidebook.operators.percentiles import percentiles
 from tidebook.operators.state import live
 from tidebook.plans.contracts import Registry
 
@@ -50,15 +51,15 @@ def differences(lake: DataFrame, source: DataFrame, key: list[str], columns: lis
 
 
 def contract_checks(registry: Registry, name: str, rows: DataFrame) -> list[DataFrame]:
-    """Uniqueness, completeness and validity of one current-state table."""
+    """Uniqueness, completeness and validity of one current-state table; all counts of single rows are one aggregation."""
     out = [_row(repeated_keys(rows, "primary_key"), f"{name}.primary_key_unique", name, "uniqueness", "critical")]
     columns = registry.columns(name)
-    wanted = [f for f in columns if f.required and not f.nullable]
-    out.append(_row(count_where(live(rows), any_of(*[F.col(f.column).isNull() for f in wanted])), f"{name}.required_not_null", name, "completeness", "critical"))
-    for f in columns:
-        if f.enum:
-            bad = F.col(f.column).isNotNull() & ~F.col(f.column).isin(*f.enum)
-            out.append(_row(count_where(live(rows), bad), f"{name}.{f.name}_enum", name, "validity", "critical"))
+    counted = {f"{name}.required_not_null": ("completeness", any_of(*[F.col(f.column).isNull() for f in columns if f.required and not f.nullable]))}
+    counted |= {f"{name}.{f.name}_enum": ("validity", F.col(f.column).isNotNull() & ~F.col(f.column).isin(*f.enum)) for f in columns if f.enum}
+    one = live(rows).agg(*[F.count_if(bad).alias(f"n{k}") for k, (_, bad) in enumerate(counted.values())])
+    each = F.array(*[F.struct(F.lit(check).alias("check_id"), F.lit(category).alias("category"), F.col(f"n{k}").cast("double").alias("value")) for k, (check, (category, _)) in enumerate(counted.items())])
+    found = one.select(F.explode(each).alias("c")).select("c.*")
+    out.append(found.select("check_id", F.lit(name).alias("dataset"), "category", F.lit("critical").alias("severity"), F.when(F.col("value") <= 0, "pass").otherwise("fail").alias("status"), "value", F.lit(0.0).alias("threshold"), F.lit("rows").alias("unit")))
     return out
 
 
@@ -86,22 +87,23 @@ def reconciliation_check(registry: Registry, name: str, rows: DataFrame, source:
     return _row(count_where(both, wrong), f"{name}.source_reconciliation", name, "reconciliation", "critical")
 
 
-def freshness_check(registry: Registry, name: str, bronze: DataFrame, as_of: Column) -> DataFrame:
+def freshness_check(registry: Registry, name: str, bronze: DataFrame, as_of: Column, exact: bool = False) -> DataFrame:
     c = registry.current(name)
     recent = bronze.where((F.col("source_table") == c.table) & (F.col("apply_outcome") == "applied") & (F.col("committed_at") >= as_of - F.make_dt_interval(mins=F.lit(FRESH_MINUTES))))
-    p95 = recent.agg(F.percentile(seconds_between(F.col("committed_at"), F.col("source_ts")), 0.95).alias("value"))
+    p95 = percentiles(recent, seconds_between(F.col("committed_at"), F.col("source_ts")), {"value": 0.95}, exact=exact).agg(F.max("value").alias("value"))
     return _row(p95, f"{name}.freshness_p95", name, "freshness", "warning", c.p95_seconds, "seconds")
 
 
-def build_checks(registry: Registry, tables: dict[str, DataFrame], bronze: DataFrame, letters: DataFrame, sources: dict[str, DataFrame], as_of: Column) -> DataFrame:
-    """All checks as one DataFrame; the list follows from the contracts."""
+def build_checks(registry: Registry, tables: dict[str, DataFrame], bronze: DataFrame, letters: DataFrame, sources: dict[str, DataFrame], as_of: Column, exact: bool = False) -> DataFrame:
+    """All checks as one DataFrame; the list follows from the contracts.  Each input is read by several checks, so pass
+    tables that lie written rather than plans that are long to compute."""
     out: list[DataFrame] = []
     for name in registry.names:
         if name in tables:
             out += contract_checks(registry, name, tables[name])
             if name in sources:
                 out.append(reconciliation_check(registry, name, tables[name], sources[name], as_of))
-            out.append(freshness_check(registry, name, bronze, as_of))
+            out.append(freshness_check(registry, name, bronze, as_of, exact))
     out += reference_checks(registry, tables, as_of)
     out.append(_row(repeated_keys(bronze, "event_id"), "bronze.event_id_unique", "bronze", "uniqueness", "critical"))
     out.append(_row(count_where(letters, F.col("status") == "open"), "dlq.open_records", "dlq", "dead_letters", "warning"))
@@ -116,6 +118,15 @@ def run_checks(checks: DataFrame, run_id: str, run_at: Column, runner: str = "ba
     return checks.select(F.lit(run_id).alias("run_id"), run_at.alias("run_at"), "check_id", "dataset", "category", "severity", "status", "value", "threshold", "unit", F.lit(None).cast("string").alias("error"), F.lit(runner).alias("runner"))
 
 
+def record(lake, checks: DataFrame, run_id: str, run_at: Column, runner: str = "batch") -> DataFrame:
+    """Append a run's checks to the lake's history and return the history; ``error`` comes with checks that have it."""
+    rows = run_checks(checks, run_id, run_at, runner)
+    if "error" in checks.columns:
+        rows = checks.select(*[F.lit(run_id).alias(c) if c == "run_id" else run_at.alias(c) if c == "run_at" else F.lit(runner).alias(c) if c == "runner" else F.col(c) for c in rows.columns])
+    lake.append("quality", rows)
+    return lake.spark.read.parquet(f"{lake.root}/quality")
+
+
 def safe_checks(named: dict[str, DataFrame]) -> DataFrame:
     """Run each check on its own, so that one that fails becomes an ``error`` row and the others still run."""
     out = None

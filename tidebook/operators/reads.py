@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidebook.operators.percentiles import percentiles
 from tidebook.functions.scalars import percentage, seconds_between
 from tidebook.operators.batchlog import newest
 
@@ -64,7 +65,7 @@ def rejects_of_key(letters: DataFrame, text: str, limit: int = 20) -> DataFrame:
     return newest(letters.where(F.instr(F.coalesce("raw_key", F.lit("")), text) > 0), "last_seen_at", limit, "dlq_id")
 
 
-def overview(log: DataFrame, bronze: DataFrame, as_of: Column, minutes: int = 15) -> DataFrame:
+def overview(log: DataFrame, bronze: DataFrame, as_of: Column, minutes: int = 15, exact: bool = False) -> DataFrame:
     """One row: freshness of applied events, reject rate, duplicates, applied, batches and last commit of a window."""
     since = minutes_before(as_of, minutes)
     batches = log.where(F.col("committed_at") >= since).agg(
@@ -73,7 +74,7 @@ def overview(log: DataFrame, bronze: DataFrame, as_of: Column, minutes: int = 15
     )
     seconds = seconds_between(F.col("committed_at"), F.col("source_ts"))
     fresh = bronze.where((F.col("committed_at") >= since) & (F.col("apply_outcome") == "applied"))
-    fresh = fresh.agg(F.percentile(seconds, 0.5).alias("p50"), F.percentile(seconds, 0.95).alias("p95"), F.lit(1).alias("one"))
+    fresh = percentiles(fresh, seconds, {"p50": 0.5, "p95": 0.95}, exact=exact).agg(F.max("p50").alias("p50"), F.max("p95").alias("p95"), F.lit(1).alias("one"))
     return batches.join(fresh, "one").drop("one")
 
 

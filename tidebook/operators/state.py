@@ -19,11 +19,14 @@ META = ["is_deleted", "deleted_at", "_source_lsn", "_prev_source_lsn", "_source_
 
 def fold(events: DataFrame, data: list[str], key: tuple[str, ...] = KEY, only_applied: bool = True) -> DataFrame:
     """One row for each key: its data columns, is_deleted, _source_lsn, _prev_source_lsn, _source_op, and the newest event's
-    other columns where the events have them (event_id, source_ts, contract_version, batch_id, stream_epoch, committed_at)."""
+    other columns where the events have them (event_id, source_ts, contract_version, batch_id, stream_epoch, committed_at).
+
+    Planned events carry their predecessor's position, so all of it is one aggregation, partial before the shuffle; events
+    without ``previous_lsn`` get it from a window by key."""
     rows = events.where(F.col("apply_outcome") == APPLIED) if only_applied else events
     lsn = F.col("source_lsn")
-    # the second largest position is the largest of those that another one follows
-    rows = rows.withColumn("_before_lsn", F.lag("source_lsn").over(Window.partitionBy(*key).orderBy("source_lsn")))
+    if "previous_lsn" not in rows.columns:
+        rows = rows.withColumn("previous_lsn", F.lag("source_lsn").over(Window.partitionBy(*key).orderBy("source_lsn")))
     deleted = F.col("op") == "d"
     image = F.struct(*data)
     carried = {"event_id": "_event_id", "source_ts": "_source_ts", "contract_version": "_contract_version", "batch_id": "_batch_id", "stream_epoch": "_stream_epoch", "committed_at": "_ingested_at"}
@@ -32,7 +35,7 @@ def fold(events: DataFrame, data: list[str], key: tuple[str, ...] = KEY, only_ap
         F.coalesce(F.max_by(F.when(~deleted, image), F.when(~deleted, lsn)), F.min_by(F.when(deleted, image), F.when(deleted, lsn))).alias("_data"),
         last.alias("_last"),
         F.max(lsn).alias("_source_lsn"),
-        F.max("_before_lsn").alias("_prev_source_lsn"),
+        F.max_by("previous_lsn", lsn).alias("_prev_source_lsn"),
     )
     out = folded.select(*key, *[F.col(f"_data.{c}").alias(c) for c in data], (F.col("_last.op") == "d").alias("is_deleted"), "_source_lsn", "_prev_source_lsn", F.col("_last.op").alias("_source_op"), *[F.col(f"_last.{c}").alias(a) for c, a in carried.items() if c in events.columns])
     if "_source_ts" in out.columns:

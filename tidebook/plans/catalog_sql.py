@@ -105,18 +105,20 @@ def _check(name: str, dataset: str, category: str, severity: str, value: str, th
   FROM (SELECT {value} AS x)"""
 
 
+# applied events of the table that were committed in the last hour before the checks ran
+_FRESH = "(SELECT quantile_cont((commit_ms - ts_ms) / 1000.0, 0.95) FROM k WHERE outcome = 'applied' AND 'shop.orders' = '{}' AND commit_ms >= (SELECT max(commit_ms) FROM k) + 400000 - 3600000)"
 _CHECKS = _SHOP + ", q AS (" + " UNION ALL ".join([
     _check("orders.primary_key_unique", "orders", "uniqueness", "critical", "(SELECT count(*) - count(DISTINCT pk) FROM o)"),
     _check("orders.required_not_null", "orders", "completeness", "critical", "(SELECT count(*) FROM lo WHERE customer_id IS NULL OR status IS NULL)"),
     _check("orders.status_enum", "orders", "validity", "critical", "(SELECT count(*) FROM lo WHERE status = 'LOST')"),
     _check("orders.currency_enum", "orders", "validity", "critical", "(SELECT count(*) FROM lo WHERE jpy)"),
-    _check("orders.channel_enum", "orders", "validity", "critical", "0"),
+    _check("orders.channel_enum", "orders", "validity", "critical", "(SELECT count(*) FROM lo WHERE CASE WHEN pk % 13 = 0 THEN 'web' END NOT IN ('web', 'mobile', 'store'))"),
     _check("orders.source_reconciliation", "orders", "reconciliation", "critical", "(SELECT count(*) FROM lo WHERE pk % 401 = 0 OR pk % 503 = 0)"),
-    _check("orders.freshness_p95", "orders", "freshness", "warning", "CAST(NULL AS DOUBLE)", 60, "seconds"),
+    _check("orders.freshness_p95", "orders", "freshness", "warning", _FRESH.format("shop.orders"), 60, "seconds"),
     _check("orders.customer_id_references_customers", "orders", "referential_integrity", "warning", "(SELECT count(*) FROM orph)"),
-    _check("customers.primary_key_unique", "customers", "uniqueness", "critical", "0"),
-    _check("customers.required_not_null", "customers", "completeness", "critical", "0"),
-    _check("customers.freshness_p95", "customers", "freshness", "warning", "CAST(NULL AS DOUBLE)", 120, "seconds"),
+    _check("customers.primary_key_unique", "customers", "uniqueness", "critical", "(SELECT count(*) - count(DISTINCT c_custkey) FROM cu)"),
+    _check("customers.required_not_null", "customers", "completeness", "critical", "(SELECT count(*) FROM customer WHERE c_custkey % 17 <> 0 AND c_custkey % 19 <> 0 AND c_name IS NULL)"),
+    _check("customers.freshness_p95", "customers", "freshness", "warning", _FRESH.format("shop.customers"), 120, "seconds"),
     _check("bronze.event_id_unique", "bronze", "uniqueness", "critical", "(SELECT count(*) - count(DISTINCT eid) FROM f)"),
     _check("dlq.open_records", "dlq", "dead_letters", "warning", "(SELECT count(*) FROM p WHERE outcome = 'stale' AND pk % 2 = 0)"),
 ]) + ")"
@@ -124,11 +126,60 @@ _CHECKS = _SHOP + ", q AS (" + " UNION ALL ".join([
 _GRAPH = """
 pairs AS (
   SELECT concat('job-', l_orderkey) AS id, l_partkey AS a, (l_partkey * 7 + l_suppkey) % (SELECT count(*) FROM part) AS b
-  FROM lineitem WHERE l_linenumber <= 2 AND l_partkey % 3 = 0),
+  FROM lineitem),
 edges AS (SELECT concat('part-', a) AS src, id AS dst FROM pairs UNION SELECT id, concat('part-', b) FROM pairs)"""
 
 
 
+def _pick(cases: dict[int, str], other: str) -> str:
+    return "CASE c " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in cases.items()) + f" ELSE {other} END"
+
+
+_CODES = {7: "order_id.required", 8: "status.null", 9: "amount.type", 10: "amount.pattern,amount.decimal", 11: "status.enum", 12: "order_id.format", 13: "created_at.format", 14: "channel.enum", 18: "currency.enum"}
+_ORDER_FAULTS = f"""
+WITH b AS (SELECT o_orderkey AS k, o_orderkey % 20 AS c, {_pick({12: 'not-a-uuid'}, _uuid('o_orderkey'))} AS id, {_uuid('o_custkey')} AS cust FROM orders),
+i AS (SELECT *,
+  {_pick({9: '"amount":129.9', 10: '"amount":"12.345"'}, "'\"amount\":\"129.90\"'")} || {_pick({5: ',"channel":null', 6: ',"channel":"web"', 14: ',"channel":"fax"'}, "''")} AS head,
+  {_pick({13: '2026-13-45T99:00:00Z'}, "'2026-09-25T10:00:00.5+02:00'")} AS made, {_pick({18: 'JPY'}, "'USD'")} AS currency,
+  CASE WHEN c = 7 THEN '' ELSE ',"order_id":"' || id || '"' END || ',"status":' || {_pick({8: 'null', 11: '"LOST"'}, "'\"PAID\"'")} AS tail FROM b),
+v AS (SELECT *, '{{' || head || ',"created_at":"' || made || '","currency":"' || currency || '","customer_id":"' || cust || '"' || tail || ',"updated_at":"2026-09-25T10:00:00Z"}}' AS image FROM i),
+w AS (SELECT *,
+  CASE c WHEN 1 THEN NULL WHEN 2 THEN '[1, 2]' ELSE '{{"before":' || {_pick({4: '3'}, "'null'")} || ',"after":' || image || ',"op":"' || {_pick({19: 'x'}, "'c'")} || '","ts_ms":1790000000005,"source":{{"schema":"shop","table":"' || {_pick({3: 'customers'}, "'orders'")}
+    || '","lsn":' || {_pick({15: 'true', 16: '-1'}, 'CAST(k AS VARCHAR)')} || ',"txId":' || {_pick({17: '"7"'}, "'null'")} || ',"ts_ms":1790000000000,"snapshot":"false"}}}}' END AS value,
+  CASE c WHEN 5 THEN NULL WHEN 6 THEN '{{"schema":{{}},"payload":{{"order_id":"' || id || '"}}}}' ELSE '{{"order_id":"' || id || '"}}' END AS key,
+  CASE WHEN c = 1 THEN 'tombstone' WHEN c IN (0, 5, 6) THEN 'valid' ELSE 'rejected' END AS status,
+  {_pick(_CODES, 'NULL')} AS codes FROM v)
+SELECT k AS kafka_offset, status,
+  CASE WHEN status <> 'rejected' THEN NULL WHEN codes IS NOT NULL THEN 'CONTRACT_VIOLATION' WHEN c = 19 THEN 'UNSUPPORTED_OP' ELSE 'INVALID_ENVELOPE' END AS error_code,
+  CASE WHEN status <> 'rejected' THEN NULL WHEN codes IS NOT NULL THEN replace(codes, ',', '; ') WHEN c = 19 THEN 'operation is not applied: x' ELSE 'envelope lacks an object, operation, position or table of the expected form' END AS error_detail,
+  CASE WHEN status <> 'tombstone' THEN coalesce(codes, '') END AS violations,
+  CASE WHEN status = 'rejected' THEN key END AS raw_key, CASE WHEN status = 'rejected' THEN value END AS raw_value,
+  CAST(CASE WHEN status = 'valid' THEN CASE WHEN c = 0 THEN 1 ELSE 2 END END AS INTEGER) AS contract_version, CASE WHEN status = 'valid' THEN id END AS primary_key,
+  CASE WHEN status = 'valid' THEN sha256('shop.orders|' || id || '|' || k || '||c|' || sha256('{{"after":' || image || ',"before":null}}')) END AS event_id,
+  CASE WHEN status = 'valid' THEN '{{' || head || ',"created_at":"2026-09-25T08:00:00.500000Z","currency":"USD","customer_id":"' || cust || '"' || tail || ',"updated_at":"2026-09-25T10:00:00.000000Z"}}' END AS after_json
+FROM w"""
+
+
+def _hmac(text: str, key: bytes) -> str:
+    """Hex HMAC-SHA-256 by its definition over two digests; the key is shorter than a block."""
+    inner, outer = (bytes(b ^ pad for b in key.ljust(64, b"\0")).hex() for pad in (0x36, 0x5C))
+    return f"sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || encode({text}))))"
+
+
+_PII_KEY = b"a key of the deployment"
+_CUSTOMER_IMAGES = f"""
+WITH b AS (SELECT c_custkey AS k, c_custkey % 7 AS c, c_name, {_uuid('c_custkey')} AS id FROM customer),
+i AS (SELECT *, {_pick({1: 'nobody'}, "c_name || '@Example.com'")} AS email, {_pick({2: 'de'}, "'DE'")} AS country, CASE c WHEN 3 THEN '' WHEN 4 THEN repeat('n', 201) ELSE c_name END AS full_name,
+  {_pick({1: 'email.format', 2: 'country.pattern', 3: 'full_name.min_length', 4: 'full_name.max_length'}, 'NULL')} AS codes FROM b),
+v AS (SELECT *, '{{"country":"' || country || '","created_at":"2026-09-25T10:00:00Z","customer_id":"' || id || '","email":"' || email || '","full_name":"' || full_name || '"' || CASE WHEN c = 5 THEN ',"note":"n"' ELSE '' END || ',"updated_at":"2026-09-25T10:00:00Z"}}' AS image FROM i)
+SELECT k AS kafka_offset, CASE WHEN codes IS NULL THEN 'valid' ELSE 'rejected' END AS status, CASE WHEN codes IS NOT NULL THEN 'CONTRACT_VIOLATION' END AS error_code, coalesce(codes, '') AS violations,
+  CASE WHEN codes IS NULL THEN CASE WHEN c = 5 THEN 'note' ELSE '' END END AS drift_fields, CASE WHEN codes IS NULL THEN id END AS primary_key,
+  CASE WHEN codes IS NULL THEN sha256('shop.customers|' || id || '|' || k || '|7|c|' || sha256('{{"after":' || image || ',"before":null}}')) END AS event_id,
+  CASE WHEN codes IS NULL THEN '{{"country":"DE","created_at":"2026-09-25T10:00:00.000000Z","customer_id":"' || id || '","email_hmac":"' || {_hmac('lower(email)', _PII_KEY)} || '","updated_at":"2026-09-25T10:00:00.000000Z"}}' END AS after_json,
+  CASE WHEN codes IS NULL THEN 1790000000005 END AS debezium_ts_ms
+FROM v"""
+
+
 def _usingkey(edge: str, start: str) -> str:
     src, dst = ("src", "dst") if edge == "down" else ("dst", "src")
     return f"""WITH RECURSIVE {_GRAPH},
@@ -260,12 +311,15 @@ def oracle_sql() -> dict[str, str]:
         "o7_outcome_rates": f"WITH {_PLAN} SELECT ts_ms // 60000 * 60000 AS window_ms, outcome AS apply_outcome, count(*) AS events, count(*) / 60 AS per_second FROM p GROUP BY 1, 2",
         "o8_batch_durations": f"WITH {_LOG} SELECT commit_ms // 300000 * 300000 AS window_ms, quantile_cont(CAST(duration_ms AS DOUBLE), 0.5) AS p50_ms, quantile_cont(CAST(duration_ms AS DOUBLE), 0.95) AS p95_ms, count(*) AS batches FROM log GROUP BY 1",
         "o10_file_sizes": f"WITH {_LOG} SELECT 'orders' AS pipeline, sum(n * 120) / sum(batch + 1) AS bytes_per_file FROM log",
-        "o12_replication_lag": "SELECT c_custkey AS slot, c_custkey * c_nationkey * 10000000 AS lag_bytes, c_custkey * c_nationkey * 10000000 > 268435456 AS firing FROM customer WHERE c_nationkey < 10",
+        "o12_replication_lag": "SELECT c_custkey AS slot, c_custkey * c_nationkey * 4000000 AS lag_bytes, c_custkey * c_nationkey * 4000000 > 268435456 AS firing FROM customer",
         "x4_arrival_rate": "SELECT w AS window_ms, count(*) AS events, count(*) / 60 AS per_second FROM (SELECT epoch_us(ts) // 10000000 * 10000 - k * 10000 AS w FROM events CROSS JOIN range(6) t(k)) GROUP BY w",
-        "o13_components_down": f"WITH {_PROBES}, q AS (SELECT * FROM pr WHERE probe_id % 13 < 9), x AS (SELECT *, lag(status) OVER (PARTITION BY component ORDER BY ts, probe_id) AS previous FROM q), y AS (SELECT component, arg_max(status, (ts, probe_id)) AS status FROM q GROUP BY component), z AS (SELECT component, max(ts) AS since FROM x WHERE previous IS NULL OR previous <> status GROUP BY component) SELECT component, status, since FROM y JOIN z USING (component) WHERE status <> 'healthy' AND since <= (SELECT max(ts) FROM events) - INTERVAL 1 SECOND",
+        "o13_components_down": f"WITH {_PROBES.replace('user_id % 7', 'user_id % 97')}, q AS (SELECT * FROM pr), x AS (SELECT *, lag(status) OVER (PARTITION BY component ORDER BY ts, probe_id) AS previous FROM q), y AS (SELECT component, arg_max(status, (ts, probe_id)) AS status FROM q GROUP BY component), z AS (SELECT component, max(ts) AS since FROM x WHERE previous IS NULL OR previous <> status GROUP BY component) SELECT component, status, since FROM y JOIN z USING (component) WHERE status <> 'healthy' AND since <= (SELECT max(ts) FROM events) - INTERVAL 1 SECOND",
         "w7_batch_attempts": "SELECT event_type AS pipeline, user_id AS batch_id, event_id AS attempt_id, attempts, value FROM (SELECT *, count(*) OVER (PARTITION BY event_type, user_id) AS attempts, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1",
         "r18_benchmark_runs": f"WITH {_ITER} SELECT user_id, t1 AS last_commit_ms, loss_rate, loss_rate <= 0.01 AND error_rate <= 0.1 AS within FROM su JOIN it USING (user_id) ORDER BY t1 DESC, user_id LIMIT 20",
         "s17_live_tap": f"WITH {_FEED} SELECT CAST(part AS INTEGER) AS kafka_partition, off AS kafka_offset, CASE WHEN pk % 73 = 0 OR pk % 101 = 0 THEN NULL WHEN pk % 89 = 0 THEN 't' ELSE op END AS op, CASE WHEN pk % 73 <> 0 AND pk % 101 <> 0 THEN lsn END AS lsn, pk % 73 = 0 OR pk % 101 = 0 AS malformed, false AS tombstone FROM f",
+        "d2_order_faults": _ORDER_FAULTS,
+        "d19_customer_images": _CUSTOMER_IMAGES,
+        "d19_pseudonyms": f"SELECT c_custkey, {_hmac('lower(trim(c_name))', _PII_KEY)} AS pseudonym FROM customer",
         "k14_lsn_text": "SELECT o_orderkey, o_orderkey * 987654321 AS lsn, concat(printf('%X', (o_orderkey * 987654321) >> 32), '/', printf('%X', (o_orderkey * 987654321) & 4294967295)) AS lsn_text, o_orderkey * 987654321 AS lsn_back FROM orders",
         "k3_positions": f"WITH {_FEED} SELECT eid AS event_id, off AS kafka_offset, concat(lpad(CAST(part AS VARCHAR), 5, '0'), ':', lpad(CAST(off AS VARCHAR), 20, '0')) AS position, sha256(concat('shop.orders|', pk, '|', lsn)) AS digest FROM f",
         "k12_times": "SELECT o_orderkey, strftime(o_orderdate - INTERVAL 2 HOUR, '%Y-%m-%dT%H:%M:%S.123456Z') AS utc, epoch_ms(date_trunc('second', o_orderdate)) - 7200000 + 123 AS ms FROM orders",

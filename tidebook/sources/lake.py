@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ATTEMPT = ["stream_epoch", "batch_id", "attempt_id"]
-_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "timestamp": T.TimestampType(), "date": T.DateType(), "boolean": T.BooleanType(), "array<string>": T.ArrayType(T.StringType())}
+_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "timestamp": T.TimestampType(), "date": T.DateType(), "boolean": T.BooleanType(), "array<string>": T.ArrayType(T.StringType()), "map<string;long>": T.MapType(T.StringType(), T.LongType()), "double": T.DoubleType()}
 
 
 def schema(columns: str) -> T.StructType:
@@ -24,10 +24,11 @@ def schema(columns: str) -> T.StructType:
 
 _DECODED = "contract_name string, contract_version int, source_table string, primary_key string, op string, source_lsn long, source_tx_id long, source_ts timestamp, source_ts_ms long, source_snapshot string, debezium_ts timestamp, before_json string, after_json string, event_id string, drift_fields array<string>"
 _KAFKA = "kafka_topic string, kafka_partition int, kafka_offset long, kafka_ts timestamp"
-BRONZE_SCHEMA = schema(f"{_KAFKA}, {_DECODED}, is_late boolean, apply_outcome string, injection_id string, replay_of string, committed_at timestamp, source_date date, stream_epoch string, batch_id long, attempt_id string")
+BRONZE_SCHEMA = schema(f"{_KAFKA}, {_DECODED}, is_late boolean, apply_outcome string, previous_lsn long, injection_id string, replay_of string, committed_at timestamp, source_date date, stream_epoch string, batch_id long, attempt_id string")
 REJECT_SCHEMA = schema(f"{_KAFKA}, source_topic string, contract_name string, status string, error_code string, error_detail string, violations array<string>, raw_key string, raw_value string, injection_id string, replay_of string, dlq_id string, is_replay boolean, replay_position string, outcome string, stream_epoch string, batch_id long, attempt_id string")
-LOG_SCHEMA = schema("pipeline string, stream_epoch string, batch_id long, attempt_id string, started_at timestamp, committed_at timestamp, duration_ms long, input_rows long, valid_rows long, dlq_rows long, tombstones long, duplicates long, applied long, superseded long, stale long, late_rows long, commit_retries long, watermark_ms long, max_source_ts_ms long, contracts string")
+LOG_SCHEMA = schema("pipeline string, stream_epoch string, batch_id long, attempt_id string, spark_app_id string, started_at timestamp, committed_at timestamp, duration_ms long, stage_ms map<string;long>, input_rows long, valid_rows long, dlq_rows long, tombstones long, duplicates long, applied long, superseded long, stale long, late_rows long, commit_retries long, kafka_offsets string, watermark_ms long, max_source_ts_ms long, freshness_p50_ms long, freshness_p95_ms long, freshness_max_ms long, contract_versions string, contracts string, added_data_files long, added_files_bytes long")
 MANIFEST_SCHEMA = schema("generation string, at timestamp")
+POSITION_SCHEMA = schema("source_table string, primary_key string, source_lsn long")
 COVER_SCHEMA = schema("stream_epoch string, batch_id long, attempt_id string")
 
 
@@ -83,6 +84,31 @@ class Lake:
         rest = committed.join(current, ATTEMPT, "left_anti")
         return self._visible(compact, current).unionByName(self._visible(raw, rest))
 
+    def positions(self, epoch: str, batch_id: int) -> DataFrame:
+        """source_table, primary_key, _source_lsn: the highest position of each key in all batches but this one.
+
+        A generation keeps its keys' positions, so only batches that came after it are folded; the whole history is read
+        just where the generation covers the batch itself, which then runs again.
+        """
+        top = lambda rows: rows.groupBy("source_table", "primary_key").agg(F.max("source_lsn").alias("_source_lsn"))
+        mine = (F.col("stream_epoch") == epoch) & (F.col("batch_id") == batch_id)
+        committed, generation = self.committed(), self.generation()
+        if generation is not None:
+            cover = self.read(f"generations/{generation}/cover", COVER_SCHEMA)
+            path = f"generations/{generation}/positions"
+            whole = cover.join(committed, ATTEMPT, "left_anti").isEmpty()
+            if whole and cover.where(mine).isEmpty() and self._exists(self._path(path)):
+                later = self._visible(self.read("bronze", BRONZE_SCHEMA), committed.join(cover, ATTEMPT, "left_anti")).where(~mine)
+                return top(self.read(path, POSITION_SCHEMA).unionByName(later.select("source_table", "primary_key", "source_lsn")))
+        return top(self.bronze().where(~mine))
+
+    def written(self, name: str, **parts) -> tuple[int, int]:
+        """Files and bytes that lie under partitions of these values; ``*`` stands for any."""
+        pattern = "/".join([self._path(name), *[f"{k}={v}" for k, v in parts.items()], "*.parquet"])
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(pattern)
+        found = p.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(p) or []
+        return len(found), sum(f.getLen() for f in found)
+
     def rejects(self) -> DataFrame:
         return self._visible(self.read("rejects", REJECT_SCHEMA), self.committed())
 

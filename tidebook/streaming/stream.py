@@ -32,8 +32,8 @@ class Pipeline:
     stays where it fails.  A batch that runs again uses the contracts of its first attempt where they are still known.
     """
 
-    def __init__(self, lake: Lake, contracts, pii_key: bytes, epoch: str = "e1", lateness_ms: int = LATENESS_MS):
-        self.lake, self.contracts, self.pii_key, self.epoch, self.lateness_ms = lake, contracts, pii_key, epoch, lateness_ms
+    def __init__(self, lake: Lake, contracts, pii_key: bytes, epoch: str = "e1", lateness_ms: int = LATENESS_MS, publish: str | None = None):
+        self.lake, self.contracts, self.pii_key, self.epoch, self.lateness_ms, self.publish = lake, contracts, pii_key, epoch, lateness_ms, publish
         self.registry: Registry = contracts()
         self.known = {self.registry.fingerprint(): self.registry}
 
@@ -61,27 +61,43 @@ class Pipeline:
             profile = batch_profile(decoded).first()
             if profile is None:
                 return
+            offsets = decoded.groupBy("kafka_topic", "kafka_partition").agg(F.min("kafka_offset").alias("a"), F.max("kafka_offset").alias("z")).collect()  # a row a partition
+            stages, retries = {"decode": self._since(clock)}, 0
             counts = {o: 0 for o in (APPLIED, SUPERSEDED, STALE, DUPLICATE)}
-            late, before, newest = 0, self._watermark(batch_id), None
+            late, before, newest, fresh, versions = 0, self._watermark(batch_id), None, (None, None, None), ""
             if profile.valid_rows:
-                counts, late, newest = self._write_bronze(decoded, profile, batch_id, attempt, before)
+                mark = time.monotonic()
+                counts, late, newest, fresh, versions, retries = self._write_bronze(decoded, profile, batch_id, attempt, before)
+                stages["bronze"] = self._since(mark)
             if profile.dlq_rows or not decoded.where("replay_of is not null").isEmpty():
                 letters = dead_letter_events(decoded).withColumns({"stream_epoch": F.lit(self.epoch), "attempt_id": F.lit(attempt)})
-                self.lake.append("rejects", letters.select([F.col(f.name).cast(f.dataType) for f in REJECT_SCHEMA]), "stream_epoch", "batch_id", "attempt_id")
+                mark = time.monotonic()
+                retries += with_retry(lambda: self.lake.append("rejects", letters.select([F.col(f.name).cast(f.dataType) for f in REJECT_SCHEMA]), "stream_epoch", "batch_id", "attempt_id"))
+                stages["rejects"] = self._since(mark)
+            place = {"stream_epoch": self.epoch, "batch_id": batch_id, "attempt_id": attempt}
+            bronze, rejects = self.lake.written("bronze", source_date="*", **place), self.lake.written("rejects", **place)
             row = {
-                "pipeline": self.lake.pipeline, "stream_epoch": self.epoch, "batch_id": batch_id, "attempt_id": attempt, "started_at": started, "committed_at": dt.datetime.now(dt.timezone.utc),
-                "duration_ms": int((time.monotonic() - clock) * 1000), "input_rows": profile.input_rows, "valid_rows": profile.valid_rows, "dlq_rows": profile.dlq_rows, "tombstones": profile.tombstones,
-                "duplicates": counts[DUPLICATE], "applied": counts[APPLIED], "superseded": counts[SUPERSEDED], "stale": counts[STALE], "late_rows": late, "commit_retries": 0,
+                "pipeline": self.lake.pipeline, "stream_epoch": self.epoch, "batch_id": batch_id, "attempt_id": attempt, "spark_app_id": self.lake.spark.sparkContext.applicationId, "started_at": started, "committed_at": dt.datetime.now(dt.timezone.utc),
+                "duration_ms": self._since(clock), "stage_ms": stages, "input_rows": profile.input_rows, "valid_rows": profile.valid_rows, "dlq_rows": profile.dlq_rows, "tombstones": profile.tombstones,
+                "duplicates": counts[DUPLICATE], "applied": counts[APPLIED], "superseded": counts[SUPERSEDED], "stale": counts[STALE], "late_rows": late, "commit_retries": retries,
                 "watermark_ms": next_watermark(before, newest, self.lateness_ms), "max_source_ts_ms": profile.max_source_ts_ms, "contracts": registry.fingerprint(),
+                "kafka_offsets": json.dumps({f"{r.kafka_topic}:{r.kafka_partition}": [r.a, r.z] for r in sorted(offsets)}), "freshness_p50_ms": fresh[0], "freshness_p95_ms": fresh[1], "freshness_max_ms": fresh[2],
+                "contract_versions": versions, "added_data_files": bronze[0] + rejects[0], "added_files_bytes": bronze[1] + rejects[1],
             }
-            self.lake.append("batches", self.lake.spark.createDataFrame([tuple(row[f.name] for f in LOG_SCHEMA)], LOG_SCHEMA))
+            logged = self.lake.spark.createDataFrame([tuple(row[f.name] for f in LOG_SCHEMA)], LOG_SCHEMA)
+            with_retry(lambda: self.lake.append("batches", logged))
+            if self.publish:
+                publish_batches(logged, self.publish)
         finally:
             decoded.unpersist()
 
+    @staticmethod
+    def _since(mark: float) -> int:
+        return int((time.monotonic() - mark) * 1000)
+
     def _write_bronze(self, decoded: DataFrame, profile, batch_id: int, attempt: str, watermark: int):
         known = self.lake.bronze()
-        others = known.where(~((F.col("stream_epoch") == self.epoch) & (F.col("batch_id") == batch_id)))
-        silver = others.groupBy("source_table", "primary_key").agg(F.max("source_lsn").alias("_source_lsn"))
+        silver = self.lake.positions(self.epoch, batch_id)
         valid = decoded.where("status = 'valid'")
         planned = plan_batch(valid, known, silver, watermark, batch_id, self.epoch, profile.min_source_ts_ms, profile.max_source_ts_ms).persist(StorageLevel.MEMORY_AND_DISK)
         try:
@@ -89,12 +105,14 @@ class Pipeline:
                 "source_ts": F.timestamp_millis("source_ts_ms"), "debezium_ts": F.timestamp_millis("debezium_ts_ms"), "committed_at": F.current_timestamp(), "stream_epoch": F.lit(self.epoch),
                 "attempt_id": F.lit(attempt), "source_date": F.to_date(F.timestamp_millis("source_ts_ms")),
             })
-            self.lake.append("bronze", rows.select([F.col(f.name).cast(f.dataType) for f in BRONZE_SCHEMA]), "source_date", "stream_epoch", "batch_id", "attempt_id")
+            retries = with_retry(lambda: self.lake.append("bronze", rows.select([F.col(f.name).cast(f.dataType) for f in BRONZE_SCHEMA]), "source_date", "stream_epoch", "batch_id", "attempt_id"))
             fresh = F.col("apply_outcome") != DUPLICATE
-            r = planned.agg(*[F.count_if(F.col("apply_outcome") == o).alias(o) for o in (APPLIED, SUPERSEDED, STALE, DUPLICATE)], F.count_if(F.coalesce("is_late", F.lit(False))).alias("late"), F.max(F.when(fresh, F.col("source_ts_ms"))).alias("newest")).first()
+            age = F.when(fresh, F.unix_millis(F.current_timestamp()) - F.col("source_ts_ms"))
+            version = F.when(fresh, F.concat_ws("@", "contract_name", F.col("contract_version").cast("string")))
+            r = planned.agg(*[F.count_if(F.col("apply_outcome") == o).alias(o) for o in (APPLIED, SUPERSEDED, STALE, DUPLICATE)], F.count_if(F.coalesce("is_late", F.lit(False))).alias("late"), F.max(F.when(fresh, F.col("source_ts_ms"))).alias("newest"), F.percentile_approx(age, [0.5, 0.95]).alias("age"), F.max(age).alias("oldest"), F.array_join(F.array_sort(F.collect_set(version)), ",").alias("versions")).first()
         finally:
             planned.unpersist()
-        return {o: r[o] for o in (APPLIED, SUPERSEDED, STALE, DUPLICATE)}, r.late, r.newest
+        return {o: r[o] for o in (APPLIED, SUPERSEDED, STALE, DUPLICATE)}, r.late, r.newest, (*(r.age or (None, None)), r.oldest), r.versions, retries
 
     def start(self, feed: DataFrame, checkpoint: str, every: str | None = "5 seconds"):
         """Run on a streaming feed; ``every=None`` takes what is there and stops."""
@@ -146,11 +164,22 @@ def publish_batches(log: DataFrame, path: str) -> bool:
 
 
 def progress(spark: SparkSession, checkpoint: str) -> DataFrame:
-    """batch, planned, committed: of a checkpoint's offset and commit files; what is planned and not committed is in flight."""
+    """batch, offsets, committed, in_flight: of a checkpoint's offset and commit files.  ``offsets`` has the JSON of each
+    source; what is planned and not committed is in flight."""
     read = lambda name: spark.read.option("recursiveFileLookup", "true").text(f"{checkpoint.rstrip('/')}/{name}", wholetext=True).select(F.regexp_extract(F.input_file_name(), r"/(\d+)$", 1).try_cast("long").alias("batch"), "value")
-    planned = read("offsets").where("batch is not null").select("batch", F.element_at(F.split(F.trim("value"), "\n"), -1).alias("planned"))
+    lines = F.split(F.trim("value"), "\n")  # version, metadata, then a line a source
+    planned = read("offsets").where("batch is not null").select("batch", F.slice(lines, 3, F.greatest(F.size(lines) - 2, F.lit(0))).alias("offsets"))
     done = read("commits").where("batch is not null").select("batch", F.lit(True).alias("committed"))
-    return planned.join(done, "batch", "left").withColumn("committed", F.coalesce("committed", F.lit(False)))
+    rows = planned.join(done, "batch", "left").withColumn("committed", F.coalesce("committed", F.lit(False)))
+    return rows.withColumn("in_flight", ~F.col("committed"))
+
+
+def checkpoint_offsets(rows: DataFrame) -> DataFrame:
+    """kafka_topic, kafka_partition, end_offset: where the last committed batch of ``progress`` ends, for the lag."""
+    last = rows.where("committed").agg(F.max_by("offsets", "batch").alias("offsets"))
+    maps = last.select(F.explode("offsets").alias("j")).select(F.from_json("j", "map<string,map<string,bigint>>").alias("m"))
+    topics = maps.select(F.explode("m").alias("kafka_topic", "ends"))
+    return topics.select("kafka_topic", F.explode("ends").alias("partition", "end_offset")).select("kafka_topic", F.col("partition").cast("int").alias("kafka_partition"), "end_offset")
 
 
 class ProgressListener(StreamingQueryListener):
@@ -171,3 +200,8 @@ class ProgressListener(StreamingQueryListener):
 
     def onQueryTerminated(self, event):  # noqa: N802
         self.rates.setdefault(str(event.id), {})["active"] = False
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """query_id, active, input_rows_per_second, processed_rows_per_second, batch_id: a row a query."""
+        names = ("active", "input_rows_per_second", "processed_rows_per_second", "batch_id")
+        return spark.createDataFrame([(k, *(v.get(n) for n in names)) for k, v in sorted(self.rates.items())], "query_id string, active boolean, input_rows_per_second double, processed_rows_per_second double, batch_id long")
