@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidebook.llm import bytestext as bt
 from tidebook.llm import class_lm, decontaminate, near_dup, packing, pii, quality_model, quality_rules, queries, secret_scan, toxicity, url_filter
 from tidebook.llm.redact import redact
+from tidebook.llm.shared import staged
 
 SPACE = re.compile(r"[ \t-\r]+")
 AWKWARD = [
@@ -74,7 +75,7 @@ def test_cascade_is_exact(spark, max_bits):
     listed = universe.where("substr(key, -1) in ('3', '7')")
     cascade = url_filter.build_cascade(universe, listed, bits_per_key=4, hashes=2, max_bits=max_bits)
     got = cascade.mark(universe, "key", "hit")
-    assert len(cascade.levels) > 1 and (cascade.shards > 1) == (max_bits == 2048)
+    assert len(cascade.levels) > 1 and cascade.large == (max_bits == 2048)
     assert got.where("hit <> (substr(key, -1) in ('3', '7'))").count() == 0 and got.count() == 3000
 
 
@@ -85,13 +86,25 @@ def test_urls(spark):
     ]
     pages = spark.createDataFrame(rows, "page_id long, url string, want string")
     listed = spark.createDataFrame([("bad.org/p",), (None,), ("bad.org/p",)], "key string")
-    got = {r.page_id: r for r in url_filter.judge_urls(pages, listed, queries.URL_RULES).collect()}
+    got = {r.page_id: r for r in url_filter.judge_urls(pages, listed, queries.URL_RULES, keep=["page_id", "want"]).collect()}
     assert all(r.verdict == r.want for r in got.values())
     assert (got[1].host, got[1].path, got[1].rule) == ("sub.example.com", "/en/x", "example.com/en/") and (got[5].host, got[5].path, got[5].rule) == ("", "", None)
     assert got[2].rule == "www.example.com/en/" and got[8].rule is None and got[9].rule == "com/"
     assert url_filter.judge_urls(pages.where("1 = 0"), listed.where("1 = 0"), queries.URL_RULES).count() == 0
 
 
+def test_urls_of_awkward_rows(spark):
+    long = "http://host.org/" + "a/" * 200_000
+    rows = [(1, long, "h", "r"), (None, "http://x.net/es/", None, ""), (2, "://", "h", "r"), (3, "a://b://c", "h", "r"), (3, "", "h", "r")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string, rule string")
+    listed = spark.createDataFrame([("host.org/" + "a/" * 200_000,), ("b:/" + "/c",)], "key string")
+    for options in ({}, {"max_bits": 64}):
+        got = url_filter.judge_urls(pages, listed, queries.URL_RULES, keep=["page_id", "host", "rule"], **options)
+        assert got.columns == ["page_id", "in_host", "in_rule", "host", "path", "listed", "rule", "verdict"]
+        want = {(1, "h", "r", "host.org", None, "block"), (None, None, "", "x.net", "net/es/", "block"), (2, "h", "r", "", None, "allow"), (3, "h", "r", "b:", None, "block"), (3, "h", "r", "", None, "allow")}
+        assert {(r.page_id, r.in_host, r.in_rule, r.host, r["rule"], r.verdict) for r in got.collect()} == want
+
+
 # ---- 2 and 5: spans -------------------------------------------------------------------------------------------------
 
 
@@ -131,6 +144,31 @@ def test_pii_confirms_and_weighs():
     assert [s[0] for s in pii.find_spans("his ssn 123-45-6789")] == ["ssn"] and pii.find_spans("part 123-45-6789") == []
 
 
+#: (text, the added spans); what a pattern alone can't tell, words nearby do, before it or behind it, for it or against it.
+PLANTED = [
+    ("x DE89 3704 0044 0532 0130 00 y", ["DE89 3704 0044 0532 0130 00"]), ("iban DE88 3704 0044 0532 0130 00", []), ("a sample: DE89 3704 0044 0532 0130 00", []), ("sample iban DE89 3704 0044 0532 0130 00", ["DE89 3704 0044 0532 0130 00"]),
+    ("123-45-6789", []), ("123-45-6789, her social security number", ["123-45-6789"]), ("ssn 123-45-6789", ["123-45-6789"]), ("ssn of test part 123-45-6789", []), ("ssn 000-45-6789", []),
+    ("(030) 123-4567", []), ("call (030) 123-4567", ["(030) 123-4567"]), ("order 030 1234567 by fax", []), ("(030) 123-4567 is my mobile phone", ["(030) 123-4567"]),
+    ("**** **** **** 1234", []), ("card **** **** **** 1234", ["**** **** **** 1234"]), ("xxxx-xxxx-xxxx-1234 on the visa", ["xxxx-xxxx-xxxx-1234"]), ("serial xxxx-xxxx-xxxx-1234 card", []),
+    ("4111 1111 1111 1112", []), ("card 4111 1111 1111 1112", []), ("credit card 4111 1111 1111 1112", ["4111 1111 1111 1112"]), ("credit card 4111 1111 1111 1112 in order 7", []), ("credit card " + "x " * 40 + "4111 1111 1111 1112", []),
+]
+
+
+@pytest.mark.parametrize("text, want", PLANTED)
+def test_pii_words_nearby_decide(text, want):
+    assert [text[a:b] for k, a, b in pii.find_spans(text) if k in pii.ADDED_KINDS] == want
+
+
+def test_pii_scores(spark):
+    near = {t: pii.scored_spans(t)[0] for t in ("4111111111111111", "visa 4111111111111111", "order 4111111111111111")}
+    assert [s[:3] for s in near.values()] == [("card", 0, 16), ("card", 5, 21), ("card", 6, 22)] and [s[3] for s in near.values()] == [0.8, 1.0, 0.5]
+    spans = pii.scored_spans("tel 1.2.3.4 and tel +1 (030) 123-4567, tel 030 1234567 ok")
+    assert [s[0] for s in spans] == ["ip", "phone", "local_phone"] and all(a[2] <= b[1] for a, b in zip(spans, spans[1:]))
+    rows = pii.scan_pii(spark.createDataFrame([("a", "ssn 123-45-6789", "clash"), ("a", None, "x")], "doc_id string, text string, spans string")).collect()
+    assert sorted((r.doc_id, len(r.spans)) for r in rows) == [("a", 0), ("a", 1)]
+    assert pii.scan_pii(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_secret_base_spans(awkward, texts):
     for text in [t for _, t in AWKWARD] + list(texts.values()):
         assert [s[:3] for s in secret_scan.find_candidates(text or "") if s[0] in secret_scan.BASE_KINDS] == plain_secrets(text)
@@ -220,7 +258,8 @@ def test_near_duplicates(docs, texts):
     check_components(docs, texts, 4)
 
 
-def test_near_duplicates_in_a_hot_group(spark):
+@pytest.mark.parametrize("members", [4, 40])
+def test_near_duplicates_in_a_hot_group(spark, members):
     rng = np.random.default_rng(5)
     base = [f"w{k}" for k in range(120)]
     texts = {}
@@ -233,11 +272,59 @@ def test_near_duplicates_in_a_hot_group(spark):
     for i in range(160, 260):
         texts[i] = common + " " + " ".join(f"u{i}x{k}" for k in range(30))
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
-    near_dup.FEW, few = 4, near_dup.FEW  # so that buckets are split
+    near_dup.BLOCK, block = members, near_dup.BLOCK  # so that buckets are split, or compared in blocks
     try:
         check_components(df, texts, 4)
     finally:
-        near_dup.FEW = few
+        near_dup.BLOCK = block
+
+
+def test_pairs_of_a_dense_group_grow_with_its_members(spark, monkeypatch):
+    """Members of a chain: each has a partner or two, none of them the base, and all share most of their chunks."""
+    rng = np.random.default_rng(11)
+    made = {}
+    for members in (300, 1200):
+        texts = {}
+        for i in range(members):
+            w = [f"w{k}" for k in range(150)]
+            for k in rng.choice(150, rng.integers(0, 16), replace=False):
+                w[k] = f"v{i}x{k}"
+            texts[i] = " ".join(w)
+        for name in ("hub_pairs", "across"):
+            plain = getattr(near_dup, name)
+
+            def counted(*args, plain=plain, name=name):
+                out = staged(plain(*args), "counted")
+                made[members, name] = out.count()
+                return out
+
+            monkeypatch.setattr(near_dup, name, counted)
+        check_components(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), texts, 4)
+        monkeypatch.undo()
+    assert all(made[m, name] <= 4 * m for m in (300, 1200) for name in ("hub_pairs", "across")), made
+
+
+def test_near_duplicates_of_long_texts(spark):
+    """Sets beyond the bitmap's size, on both sides of its limit and of the similarity."""
+    rng = np.random.default_rng(3)
+    texts = {}
+    for f in range(8):
+        base = [f"f{f}w{k}" for k in range(int(rng.integers(380, 900)))]
+        for j in range(5):
+            w = list(base)
+            for k in rng.choice(len(w), int(len(w) * rng.choice([0.01, 0.02, 0.05, 0.07])), replace=False):
+                w[k] = f"x{rng.integers(1_000_000_000)}"
+            texts[10 * f + j] = " ".join(w[: len(w) - int(rng.integers(0, 40))])
+    check_components(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), texts, 4)
+
+
+def test_near_duplicates_of_an_id_with_two_texts(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    rows = [(1, a), (1, b), (3, b + " end"), (None, a), (None, "alone here"), (7, ""), (7, None)]
+    got = [(r.doc_id, r.component_id, r.kept) for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert Counter(got) == Counter([(1, 1, True), (1, 1, True), (3, 1, False), (None, 1, False), (None, None, True), (7, 7, True), (7, 7, True)])
+    text_ids = spark.createDataFrame([(f"k{i}", t, "clash") for i, (_, t) in enumerate(rows)], "doc_id string, text string, component_id string")
+    assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(text_ids).collect()} == {"k0": "k0", "k1": "k1", "k2": "k1", "k3": "k0", "k4": "k4", "k5": "k5", "k6": "k6"}
 
 
 def test_near_duplicates_of_awkward_rows(awkward, empty):
@@ -301,15 +388,11 @@ def test_class_model_is_a_distribution(spark):
     df = spark.createDataFrame([(1, "a b a c"), (2, "a b b a"), (3, "c a b d e f")], "doc_id long, text string")
     model, table = class_lm.train(df)
     assert np.allclose((10**model.log_step).sum(1), 1)
-    vocabulary = {r.hash: r for r in table.collect()}
     per_class = defaultdict(float)
-    hot = {int(h): i for i, h in enumerate(model.hot_hash)}
-    for h, r in vocabulary.items():
-        if h != class_lm.END:
-            item = 1 + hot[h] if hot[h] < model.frequent else 1 + model.frequent + r.grp
-            per_class[model.cls[item]] += 10 ** model.log_seen[model.cls[item]] * r.n
+    for r in table.where(F.col("hash") != class_lm.END).collect():
+        per_class[r.cls] += 10 ** model.log_seen[r.cls] * r.n
     for c, p in per_class.items():
-        assert p + 10 ** model.log_unseen[c] == pytest.approx(1, abs=1e-6)
+        assert p + (10 ** model.log_unseen[c] if c in model.group_cls else 0) == pytest.approx(1, abs=1e-6)
 
 
 # ---- 8 quality rules ------------------------------------------------------------------------------------------------
@@ -513,15 +596,17 @@ def test_pipeline(spark, small, texts):
     kept4 = corpus_pipeline.cut_secrets(spark, kept3, small)
     rows = {r.doc_id: r for r in kept4.collect()}
     assert set(rows) == clean and kept4.columns == docs.columns
-    owners = defaultdict(set)
-    source = {r.doc_id: r.source for r in docs.collect()}
+    owners, repos = defaultdict(set), defaultdict(set)
+    source = {r.doc_id: (r.source, f"{r.source}/{r.lang}") for r in docs.collect()}
     for i in clean:
         for _, _, _, v in secret_scan.find_candidates(left[i]):
-            owners[v].add(source[i])
+            owners[v].add(source[i][0])
+            repos[v].add(source[i][1])
+    live = lambda v: len(owners[v]) < 2 or len(repos[v]) < 3
     for i, r in rows.items():
         found = secret_scan.find_candidates(left[i])
-        assert (r.text == left[i]) == (not any(len(owners[v]) < 2 for *_, v in found))
-        assert not any(v in r.text for *_, v in found if len(owners[v]) < 2)
+        assert (r.text == left[i]) == (not any(live(v) for *_, v in found))
+        assert not any(v in r.text for *_, v in found if live(v))
     check_packing(corpus_pipeline.pack_sequences(spark, kept4, small).collect(), [(i, r.text) for i, r in rows.items()])
 
 
