@@ -225,3 +225,28 @@ def test_expired_generations_are_listed(frame, lake, spark):
     maintain.compact(lake)
     soon = F.current_timestamp() + F.expr("INTERVAL 1 HOUR")
     assert [r.generation for r in maintain.expired_generations(lake, "1s", soon).collect()] == [first] and maintain.expired_generations(lake, "2h", soon).count() == 0
+
+
+# ---- staging --------------------------------------------------------------------------------------------------------
+
+
+def test_staged_tables_can_go(spark):
+    from tidebook.sources import staging
+
+    a = staging.staged(spark.range(5), "five")
+    assert a.count() == 5 and a.inputFiles()
+    staging.unstage(a)
+    staging.unstage(spark.range(1))
+    with pytest.raises(Exception, match="(?i)not.*exist|no such file"):
+        spark.read.parquet(a._staged_at).count()
+
+
+def test_a_cluster_has_to_name_the_shared_folder():
+    from types import SimpleNamespace as Fake
+
+    from tidebook.sources import staging
+
+    none = Fake(get=lambda *a: None)
+    cluster = Fake(conf=none, sparkContext=Fake(getConf=lambda: none, master="spark://host:7077"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        staging.shared_dir(cluster)
