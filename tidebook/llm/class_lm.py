@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebook.llm import bytestext as bt
-from tidebook.llm.shared import staged
+from tidebook.llm.shared import staged, unstage
 
 HOT, FREQUENT, GROUPS, CLASSES = 1 << 16, 1200, 256, 64
 FLOOR = 2  # occurrences of a word that is clustered by itself
@@ -363,8 +363,9 @@ def exchange_words(words: DataFrame, group_cls: np.ndarray, rounds: int, name: s
                     new = np.where((n < FLOOR) & (hash_ != END), of_group[grp], new)
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(new.astype(np.int32)), part.column(4), part.column(5)], part.schema.names)
 
-        words = words.select("hash", "grp", "n", "cls", "history", "counts")
-        words = staged(words.mapInArrow(move, words.schema), f"{name}{k}")
+        old, rows = words, words.select("hash", "grp", "n", "cls", "history", "counts")
+        words = staged(rows.mapInArrow(move, rows.schema), f"{name}{k}")
+        unstage(old)
     return words, group_cls, table_of(words)
 
 
@@ -388,6 +389,7 @@ def train(documents: DataFrame, text: str = "text", rounds: int = ROUNDS, passes
         else:
             begin = counted.join(words.select("hash", "cls"), "hash")
         begin = staged(begin.select("hash", "grp", "n", F.col("cls").cast("int").alias("cls"), "history", "counts"), f"begin{k}")
+        unstage(counted)
         words, group_cls, table = exchange_words(begin, group_cls, rounds, f"exchange{k}-")
         wanted = spark.createDataFrame([(int(h),) for h, _, _ in hot], "hash long")  # HOT rows at most
         now = {r.hash: r.cls for r in words.select("hash", "cls").join(F.broadcast(wanted), "hash").collect()}

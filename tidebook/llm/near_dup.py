@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidebook.llm import bytestext as bt
-from tidebook.llm.shared import staged
+from tidebook.llm.shared import staged, unstage
 
 SYMBOLS, CHUNKS = 64, 32
 SHARED = 4
@@ -172,7 +172,8 @@ def components(links: DataFrame, name: str = "component") -> DataFrame:
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         told = Observation()
         step = small.where("u <> v").distinct().observe(told, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s"))
-        edges = staged(step, f"{name}-step")
+        old, edges = edges, staged(step, f"{name}-step")
+        unstage(old)
         state = (told.get["n"], told.get["s"])
         if state == before or not state[0]:
             break

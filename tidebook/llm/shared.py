@@ -2,30 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from tidebook.sources.staging import release, shared_dir, staged, unstage
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; set here only where it is unset (single-machine runs)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def staged(df: DataFrame, name: str, *by: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: the lineage ends there and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidebook-{name}-{uuid.uuid4().hex}"
-    writer = df.write
-    if by:
-        writer = writer.partitionBy(*by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["release", "shared_dir", "staged", "table", "unstage"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
