@@ -433,3 +433,16 @@ def test_pipeline_run(spark, small):
         docs = stage(spark, docs, small)
     kept = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     check_packing(corpus_pipeline.run(spark, small).collect(), kept)
+
+
+def test_packing_ranks_over_salts(spark, monkeypatch):
+    """Few pieces a salt, so that ranks go across salts; and ids of another type."""
+    from tidebook.llm import packing
+
+    monkeypatch.setattr(packing, "RANKED", 7)
+    texts = [(i, "word " * int(n)) for i, n in enumerate(np.random.default_rng(5).integers(1, 40, 200))] + [(900, "long text " * 600), (901, "long text " * 900)]
+    df = spark.createDataFrame([(f"k{i}", t) for i, t in texts], "doc_id string, text string")
+    rows = packing.pack(df, 64).collect()
+    check_packing(rows, [(f"k{i}", t) for i, t in texts], 64)
+    full = [r.sequence_id for r in rows if r.length == 64]
+    assert len(full) == len(set(full)) > 20 and not set(full) & {r.sequence_id for r in rows if r.length < 64}

@@ -3,11 +3,12 @@
 Documents become token ids (byte-level BPE, then the end id); a longer one than a sequence is cut into pieces, the first of
 which takes the remainder.  What has to be packed is then a histogram of at most ``capacity`` lengths, whatever the number of
 documents: for each bin a bitset subset-sum dynamic programme over the lengths still there finds the fullest bin that holds
-the longest of them, and that combination is taken as often as the counts allow.  Pieces get their rank among those of
-their length from salted windows plus offsets, and a rank finds its bin and place in the list of combinations by binary search.
+the longest of them, and that combination is taken as often as the counts allow.  A full piece is a sequence of its own.  The
+others get their rank among those of their length from windows over salts of at most about ``RANKED`` pieces, so no length
+gathers in one task, plus what the salts before hold; a rank finds its bin and place in the list of combinations by binary search.
 
-The string of an added token of the tokenizer becomes that token's id, as in ``tokenizers``.  A null or empty text is the end id alone; repeated rows are pieces of their own; an empty table gives no pieces; extra
-columns are not read.
+The string of an added token of the tokenizer becomes that token's id, as in ``tokenizers``.  A null or empty text is the end
+id alone; repeated rows are pieces of their own; an empty table gives no pieces; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -27,9 +28,10 @@ from pyspark.sql import functions as F
 from tidebook.llm.shared import staged
 
 END_ID = 2
+RANKED = 2_000  # pieces that one window ranks
 _CACHED = 500_000
 _RUN = re.compile(r"\s\s")
-PIECES = "row long, doc_id long, piece int, start long, length int, ids_crc32 long"
+PIECES = "piece int, start long, length int, ids_crc32 long"
 
 
 class _Ids(dict):
@@ -127,21 +129,22 @@ def cut(documents: DataFrame, capacity: int, vocabulary: str, pattern: str, adde
         for batch in batches:
             for low in range(0, batch.num_rows, 500):
                 part = batch.slice(low, 500)
-                out: list[list] = [[], [], [], [], [], []]
-                for row, doc, t in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
+                out: list[list] = [[], [], [], [], []]
+                for at, t in enumerate(part.column(2).to_pylist()):
                     ids = encoder(t or "") + end
                     n = len(ids) // 4
                     start, length = 0, n % capacity or capacity
                     for piece in range(-(-n // capacity)):
-                        values = (row, doc, piece, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]))
+                        values = (at, piece, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]))
                         for column, v in zip(out, values, strict=True):
                             column.append(v)
                         start, length = start + length, capacity
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["row", "doc_id", "piece", "start", "length", "ids_crc32"])
+                rows_at = pa.array(out[0], pa.int64())
+                pieces = [pa.array(c, k) for c, k in zip(out[1:], (pa.int32(), pa.int64(), pa.int32(), pa.int64()), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(rows_at), part.column(1).take(rows_at), *pieces], ["row", "doc_id", "piece", "start", "length", "ids_crc32"])
 
-    rows = documents.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(encode, PIECES)
+    rows = documents.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return rows.mapInArrow(encode, f"row long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, {PIECES}")
 
 
 def fullest(left: dict[int, int], capacity: int) -> list[int]:
@@ -204,15 +207,21 @@ def pack(documents: DataFrame, capacity: int = 1024, vocabulary: str | None = No
     if vocabulary is None:
         vocabulary, pattern, added = tokenizer_vocabulary()
     pieces = staged(cut(documents, capacity, vocabulary, pattern, added, doc_id, text), "pieces")
-    salts = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("row", "piece"), F.lit(salts)).cast("int"))
-    counts = pieces.groupBy("length", "salt").agg(F.count("*").alias("n"))
+    lengths = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
+    # a full piece is a sequence of its own and needs no rank
+    full, part = pieces.where(F.col("length") == capacity), pieces.where(F.col("length") < capacity)
+    bins = fill({k: n for k, n in lengths.items() if k < capacity}, capacity)
+    table = spark.sparkContext.broadcast(places(bins))  # a few rows for each length, whatever the number of pieces
+    first_full = sum(times for times, _ in bins)
+    alone = full.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", (F.monotonically_increasing_id() + first_full).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    # ranks among the pieces of a length: a window over each salt of it, and what the salts before hold
+    salts = spark.createDataFrame([(k, -(-n // RANKED)) for k, n in lengths.items()] or [(0, 1)], "length int, salts int")
+    part = part.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("row", "piece"), "salts").cast("int"))
+    counts = part.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     counts = staged(counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))), "lengths")
-    histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
-    table = spark.sparkContext.broadcast(places(fill(histogram, capacity)))
     order = Window.partitionBy("length", "salt").orderBy("row", "piece")
-    ranked = pieces.withColumn("own", F.row_number().over(order) - 1).join(counts.select("length", "salt", "before"), ["length", "salt"])
+    ranked = part.withColumn("own", F.row_number().over(order) - 1).join(counts.select("length", "salt", "before"), ["length", "salt"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("own")).alias("rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,4 +237,5 @@ def pack(documents: DataFrame, capacity: int = 1024, vocabulary: str | None = No
                 ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
             )
 
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    kind = documents.schema[doc_id].dataType.simpleString()
+    return ranked.mapInArrow(place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long").unionByName(alone)
