@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidebook.functions import scalars
 from tidebook.operators import alerts, backfill, batchlog, benchstats, deadletter, lineage, quality, reads, state
-from tidebook.operators.decode import REPLAY_OF, decode
+from tidebook.operators.decode import REPLAY_OF, decoded_table
 from tidebook.operators.planner import mark_repeats, plan_batch, plan_history, watermarks
 from tidebook.plans.contracts import SHOP, classify, contract_impact
 from tidebook.sources import feed
@@ -55,7 +55,7 @@ def _decoded(spark: SparkSession, d: str) -> DataFrame:
     # decoding is the costly step: a feed of one small file is dealt to all cores first, and the rows are written out once,
     # as several columns of a decoded row are read by what follows
     changes = _changes(spark, d).repartition(spark.sparkContext.defaultParallelism)
-    return staged(decode(feed.as_envelopes(changes), SHOP, PII_KEY), "decoded")
+    return decoded_table(feed.as_envelopes(changes), SHOP, PII_KEY)
 
 
 def _batch_log(committed: DataFrame) -> DataFrame:
@@ -145,7 +145,7 @@ def b1_backfill(spark, d):
     at = F.timestamp_millis("ts_ms")
     rows = chosen.select("pk", "lsn", "ts_ms", feed.order_uuid(F.col("pk")).alias("order_id"), feed.order_uuid(F.col("o_custkey")).alias("customer_id"), F.lit("PAID").alias("status"), "amount", F.lit("EUR").alias("currency"), at.alias("created_at"), at.alias("updated_at"))
     records = backfill.as_envelopes(rows, SHOP.active("orders")[0], F.col("lsn"), F.col("ts_ms"), "cdc.shop.orders")
-    decoded = staged(decode(records, SHOP, PII_KEY), "backfill").where("status = 'valid'")
+    decoded = decoded_table(records, SHOP, PII_KEY, "backfill").where("status = 'valid'")
     reads_ = decoded.select("event_id", "source_table", F.substring_index("primary_key", "-", -1).cast("long").alias("primary_key"), "op", "source_lsn", "source_ts_ms", "kafka_topic", "kafka_partition", "kafka_offset")
     planned = _planned(spark, d)
     top = planned.where("apply_outcome <> 'duplicate'").groupBy("source_table", "primary_key").agg(F.max("source_lsn").alias("_source_lsn"))
@@ -198,7 +198,7 @@ def d2_order_faults(spark, d):
     plain = F.concat(F.lit('{"order_id":"'), uuid, F.lit('"}'))
     key = F.when(c == 5, None).when(c == 6, F.concat(F.lit('{"schema":{},"payload":'), plain, F.lit("}"))).otherwise(plain)
     value = F.when(c == 1, None).when(c == 2, F.lit("[1, 2]")).otherwise(body)
-    rows = staged(decode(_kafka(_table(spark, d, "orders").repartition(spark.sparkContext.defaultParallelism), key, value, "cdc.shop.orders", F.col("o_orderkey")), SHOP, PII_KEY), "faults")
+    rows = decoded_table(_kafka(_table(spark, d, "orders").repartition(spark.sparkContext.defaultParallelism), key, value, "cdc.shop.orders", F.col("o_orderkey")), SHOP, PII_KEY, "faults")
     return rows.select("kafka_offset", "status", "error_code", "error_detail", F.array_join("violations", ",").alias("violations"), "raw_key", "raw_value", "contract_version", "primary_key", "event_id", "after_json")
 
 
@@ -213,7 +213,7 @@ def d19_customer_images(spark, d):
     )
     body = F.concat(F.lit('{"before":null,"after":'), image, F.lit(',"op":"c","ts_ms":1790000000005,"source":{"schema":"shop","table":"customers","lsn":'), F.col("c_custkey"), F.lit(',"txId":7,"ts_ms":1790000000000,"snapshot":"false"}}'))
     rows = _kafka(_table(spark, d, "customer"), F.concat(F.lit('{"customer_id":"'), uuid, F.lit('"}')), body, "cdc.shop.customers", F.col("c_custkey"))
-    rows = staged(decode(rows, SHOP, PII_KEY), "customers")
+    rows = decoded_table(rows, SHOP, PII_KEY, "customers")
     return rows.select("kafka_offset", "status", "error_code", F.array_join("violations", ",").alias("violations"), F.array_join("drift_fields", ",").alias("drift_fields"), "primary_key", "event_id", "after_json", "debezium_ts_ms")
 
 
@@ -258,7 +258,7 @@ def _reject_log(spark, d):
         F.col("kafka_offset").alias("offset"), F.col("kafka_ts").alias("timestamp"), F.lit(0).alias("timestampType"),
         F.array(F.struct(F.lit("original-topic").alias("key"), F.encode("source_topic", "UTF-8").alias("value")), F.struct(F.lit(REPLAY_OF).alias("key"), F.encode("dlq_id", "UTF-8").alias("value"))).alias("headers"),
     )
-    second = staged(decode(again, SHOP, PII_KEY), "replayed").withColumn("batch_id", F.lit(2).cast("long"))
+    second = decoded_table(again, SHOP, PII_KEY, "replayed").withColumn("batch_id", F.lit(2).cast("long"))
     return deadletter.dead_letter_events(first).unionByName(deadletter.dead_letter_events(second))
 
 

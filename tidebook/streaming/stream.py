@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StreamingQueryListener
 from tidebook.functions.scalars import text_or_base64
 from tidebook.operators.batchlog import batch_profile
 from tidebook.operators.deadletter import dead_letter_events
-from tidebook.operators.decode import decode
+from tidebook.operators.decode import decode, small_methods
 from tidebook.operators.planner import APPLIED, DUPLICATE, LATENESS_MS, STALE, SUPERSEDED, next_watermark, plan_batch
 from tidebook.plans.contracts import Registry
 from tidebook.sources.lake import BRONZE_SCHEMA, LOG_SCHEMA, REJECT_SCHEMA, Lake
@@ -56,9 +56,11 @@ class Pipeline:
         """One micro-batch; ``foreachBatch`` calls it with the batch's own session, which all frames here come from."""
         started, clock = dt.datetime.now(dt.timezone.utc), time.monotonic()
         registry, attempt = self._reload(batch_id), uuid.uuid4().hex
-        decoded = decode(batch, registry, self.pii_key).withColumn("batch_id", F.lit(batch_id).cast("long")).persist(StorageLevel.MEMORY_AND_DISK)
+        with small_methods(batch.sparkSession):
+            decoded = decode(batch, registry, self.pii_key).withColumn("batch_id", F.lit(batch_id).cast("long")).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            profile = batch_profile(decoded).first()
+            with small_methods(batch.sparkSession):
+                profile = batch_profile(decoded).first()
             if profile is None:
                 return
             offsets = decoded.groupBy("kafka_topic", "kafka_partition").agg(F.min("kafka_offset").alias("a"), F.max("kafka_offset").alias("z")).collect()  # a row a partition
