@@ -41,19 +41,18 @@ def plan_history(events: DataFrame, lateness_ms: int = LATENESS_MS) -> DataFrame
     """``events`` with ``apply_outcome`` and ``is_late`` (null for duplicates).
 
     Needs event_id, source_table, primary_key, source_lsn, source_ts_ms, batch_id and the Kafka place.  ``previous_lsn`` is
-    added: the key's highest position of the batches before, which is that of its applied event before.  Two shuffles of the
-    events, by id and by key; the batches' watermarks are a row each and are joined.
+    added: the key's highest position of the batches before, which is that of its applied event before.  The events are
+    shuffled by id, and by key and batch; a key's batches and the watermarks are a row each and are joined.
     """
     marked = mark_repeats(events)
     first = F.when(F.col("arrival") == 1, F.col("source_ts_ms"))
     marks = watermarks(marked.select("batch_id", first.alias("source_ts_ms")), lateness_ms)
-    # duplicates go through the key window too, where a null position keeps them out of every maximum and rank
-    own = F.when(F.col("arrival") == 1, F.col("source_lsn"))
-    marked = marked.withColumn("_lsn", own)
-    by_key = Window.partitionBy(*_KEY).orderBy("batch_id").rangeBetween(Window.unboundedPreceding, -1)
-    in_batch = Window.partitionBy(*_KEY, "batch_id").orderBy(F.col("_lsn").desc_nulls_last(), *_last_first()[1:])
-    planned = marked.withColumns({"_base": F.max("_lsn").over(by_key), "_rank": F.row_number().over(in_batch)}).join(marks, "batch_id")
-    return _outcomes(planned, F.col("arrival") > 1).withColumnRenamed("_base", "previous_lsn").drop("arrival", "_lsn", "_rank", "watermark_ms")
+    # by key and batch first: the window by key then sees a row a batch, and a hot key's events meet it in a join
+    place = F.struct((-F.col("source_lsn")).alias("a"), (-F.col("kafka_offset")).alias("b"), F.col("kafka_topic").alias("c"), F.col("kafka_partition").alias("d"))
+    tops = marked.where("arrival = 1").groupBy(*_KEY, "batch_id").agg(F.max("source_lsn").alias("_lsn"), F.min(place).alias("_top"))
+    tops = tops.withColumn("_base", F.max("_lsn").over(Window.partitionBy(*_KEY).orderBy("batch_id").rowsBetween(Window.unboundedPreceding, -1)))
+    planned = marked.join(tops, [*_KEY, "batch_id"], "left").withColumn("_rank", F.when(place == F.col("_top"), 1).otherwise(2)).join(marks, "batch_id")
+    return _outcomes(planned, F.col("arrival") > 1).withColumnRenamed("_base", "previous_lsn").drop("arrival", "_lsn", "_top", "_rank", "watermark_ms")
 
 
 def _outcomes(planned: DataFrame, repeated) -> DataFrame:
