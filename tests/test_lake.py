@@ -110,6 +110,38 @@ def test_progress_has_offsets_and_what_is_in_flight(spark, tmp_path):
     assert listener.table(spark).first().batch_id == 4
 
 
+def test_generations_are_listed_and_older_files_read(frame, lake, spark):
+    pipe = stream.Pipeline(lake, lambda: SHOP, KEY)
+    assert lake.generations().count() == 0
+    pipe.process(frame([record(order(1, 5), 1)]), 0)
+    maintain.compact(lake)
+    pipe.process(frame([record(order(2, 6), 2)]), 1)
+    maintain.compact(lake)
+    assert [r.batches for r in lake.generations().orderBy("at").collect()] == [1, 2]
+    # files written before a column was added have nulls there
+    old = lake.bronze().where("batch_id = 1").drop("previous_lsn", "replay_of").withColumns({"attempt_id": F.lit("older"), "batch_id": F.lit(7).cast("long"), "event_id": F.lit("e7")})
+    lake.append("bronze", old, "source_date", "stream_epoch", "batch_id", "attempt_id")
+    lake.append("batches", lake.log().limit(1).withColumns({"attempt_id": F.lit("older"), "batch_id": F.lit(7).cast("long")}))
+    row = lake.bronze().where("batch_id = 7").first()
+    assert row.event_id == "e7" and row.previous_lsn is None and row.replay_of is None and lake.bronze().count() == 3
+
+
+def test_a_source_table_is_read_by_jdbc(spark, tmp_path):
+    from tidebook.sources.source_tables import read_source
+
+    url, driver = f"jdbc:derby:{tmp_path}/db;create=true", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    rows = spark.createDataFrame([(k, f"n{k}") for k in range(50)], "id long, name string")
+    try:
+        rows.write.jdbc(url, "source_rows", properties=driver)
+    except Exception as e:  # noqa: BLE001
+        pytest.skip(f"no JDBC driver here: {str(e)[:80]}")
+    got = read_source(spark, url, "source_rows", "ID", 4, **driver)
+    assert got.rdd.getNumPartitions() == 4 and sorted(r[0] for r in got.collect()) == list(range(50)) and read_source(spark, url, "source_rows", **driver).count() == 50
+    lake_rows = rows.where("id <> 3").select(F.col("id").alias("ID"), F.when(F.col("id") == 4, "other").otherwise(F.col("name")).alias("NAME"))
+    found = {(r.ID, r.difference) for r in quality.differences(lake_rows, got.select(F.col("ID"), F.col("NAME")), ["ID"], ["NAME"]).collect()}
+    assert found == {(3, "missing"), (4, "different")}
+
+
 # ---- contract files -------------------------------------------------------------------------------------------------
 
 

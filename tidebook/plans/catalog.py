@@ -646,6 +646,13 @@ def k14_lsn_text(spark, d):
     return rows.withColumn("lsn_back", scalars.lsn_number(F.col("lsn_text")))
 
 
+def k7_json_values(spark, d):
+    """Scalars taken out of JSON text; what isn't there, or isn't JSON, is null."""
+    rows = _table(spark, d, "events").withColumn("text", F.when(F.col("event_id") % 10 == 3, "{broken").otherwise(F.col("props")))
+    key, none = F.get_json_object("text", "$.k"), F.get_json_object("text", "$.none")
+    return rows.select("event_id", key.alias("k"), key.cast("long").alias("k_number"), none.alias("none"))
+
+
 def k3_positions(spark, d):
     rows = _events(spark, d)
     return rows.select("event_id", "kafka_offset", scalars.position(F.col("kafka_partition"), F.col("kafka_offset")).alias("position"), scalars.sha256_text(F.col("source_table"), F.col("primary_key"), F.col("source_lsn")).alias("digest"))

@@ -321,6 +321,7 @@ def oracle_sql() -> dict[str, str]:
         "d19_customer_images": _CUSTOMER_IMAGES,
         "d19_pseudonyms": f"SELECT c_custkey, {_hmac('lower(trim(c_name))', _PII_KEY)} AS pseudonym FROM customer",
         "k14_lsn_text": "SELECT o_orderkey, o_orderkey * 987654321 AS lsn, concat(printf('%X', (o_orderkey * 987654321) >> 32), '/', printf('%X', (o_orderkey * 987654321) & 4294967295)) AS lsn_text, o_orderkey * 987654321 AS lsn_back FROM orders",
+        "k7_json_values": "SELECT event_id, json_extract_string(j, '$.k') AS k, CAST(json_extract_string(j, '$.k') AS BIGINT) AS k_number, json_extract_string(j, '$.none') AS none FROM (SELECT event_id, CASE WHEN event_id % 10 <> 3 THEN CAST(props AS JSON) END AS j FROM events)",
         "k3_positions": f"WITH {_FEED} SELECT eid AS event_id, off AS kafka_offset, concat(lpad(CAST(part AS VARCHAR), 5, '0'), ':', lpad(CAST(off AS VARCHAR), 20, '0')) AS position, sha256(concat('shop.orders|', pk, '|', lsn)) AS digest FROM f",
         "k12_times": "SELECT o_orderkey, strftime(o_orderdate - INTERVAL 2 HOUR, '%Y-%m-%dT%H:%M:%S.123456Z') AS utc, epoch_ms(date_trunc('second', o_orderdate)) - 7200000 + 123 AS ms FROM orders",
     }

@@ -118,6 +118,14 @@ class Lake:
         rows = self.read("manifest", MANIFEST_SCHEMA).orderBy(F.desc("at"), F.desc("generation")).limit(1).collect()
         return rows[0].generation if rows else None
 
+    def generations(self) -> DataFrame:
+        """generation, at, batches: every generation that readers switched to, with the number of batches it covers."""
+        rows = self.read("manifest", MANIFEST_SCHEMA)
+        if not self._exists(self._path("generations")):
+            return rows.withColumn("batches", F.lit(0).cast("long"))
+        cover = self.spark.read.schema(COVER_SCHEMA).parquet(f"{self._path('generations')}/*/cover").withColumn("generation", F.regexp_extract(F.input_file_name(), r"/generations/([^/]+)/", 1))
+        return rows.join(cover.groupBy("generation").agg(F.count("*").alias("batches")), "generation", "left")
+
     def files(self) -> DataFrame:
         """path, length, modified: of every data file, without reading its content."""
         if not self._exists(self.root):
