@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidebook.functions import scalars
 from tidebook.operators import alerts, backfill, batchlog, benchstats, deadletter, lineage, quality, reads, state
-from tidebook.operators.decode import REPLAY_OF, decoded_table
+from tidebook.operators.decode import REPLAY_OF, decoded_table, small_methods
 from tidebook.operators.planner import mark_repeats, plan_batch, plan_history, watermarks
 from tidebook.plans.contracts import SHOP, classify, contract_impact
 from tidebook.sources import feed
@@ -217,17 +217,21 @@ def d19_customer_images(spark, d):
     return rows.select("kafka_offset", "status", "error_code", F.array_join("violations", ",").alias("violations"), F.array_join("drift_fields", ",").alias("drift_fields"), "primary_key", "event_id", "after_json", "debezium_ts_ms")
 
 
-def v13_contract_impact(spark, d):
-    raw = feed.as_envelopes(_changes(spark, d))
+def _images(spark, d):
+    """Row images of the feed that are objects; a feed of one small file is dealt to all cores first."""
+    raw = feed.as_envelopes(_changes(spark, d).repartition(spark.sparkContext.defaultParallelism))
     rows = raw.select(F.lit("orders").alias("contract_name"), F.try_variant_get(F.try_parse_json(F.col("value").cast("string")), "$.after", "variant").alias("image"))
-    rows = rows.where(scalars.is_object(F.col("image")))
-    return contract_impact(rows, "image", "contract_name", SHOP, SHOP.promoted())
+    return rows.where(scalars.is_object(F.col("image")))
+
+
+def v13_contract_impact(spark, d):
+    with small_methods(spark):
+        return staged(contract_impact(_images(spark, d), "image", "contract_name", SHOP, SHOP.promoted()), "impact")
 
 
 def v10_classification(spark, d):
-    raw = feed.as_envelopes(_changes(spark, d))
-    rows = raw.select(F.lit("orders").alias("contract_name"), F.try_variant_get(F.try_parse_json(F.col("value").cast("string")), "$.after", "variant").alias("image"))
-    rows = classify(rows.where(scalars.is_object(F.col("image"))), "image", "contract_name", SHOP)
+    with small_methods(spark):
+        rows = staged(classify(_images(spark, d), "image", "contract_name", SHOP).select("version", "violations", "drift_fields"), "classified")
     return rows.groupBy("version", F.array_join("violations", ",").alias("violations"), F.array_join("drift_fields", ",").alias("drift_fields")).agg(F.count("*").alias("images"))
 
 
