@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import class_lm, decontaminate, near_dup, packing, pii, quality_model, quality_rules, secret_scan, toxicity, url_filter
+from tidebook.llm import class_lm, decontaminate, near_dup, packing, periodic_runs, pii, prefix_trie, quality_model, quality_rules, secret_scan, substring_dedup, toxicity, url_filter
 from tidebook.llm.shared import table
 
 # Fixed values of the contract.
@@ -102,8 +103,51 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), 1024)
 
 
+def cycled(h: int, n: int):
+    """For a tenth of the seeds, a text's words from one place on, said again and again; None for the others."""
+    if h % 10:
+        return None
+    g = h // 10
+    a = g % n
+    period = 1 + (n - a) // (3 + g % 8)
+    places = np.arange(n)
+    places[a:] = a + (places[a:] - a) % period
+    return places
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.detect_runs(table(spark, sf_dir, "documents"), 6, 4, cycled, F.crc32(F.col("doc_id").cast("string")))
+    longest = F.array_sort("runs", lambda x, y: F.when(x["length"] != y["length"], F.signum(y["length"] - x["length"])).when(x["start"] != y["start"], F.signum(x["start"] - y["start"])).otherwise(F.signum(x["period"] - y["period"])).cast("int"))
+    rows = found.withColumn("best", F.try_element_at(longest, F.lit(1)))
+    best = F.col("best")
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return rows.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+        F.floor(1000 * best["length"] / best["period"]).cast("long").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def rebuilt(conversations: DataFrame) -> DataFrame:
+    """conv_id and turns of each conversation c: the first h original turns of c - c % 20, then c's own after its first h."""
+    own = prefix_trie.conversation_turns(conversations)
+    lead = own.where(F.col("conv_id") % 20 == 0).select(F.col("conv_id").alias("lead_id"), F.slice("turns", 1, 3).alias("lead"))
+    h = (F.crc32(F.col("conv_id").cast("string")) % 4).cast("int")
+    rows = own.withColumns({"lead_id": F.col("conv_id") - F.col("conv_id") % 20, "h": h}).join(lead, "lead_id", "left")
+    first = F.slice(F.coalesce("lead", F.array().cast(own.schema["turns"].dataType)), F.lit(1), F.col("h"))
+    return rows.select("conv_id", F.concat(first, F.slice("turns", F.col("h") + 1, F.size("turns"))).alias("turns"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(rebuilt(table(spark, sf_dir, "conversations")))
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), 20)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_pii, op3_minhash, op4_quality_model, op5_secrets, op6_class_lm, op7_toxicity, op8_quality_rules, op9_decontamination, op10_packing)}
+    return {f.__name__: f for f in (op1_url_filter, op2_pii, op3_minhash, op4_quality_model, op5_secrets, op6_class_lm, op7_toxicity, op8_quality_rules, op9_decontamination, op10_packing, op11_periodic_runs, op12_prefix_trie, op13_substring_dedup)}
 
 
 _OP1 = """
