@@ -34,17 +34,17 @@ _FOUND = "n_words long, runs array<struct<start:bigint,length:bigint,period:bigi
 Arrange = Callable[[int, int], "np.ndarray | None"]
 
 
-def suffix_ranks(key: np.ndarray, ends: np.ndarray, least: int) -> tuple[list[np.ndarray], np.ndarray]:
+def suffix_ranks(key: np.ndarray, text: np.ndarray, ends: np.ndarray, least: int) -> tuple[list[np.ndarray], np.ndarray]:
     """Ranks of all suffixes by their first 1, 2, 4, ... words, until all differ, and the suffixes that share at least
     ``least`` words with another (or a power of two below that), in suffix order.
 
-    ``key``: a value of each word that is the same for equal words of one text only; ``ends``: where each word's text ends.
-    A rank is the place of the first of its group, so later ranks refine earlier ones.
+    ``text``: the number of each word's text, whose words are never those of another; ``ends``: where it ends.  A rank is the
+    place of the first of its group, so later ranks refine earlier ones.
     """
     n = len(key)
-    order = np.argsort(key, kind="stable")
+    order = np.lexsort((key, text))
     new = np.ones(n, bool)
-    new[1:] = key[order[1:]] != key[order[:-1]]
+    new[1:] = (key[order[1:]] != key[order[:-1]]) | (text[order[1:]] != text[order[:-1]])
     first = np.flatnonzero(new)
     size = np.diff(np.append(first, n))
     rank = np.full(n + 1, -1, np.int32)
@@ -146,7 +146,7 @@ def find_runs(keys: np.ndarray, first: np.ndarray, min_length: int = 6, exponent
     text = np.repeat(np.arange(len(counts)), counts)
     if not n:
         return {}
-    levels, at = suffix_ranks(bt.mix(keys + text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), first[1:][text], least)
+    levels, at = suffix_ranks(keys, text, first[1:][text], least)
     if len(at) < 2:
         return {}
     lcp = common_prefixes(levels, at)

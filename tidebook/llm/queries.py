@@ -178,5 +178,79 @@ FROM r
 """
 
 
+#: crc32 of the decimal text of ``{0}``, bit by bit.
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({0}::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+  lambda acc, b: list_reduce(list_concat([xor(acc, b)], range(8)), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)), 4294967295)"""
+
+_OP11 = """
+WITH w AS (
+  SELECT doc_id, {crc} AS h, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS original FROM documents),
+m AS (SELECT *, len(original) AS n, h // 10 AS g FROM w),
+x AS (
+  SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+    THEN list_transform(range(n), lambda i: CASE WHEN i < g % n THEN original[i + 1] ELSE original[g % n + (i - g % n) % (1 + (n - g % n) // (3 + g % 8)) + 1] END)
+    ELSE original END AS ws
+  FROM m),
+fives AS (SELECT doc_id, n, i, array_to_string(ws[i + 1 : i + 5], ' ') AS gram, CASE WHEN i > 0 THEN ws[i] END AS before FROM x, unnest(range(n - 4)) AS u(i)),
+pairs AS (
+  SELECT a.doc_id, a.i AS s, b.i - a.i AS q FROM fives AS a JOIN fives AS b ON a.doc_id = b.doc_id AND a.gram = b.gram AND b.i > a.i
+  WHERE a.i + 4 * (b.i - a.i) <= a.n AND (a.i = 0 OR a.before <> b.before)),
+near AS (SELECT pairs.*, n, ws FROM pairs JOIN x USING (doc_id) WHERE ws[s + 3 * q] = ws[s + 4 * q] AND ws[s + 2 * q] = ws[s + 3 * q]),
+same AS (
+  SELECT doc_id, s, q, coalesce(list_position(list_transform(range(s, n - q), lambda i: ws[i + 1] = ws[i + q + 1]), false) - 1, n - q - s) AS l FROM near),
+runs AS (SELECT doc_id, s, l + q AS len, min(q) AS q FROM same WHERE l >= 3 * q AND l + q >= 6 GROUP BY doc_id, s, l + q),
+said AS (SELECT DISTINCT doc_id, s + q + k AS i FROM runs, unnest(range(len - q)) AS u(k)),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS txt
+  FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(n)) AS i FROM x) ANTI JOIN said USING (doc_id, i) GROUP BY doc_id),
+found AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS lines,
+    first({{'s': s, 'len': len, 'q': q}} ORDER BY len DESC, s, q) AS best
+  FROM runs GROUP BY doc_id)
+SELECT x.doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.len AS length, best.q AS period, 1000 * best.len // best.q AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(txt, '')) AS collapsed_sha256
+FROM x LEFT JOIN found USING (doc_id) LEFT JOIN kept USING (doc_id)
+""".format(crc=_CRC.format("doc_id"))
+
+_OP12 = """
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS k
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, {crc} % 4 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+own AS (
+  SELECT c.conv_id, t.k, role, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 20 WHERE t.k <= c.h
+  UNION ALL
+  SELECT c.conv_id, t.k + 1000000, role, text FROM c JOIN t ON t.conv_id = c.conv_id WHERE t.k > c.h),
+s AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY k) AS d, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words, sha256(length(role) || ':' || role || text) AS turn
+  FROM own),
+p AS (
+  SELECT conv_id, d, words, string_agg(turn, '') OVER (PARTITION BY conv_id ORDER BY d) AS node FROM s
+  UNION ALL
+  SELECT conv_id, 0, 0, '' FROM c),
+nodes AS (SELECT node, max(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(words) AS own FROM p GROUP BY node),
+kids AS (SELECT left(node, length(node) - 64) AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+below AS (SELECT DISTINCT a.node AS top, b.node FROM p AS a JOIN p AS b ON a.conv_id = b.conv_id AND b.d >= a.d),
+sums AS (
+  SELECT top AS node, sum(own)::BIGINT AS saved_tokens, count(*) FILTER (kids.node IS NULL) AS n_leaves
+  FROM below JOIN nodes USING (node) LEFT JOIN kids USING (node) GROUP BY top),
+ends AS (SELECT node, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM (SELECT conv_id, arg_max(node, d) AS node FROM p GROUP BY conv_id) GROUP BY node)
+SELECT n.conv_id, n.depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM nodes AS n JOIN sums USING (node) LEFT JOIN kids USING (node) LEFT JOIN ends USING (node) LEFT JOIN nodes AS up ON n.depth > 0 AND up.node = left(n.node, length(n.node) - 64)
+""".format(crc=_CRC.format("conv_id"))
+
+_OP13 = """
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+windows AS (SELECT doc_id, i AS start, array_to_string(ws[i + 1 : i + 20], ' ') AS words FROM w, unnest(range(len(ws) - 19)) AS u(i)),
+again AS (SELECT doc_id, start FROM windows QUALIFY row_number() OVER (PARTITION BY words ORDER BY doc_id, start) > 1),
+gone AS (SELECT DISTINCT doc_id, start + k AS i FROM again, unnest(range(20)) AS u(k)),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS txt, count(*) AS n
+  FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM w) ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(txt, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": _OP1}
+    return {"op1_url_filter": _OP1, "op11_periodic_runs": _OP11, "op12_prefix_trie": _OP12, "op13_substring_dedup": _OP13}

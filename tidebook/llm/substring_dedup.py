@@ -66,8 +66,8 @@ class Unit:
         self.buckets = bucket[self.sent]
 
     def slices(self) -> Iterator[tuple[int, np.ndarray]]:
-        bounds = np.flatnonzero(np.diff(self.buckets, prepend=-1))
-        for low, high in zip(bounds, np.append(bounds[1:], len(self.sent)), strict=True):
+        bounds = np.append(np.flatnonzero(np.diff(self.buckets, prepend=-1)), len(self.sent))
+        for low, high in zip(bounds[:-1], bounds[1:], strict=True):
             yield int(self.buckets[low]), self.sent[low:high]
 
 
