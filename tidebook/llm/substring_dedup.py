@@ -1,9 +1,9 @@
 """Substring deduplication: words of a passage that was said before are cut out.
 
-Every window of ``window`` consecutive words of a text has a Rabin-Karp hash.  Texts travel in units of about a megabyte that
+Every window of ``window`` consecutive words of a text has a Rabin-Karp hash.  Texts travel in units of half a megabyte that
 are written once.  A unit counts its own windows first: of windows that it repeats only the first is sent on, so a passage
 that a third of all texts share is a row of each unit, not of each text.  Windows meet in buckets of hash ranges, packed by
-unit; the number of buckets follows from the number of windows, so a bucket stays within about ``BUCKET`` windows.  There the
+unit; the number of tasks follows from the number of windows, so one compares about ``TASK_WINDOWS`` of them.  There the
 first of each repeated hash, by doc_id, keeps its words; the others go back to their unit as one bit each, where windows that
 start again merge into maximal removal intervals.
 
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from tidebook.llm import bytestext as bt
 from tidebook.llm.shared import staged
 
-UNIT_BYTES = 1 << 20
-BUCKET = 1 << 20  # windows of a bucket, on average
+UNIT_BYTES = 1 << 19
+TASK_WINDOWS = 1 << 22  # windows that one task compares, on average
 _LAST = np.iinfo(np.int64).max
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -106,53 +106,68 @@ def send_windows(units: DataFrame, window: int, buckets: int) -> DataFrame:
     return units.select("unit", "blob").mapInArrow(hashes, "bucket long, unit long, hashes binary, ids binary")
 
 
-def mark_later(table: pa.Table) -> pa.Table:
-    """unit, bucket, flags: for the windows of one bucket a bit each, set where an earlier text has the same window."""
-    table = table.combine_chunks()
-    units = table.column("unit").to_numpy()
-    parts = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("hashes")]
-    h, ids = np.concatenate(parts), np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table.column("ids")])
-    row = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    order = np.argsort(h, kind="stable")
-    same = h[order[1:]] == h[order[:-1]]
-    several = np.append(same, False) | np.insert(same, 0, False)
-    among = order[several]
-    among = among[np.lexsort((units[row[among]], ids[among], h[among]))]  # a unit sends a hash once
-    later = np.zeros(len(h), bool)
-    later[among[1:][h[among[1:]] == h[among[:-1]]]] = True
-    bounds = np.cumsum([0, *(len(p) for p in parts)])
-    hit = [k for k in range(len(parts)) if later[bounds[k] : bounds[k + 1]].any()]
-    flags = [np.packbits(later[bounds[k] : bounds[k + 1]]).tobytes() for k in hit]
-    return pa.table({"unit": pa.array(units[hit], pa.int64()), "bucket": pa.array(table.column("bucket").to_numpy()[hit], pa.int64()), "flags": pa.array(flags, pa.binary())})
-
-
-def cut_repeats(units: DataFrame, marks: DataFrame, window: int, buckets: int) -> DataFrame:
+def mark_later(sent: DataFrame, tasks: int) -> DataFrame:
+    """unit, bucket, flags: for the windows that a unit has in a bucket a bit each, set where an earlier text has the same
+    window; rows without such a window are left out.  A task sorts the hashes of its buckets as arrays."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, unit, hashes, owners = [], [], [], []
+        for batch in batches:
+            bucket.append(batch.column(0).to_numpy())
+            unit.append(batch.column(1).to_numpy())
+            hashes += [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(2)]
+            owners += [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(3)]
+        if not hashes:
+            return
+        bucket, unit, size = np.concatenate(bucket), np.concatenate(unit), np.array([len(x) for x in hashes])
+        h, ids, bounds = np.concatenate(hashes), np.concatenate(owners), np.concatenate([[0], np.cumsum(size)])
+        order = np.argsort(h, kind="stable")
+        same = h[order[1:]] == h[order[:-1]]
+        among = order[np.append(same, False) | np.insert(same, 0, False)]
+        row = np.searchsorted(bounds, among, "right") - 1
+        among = among[np.lexsort((unit[row], ids[among], h[among]))]  # a unit sends a hash once
+        later = np.zeros(len(h), bool)
+        later[among[1:][h[among[1:]] == h[among[:-1]]]] = True
+        hit = np.flatnonzero(np.add.reduceat(later, bounds[:-1]))
+        for low in range(0, len(hit), 10_000):
+            part = hit[low : low + 10_000]
+            flags = [np.packbits(later[bounds[k] : bounds[k + 1]]).tobytes() for k in part]
+            yield pa.RecordBatch.from_arrays([pa.array(unit[part]), pa.array(bucket[part]), pa.array(flags, pa.binary())], ["unit", "bucket", "flags"])
+
+    return sent.repartition(tasks, "bucket").mapInArrow(mark, "unit long, bucket long, flags binary")
+
+
+def cut_repeats(units: DataFrame, marks: DataFrame, window: int, buckets: int, tasks: int) -> DataFrame:
     """doc_id, n_words, n_removed, kept: each text without the words of windows that start again."""
-    by_unit = marks.groupBy("unit").agg(F.collect_list(F.struct("bucket", "flags")).alias("marks"))  # a bit for each window of the unit
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs, flags = {}, {}  # of this task's units; a bit for each window, and the texts compressed
         for batch in batches:
-            for blob, marks in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                u = Unit(blob.as_buffer(), window, buckets)
-                again = u.repeats.copy()
-                flags = {m["bucket"]: m["flags"] for m in marks or ()}
-                for bucket, mine in u.slices():
-                    if bucket in flags:
-                        again[mine] |= np.unpackbits(np.frombuffer(flags[bucket], np.uint8), count=len(mine)).view(bool)
-                n = int(u.first[-1])
-                starts = np.zeros(n + 1, np.int64)
-                starts[u.at[again] + 1] = 1
-                started = np.cumsum(starts)  # windows cut that start before a word
-                gone = started[1:] > started[np.maximum(np.arange(n) - window + 1, 0)]
-                raw, kept = u.data.tobytes(), []
-                removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[u.first])
-                for t in range(u.rows.num_rows):
-                    words = raw[u.offsets[t] : u.offsets[t + 1]].split()
-                    kept.append(b" ".join(compress(words, (~gone[u.first[t] : u.first[t + 1]]).tolist()) if removed[t] else words))
-                yield pa.RecordBatch.from_arrays([u.rows.column(0), pa.array(np.diff(u.first).astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
-
-    rows = units.select("unit", "blob").join(by_unit, "unit", "left").select("blob", "marks")
-    return rows.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")
+            for unit, bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if bucket is None:
+                    blobs[unit] = blob
+                else:
+                    flags.setdefault(unit, {})[bucket] = blob
+        for unit in list(blobs):
+            u = Unit(blobs.pop(unit), window, buckets)
+            again, mine = u.repeats.copy(), flags.pop(unit, {})
+            for bucket, places in u.slices():
+                if bucket in mine:
+                    again[places] |= np.unpackbits(np.frombuffer(mine[bucket], np.uint8), count=len(places)).view(bool)
+            n = int(u.first[-1])
+            starts = np.zeros(n + 1, np.int64)
+            starts[u.at[again] + 1] = 1
+            started = np.cumsum(starts)  # windows cut that start before a word
+            gone = started[1:] > started[np.maximum(np.arange(n) - window + 1, 0)]
+            raw, kept = u.data.tobytes(), []
+            removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[u.first])
+            for t in range(u.rows.num_rows):
+                words = raw[u.offsets[t] : u.offsets[t + 1]].split()
+                kept.append(b" ".join(compress(words, (~gone[u.first[t] : u.first[t + 1]]).tolist()) if removed[t] else words))
+            yield pa.RecordBatch.from_arrays([u.rows.column(0), pa.array(np.diff(u.first).astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+
+    rows = units.select("unit", F.lit(None).cast("long").alias("bucket"), "blob").unionByName(marks.withColumnRenamed("flags", "blob"))
+    return rows.repartition(tasks, "unit").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def remove_repeats(documents: DataFrame, window: int = 20, unit_bytes: int = UNIT_BYTES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -160,7 +175,7 @@ def remove_repeats(documents: DataFrame, window: int = 20, unit_bytes: int = UNI
     spark = documents.sparkSession
     units = staged(into_units(documents, window, unit_bytes, doc_id, text), "units")
     total = units.agg(F.coalesce(F.sum("windows"), F.lit(0))).first()[0]
-    buckets = max(8 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
-    sent = send_windows(units, window, buckets)
-    marks = sent.groupBy("bucket").applyInArrow(mark_later, "unit long, bucket long, flags binary")
-    return cut_repeats(units, marks, window, buckets)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_WINDOWS))
+    buckets = 8 * tasks  # some to a task, so that tasks are even
+    marks = mark_later(send_windows(units, window, buckets), tasks)
+    return cut_repeats(units, marks, window, buckets, tasks)
