@@ -248,19 +248,6 @@ def test_available_now_equals_batches(frame, lake, spark, tmp_path):
     assert stream.new_epoch(lake, str(tmp_path / "check")) == pipe.epoch
 
 
-def test_retry():
-    calls = []
-
-    def write():
-        calls.append(1)
-        if len(calls) < 3:
-            raise RuntimeError("CommitFailedException")
-
-    assert stream.with_retry(write, pause=0.0) == 2
-    with pytest.raises(ZeroDivisionError):
-        stream.with_retry(lambda: 1 / 0, pause=0.0)
-
-
 # ---- quality, lineage, statistics, backfill --------------------------------------------------------------------------
 
 

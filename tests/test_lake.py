@@ -33,7 +33,7 @@ def order(k, lsn, op="c", **more):
     return envelope(op, image("orders", {"order_id": uuid(k)} | more), lsn=lsn)
 
 
-def test_positions_come_from_the_generation_and_later_batches(frame, lake):
+def test_positions_come_from_the_kept_state(frame, lake):
     pipe = stream.Pipeline(lake, lambda: SHOP, KEY)
     pipe.process(frame([record(order(k, 10 + k), k) for k in range(4)]), 0)
     pipe.process(frame([record(order(k, 20 + k, "u"), 10 + k) for k in range(2)]), 1)
@@ -43,15 +43,14 @@ def test_positions_come_from_the_generation_and_later_batches(frame, lake):
     maintain.maintain(lake, ("compact",))
     pipe.process(frame([record(order(1, 40, "u"), 20), record(order(9, 41), 21)]), 2)
     assert at(3) == whole() and at(2) == {uuid(0): 20, uuid(1): 21, uuid(2): 12, uuid(3): 13}
-    assert at(1) == {uuid(0): 10, uuid(1): 40, uuid(2): 12, uuid(3): 13, uuid(9): 41}  # the generation covers batch 1
-    files = [f for f in lake.positions("e1", 3).inputFiles() if "/bronze/" in f]
-    assert files and all("/generations/" not in f for f in files) and any("/positions/" in f for f in lake.positions("e1", 3).inputFiles())
+    assert at(1) == {uuid(0): 10, uuid(1): 40, uuid(2): 12, uuid(3): 13, uuid(9): 41}
+    assert all("/state/" in f for f in lake.positions("e1", 3).inputFiles())
     rows = {r.primary_key: r for r in lake.bronze().where("batch_id = 2").collect()}
     assert rows[uuid(1)].previous_lsn == 21 and rows[uuid(9)].previous_lsn is None
     folded = {r.primary_key: (r._source_lsn, r._prev_source_lsn) for r in state.current_rows(lake.bronze(), SHOP, "orders").collect()}
     assert folded[uuid(1)] == (40, 21) and folded[uuid(3)] == (13, None)
     evidence = {r.table_name: r for r in lake.spark.read.parquet(f"{lake.root}/maintenance_tables").collect()}
-    assert set(evidence) == {"bronze", "rejects", "batches", "generations"} and evidence["bronze"].fingerprint_match and evidence["generations"].generations_after == 1
+    assert set(evidence) == {"bronze", "rejects", "state"} and evidence["bronze"].fingerprint_match and evidence["bronze"].version_after == evidence["bronze"].version_before + 1
 
 
 def test_fold_of_planned_events_equals_the_window(spark):
@@ -83,20 +82,6 @@ def test_batch_log_says_what_a_batch_did(frame, lake, spark, tmp_path):
     assert stream.publish_batches(lake.log(), "nowhere://x") is False
 
 
-def test_a_conflict_is_retried_and_logged(frame, lake, monkeypatch):
-    append, failed = Lake.append, []
-
-    def once(self, name, rows, *by):
-        if name == "bronze" and not failed:
-            failed.append(name)
-            raise RuntimeError("CommitFailedException")
-        append(self, name, rows, *by)
-
-    monkeypatch.setattr(Lake, "append", once)
-    stream.Pipeline(lake, lambda: SHOP, KEY).process(frame([record(order(1, 5), 3)]), 0)
-    assert lake.log().first().commit_retries == 1 and lake.bronze().count() == 1
-
-
 def test_progress_has_offsets_and_what_is_in_flight(spark, tmp_path):
     for name, text in {"offsets/0": 'v1\n{"batchWatermarkMs":0}\n{"cdc.a":{"0":7,"1":3}}', "offsets/1": 'v1\n{}\n{"cdc.a":{"0":9,"1":3}}\n{"cdc.b":{"0":2}}', "commits/0": 'v1\n{}'}.items():
         (tmp_path / name).parent.mkdir(exist_ok=True)
@@ -110,22 +95,6 @@ def test_progress_has_offsets_and_what_is_in_flight(spark, tmp_path):
     assert listener.table(spark).first().batch_id == 4
 
 
-def test_generations_are_listed_and_older_files_read(frame, lake, spark):
-    pipe = stream.Pipeline(lake, lambda: SHOP, KEY)
-    assert lake.generations().count() == 0
-    pipe.process(frame([record(order(1, 5), 1)]), 0)
-    maintain.compact(lake)
-    pipe.process(frame([record(order(2, 6), 2)]), 1)
-    maintain.compact(lake)
-    assert [r.batches for r in lake.generations().orderBy("at").collect()] == [1, 2]
-    # files written before a column was added have nulls there
-    old = lake.bronze().where("batch_id = 1").drop("previous_lsn", "replay_of").withColumns({"attempt_id": F.lit("older"), "batch_id": F.lit(7).cast("long"), "event_id": F.lit("e7")})
-    lake.append("bronze", old, "source_date", "stream_epoch", "batch_id", "attempt_id")
-    lake.append("batches", lake.log().limit(1).withColumns({"attempt_id": F.lit("older"), "batch_id": F.lit(7).cast("long")}))
-    row = lake.bronze().where("batch_id = 7").first()
-    assert row.event_id == "e7" and row.previous_lsn is None and row.replay_of is None and lake.bronze().count() == 3
-
-
 def test_a_source_table_is_read_by_jdbc(spark, tmp_path):
     from tidebook.sources.source_tables import read_source
 
@@ -251,14 +220,6 @@ def test_run_documents(spark, tmp_path):
     assert benchstats.read_runs(spark, str(tmp_path / "c")).count() == 0
 
 
-def test_expired_generations_are_listed(frame, lake, spark):
-    stream.Pipeline(lake, lambda: SHOP, KEY).process(frame([record(order(1, 5), 1)]), 0)
-    first = maintain.compact(lake)["generation"]
-    maintain.compact(lake)
-    soon = F.current_timestamp() + F.expr("INTERVAL 1 HOUR")
-    assert [r.generation for r in maintain.expired_generations(lake, "1s", soon).collect()] == [first] and maintain.expired_generations(lake, "2h", soon).count() == 0
-
-
 # ---- staging --------------------------------------------------------------------------------------------------------
 
 

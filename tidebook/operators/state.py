@@ -49,6 +49,35 @@ def typed(json: Column, fields: list[Field]) -> list[Column]:
     return [row[f.column].try_cast(f.column_type).alias(f.column) for f in fields]
 
 
+def state_rows(events: DataFrame) -> DataFrame:
+    """Rows of the kept state, from all of the keys' bronze events."""
+    image = F.when(F.col("op") == "d", F.col("before_json")).otherwise(F.col("after_json"))
+    return fold(events.withColumns({"image_json": image, "is_row": F.col("op") != "d"}), ["image_json", "is_row"]).select(*KEY, "image_json", "is_row", *META)
+
+
+def merge_state(kept: DataFrame, applied: DataFrame) -> DataFrame:
+    """The kept state after one more batch: ``applied`` has at most one applied event a key, none of them older than the key's row.
+
+    A delete keeps the row's image; that of a key that was never seen alive is its first delete's before image."""
+    carried = {"event_id": "_event_id", "source_ts": "_source_ts", "contract_version": "_contract_version", "batch_id": "_batch_id", "stream_epoch": "_stream_epoch", "committed_at": "_ingested_at", "op": "_source_op", "source_lsn": "_source_lsn", "previous_lsn": "_prev_source_lsn"}
+    new = applied.select(*KEY, F.struct("before_json", "after_json", *[F.col(c).alias(a) for c, a in carried.items()]).alias("n"))
+    old = kept.select(*KEY, F.struct(*[c for c in kept.columns if c not in KEY]).alias("o"))
+    both = old.join(new, list(KEY), "full")
+    n, o = F.col("n"), F.col("o")
+    changed, deleted = n.isNotNull() & (o.isNull() | (n["_source_lsn"] >= o["_source_lsn"])), n["_source_op"] == "d"
+    value = {
+        "image_json": F.when(~deleted, n["after_json"]).when(o.isNull(), n["before_json"]).otherwise(o["image_json"]), "is_row": ~deleted | F.coalesce(o["is_row"], F.lit(False)),
+        "is_deleted": deleted, "deleted_at": F.when(deleted, n["_source_ts"]),
+    } | {a: n[a] for a in carried.values()}
+    return both.select(*KEY, *[F.when(changed, value[c]).otherwise(o[c]).alias(c) for c in ("image_json", "is_row", *META)])
+
+
+def kept_rows(kept: DataFrame, registry: Registry, contract: str) -> DataFrame:
+    """The current-state table of one contract from the kept state; equal to ``current_rows`` of all bronze events."""
+    mine = kept.where(F.col("source_table") == registry.current(contract).table)
+    return mine.select("primary_key", *typed(F.col("image_json"), registry.columns(contract)), *META)
+
+
 def current_rows(bronze: DataFrame, registry: Registry, contract: str) -> DataFrame:
     """The current-state table of one contract from its bronze events."""
     fields = registry.columns(contract)

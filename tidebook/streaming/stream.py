@@ -1,7 +1,7 @@
 """The streaming write path: decode, plan and commit micro-batches with the effect of exactly one delivery.
 
-Every write of a batch is addressed by its attempt, and the batch log comes last: a batch that is processed again, after a
-crash or a replay of the source, leaves the same tables and one more attempt in the log.
+Every file of a batch is addressed by its attempt, and one commit makes all of them visible: a batch that is processed again,
+after a crash or a replay of the source, leaves the same tables and one more attempt in the log.
 """
 
 from __future__ import annotations
@@ -17,12 +17,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
 from tidebook.functions.scalars import text_or_base64
-from tidebook.operators.batchlog import batch_profile
+from tidebook.operators.batchlog import batch_profile, fingerprint
 from tidebook.operators.deadletter import dead_letter_events
 from tidebook.operators.decode import decode, small_methods
 from tidebook.operators.planner import APPLIED, DUPLICATE, LATENESS_MS, STALE, SUPERSEDED, next_watermark, plan_batch
+from tidebook.operators.state import KEY, merge_state, state_rows
 from tidebook.plans.contracts import Registry
-from tidebook.sources.lake import BRONZE_SCHEMA, LOG_SCHEMA, REJECT_SCHEMA, Lake
+from tidebook.sources.commits import Conflict, Snapshot
+from tidebook.sources.lake import BRONZE_SCHEMA, LOG_SCHEMA, REJECT_SCHEMA, STATE_SCHEMA, Lake, key_bucket
+
+CONFLICTS = 5  # how often a batch is planned before a conflict is an error
 
 
 class Pipeline:
@@ -37,25 +41,25 @@ class Pipeline:
         self.registry: Registry = contracts()
         self.known = {self.registry.fingerprint(): self.registry}
 
-    def _reload(self, batch_id: int) -> Registry:
+    def _reload(self, batch_id: int, base: Snapshot) -> Registry:
         try:
             fresh = self.contracts()
             self.known.setdefault(fresh.fingerprint(), fresh)
             self.registry = fresh
         except Exception:  # noqa: BLE001 - a broken contract file keeps the set before
             pass
-        first = self.lake.log().where((F.col("stream_epoch") == self.epoch) & (F.col("batch_id") == batch_id)).orderBy("started_at").limit(1).collect()
-        return self.known.get(first[0].contracts, self.registry) if first else self.registry
+        first = base.batches.get((self.epoch, batch_id))
+        return self.known.get(first["contracts"], self.registry) if first else self.registry
 
-    def _watermark(self, batch_id: int) -> int:
-        mine = (F.col("stream_epoch") == self.epoch) & (F.col("batch_id") < batch_id)
-        row = self.lake.log().where(mine | (F.col("stream_epoch") != self.epoch)).agg(F.max("watermark_ms").alias("w")).first()
-        return row.w or 0
+    def _watermark(self, batch_id: int, base: Snapshot) -> int:
+        return max([base.floor, *(v["watermark"] for (epoch, b), v in base.batches.items() if epoch != self.epoch or b < batch_id)])
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
-        """One micro-batch; ``foreachBatch`` calls it with the batch's own session, which all frames here come from."""
+        """One micro-batch; ``foreachBatch`` calls it with the batch's own session, which all frames here come from.
+
+        What another writer commits meanwhile may change the plan, so the batch is planned and written anew then."""
         started, clock = dt.datetime.now(dt.timezone.utc), time.monotonic()
-        registry, attempt = self._reload(batch_id), uuid.uuid4().hex
+        registry = self._reload(batch_id, self.lake.snapshot())
         with small_methods(batch.sparkSession):
             decoded = decode(batch, registry, self.pii_key).withColumn("batch_id", F.lit(batch_id).cast("long")).persist(StorageLevel.MEMORY_AND_DISK)
         try:
@@ -64,32 +68,22 @@ class Pipeline:
             if profile is None:
                 return
             offsets = decoded.groupBy("kafka_topic", "kafka_partition").agg(F.min("kafka_offset").alias("a"), F.max("kafka_offset").alias("z")).collect()  # a row a partition
-            stages, retries = {"decode": self._since(clock)}, 0
-            counts = {o: 0 for o in (APPLIED, SUPERSEDED, STALE, DUPLICATE)}
-            late, before, newest, fresh, versions = 0, self._watermark(batch_id), None, (None, None, None), ""
-            if profile.valid_rows:
-                mark = time.monotonic()
-                counts, late, newest, fresh, versions, retries = self._write_bronze(decoded, profile, batch_id, attempt, before)
-                stages["bronze"] = self._since(mark)
-            if profile.dlq_rows or not decoded.where("replay_of is not null").isEmpty():
-                letters = dead_letter_events(decoded).withColumns({"stream_epoch": F.lit(self.epoch), "attempt_id": F.lit(attempt)})
-                mark = time.monotonic()
-                retries += with_retry(lambda: self.lake.append("rejects", letters.select([F.col(f.name).cast(f.dataType) for f in REJECT_SCHEMA]), "stream_epoch", "batch_id", "attempt_id"))
-                stages["rejects"] = self._since(mark)
-            place = {"stream_epoch": self.epoch, "batch_id": batch_id, "attempt_id": attempt}
-            bronze, rejects = self.lake.written("bronze", source_date="*", **place), self.lake.written("rejects", **place)
             row = {
-                "pipeline": self.lake.pipeline, "stream_epoch": self.epoch, "batch_id": batch_id, "attempt_id": attempt, "spark_app_id": self.lake.spark.sparkContext.applicationId, "started_at": started, "committed_at": dt.datetime.now(dt.timezone.utc),
-                "duration_ms": self._since(clock), "stage_ms": stages, "input_rows": profile.input_rows, "valid_rows": profile.valid_rows, "dlq_rows": profile.dlq_rows, "tombstones": profile.tombstones,
-                "duplicates": counts[DUPLICATE], "applied": counts[APPLIED], "superseded": counts[SUPERSEDED], "stale": counts[STALE], "late_rows": late, "commit_retries": retries,
-                "watermark_ms": next_watermark(before, newest, self.lateness_ms), "max_source_ts_ms": profile.max_source_ts_ms, "contracts": registry.fingerprint(),
-                "kafka_offsets": json.dumps({f"{r.kafka_topic}:{r.kafka_partition}": [r.a, r.z] for r in sorted(offsets)}), "freshness_p50_ms": fresh[0], "freshness_p95_ms": fresh[1], "freshness_max_ms": fresh[2],
-                "contract_versions": versions, "added_data_files": bronze[0] + rejects[0], "added_files_bytes": bronze[1] + rejects[1],
+                "pipeline": self.lake.pipeline, "stream_epoch": self.epoch, "batch_id": batch_id, "spark_app_id": self.lake.spark.sparkContext.applicationId, "started_at": started, "contracts": registry.fingerprint(),
+                "input_rows": profile.input_rows, "valid_rows": profile.valid_rows, "dlq_rows": profile.dlq_rows, "tombstones": profile.tombstones, "max_source_ts_ms": profile.max_source_ts_ms,
+                "kafka_offsets": json.dumps({f"{r.kafka_topic}:{r.kafka_partition}": [r.a, r.z] for r in sorted(offsets)}),
             }
-            logged = self.lake.spark.createDataFrame([tuple(row[f.name] for f in LOG_SCHEMA)], LOG_SCHEMA)
-            with_retry(lambda: self.lake.append("batches", logged))
+            letters = profile.dlq_rows or not decoded.where("replay_of is not null").isEmpty()
+            decode_ms = self._since(clock)
+            for conflicts in range(CONFLICTS):
+                try:
+                    row = self._attempt(decoded, row | {"stage_ms": {"decode": decode_ms}, "commit_retries": conflicts}, bool(letters), clock)
+                    break
+                except Conflict:
+                    if conflicts == CONFLICTS - 1:
+                        raise
             if self.publish:
-                publish_batches(logged, self.publish)
+                publish_batches(self.lake.spark.createDataFrame([tuple(row[f.name] for f in LOG_SCHEMA)], LOG_SCHEMA), self.publish)
         finally:
             decoded.unpersist()
 
@@ -97,24 +91,82 @@ class Pipeline:
     def _since(mark: float) -> int:
         return int((time.monotonic() - mark) * 1000)
 
-    def _write_bronze(self, decoded: DataFrame, profile, batch_id: int, attempt: str, watermark: int):
-        known = self.lake.bronze()
-        silver = self.lake.positions(self.epoch, batch_id)
+    def _attempt(self, decoded: DataFrame, row: dict, letters: bool, clock: float) -> dict:
+        """Plan the batch against the newest snapshot, write its files, and commit them."""
+        base, attempt, batch_id = self.lake.snapshot(), uuid.uuid4().hex, row["batch_id"]
+        before = self._watermark(batch_id, base)
+        row = row | {"attempt_id": attempt, "watermark_ms": before, "applied": 0, "superseded": 0, "stale": 0, "duplicates": 0, "late_rows": 0, "freshness_p50_ms": None, "freshness_p95_ms": None, "freshness_max_ms": None, "contract_versions": ""}
+        place = f"stream_epoch={self.epoch}/batch_id={batch_id}/attempt_id={attempt}"
+        files, state_files, buckets = [], [], []
+        if row["valid_rows"]:
+            mark = time.monotonic()
+            told, low, high, buckets = self._write_bronze(decoded, base, batch_id, attempt, before)
+            files += self.lake.written_files("bronze", f"bronze/source_date=*/{place}", (self.epoch, batch_id, attempt), low, high)
+            state_files = self.lake.written_files("state", f"state/attempt={attempt}/bucket=*", (self.epoch, batch_id, attempt))
+            row |= told
+            row["stage_ms"]["bronze"] = self._since(mark)
+        if letters:
+            mark = time.monotonic()
+            rows = dead_letter_events(decoded).withColumns({"stream_epoch": F.lit(self.epoch), "attempt_id": F.lit(attempt)})
+            self.lake.append("rejects", rows.select([F.col(f.name).cast(f.dataType) for f in REJECT_SCHEMA]), "stream_epoch", "batch_id", "attempt_id")
+            files += self.lake.written_files("rejects", f"rejects/{place}", (self.epoch, batch_id, attempt))
+            row["stage_ms"]["rejects"] = self._since(mark)
+        row |= {"committed_at": dt.datetime.now(dt.timezone.utc), "duration_ms": self._since(clock), "added_data_files": len(files), "added_files_bytes": sum(f.bytes for f in files)}
+        self.lake.commit_batch(base, row, files + state_files, buckets)
+        return row
+
+    def _write_bronze(self, decoded: DataFrame, base: Snapshot, batch_id: int, attempt: str, watermark: int) -> tuple[dict, int | None, int | None, list[int]]:
+        """Bronze and state files of the batch; columns of its log row, the range of its positions, the buckets written."""
+        lake, bucket = self.lake, key_bucket(self.lake.buckets)
         valid = decoded.where("status = 'valid'")
-        planned = plan_batch(valid, known, silver, watermark, batch_id, self.epoch, profile.min_source_ts_ms, profile.max_source_ts_ms).persist(StorageLevel.MEMORY_AND_DISK)
+        touched = {r[0] for r in valid.select(bucket).distinct().collect()}  # a row a bucket
+        silver = lake.positions(self.epoch, batch_id, base, touched)
+        behind = valid.join(silver, list(KEY)).where(F.col("source_lsn") <= F.col("_source_lsn"))
+        known = lake.bronze(base, lake.files_of_positions(behind, base)).select("event_id", "batch_id", "stream_epoch")
+        planned = plan_batch(valid, known, silver, watermark, batch_id, self.epoch).persist(StorageLevel.MEMORY_AND_DISK)
         try:
+            now = F.lit(dt.datetime.now(dt.timezone.utc))
             rows = planned.where(F.col("apply_outcome") != DUPLICATE).withColumns({
-                "source_ts": F.timestamp_millis("source_ts_ms"), "debezium_ts": F.timestamp_millis("debezium_ts_ms"), "committed_at": F.current_timestamp(), "stream_epoch": F.lit(self.epoch),
+                "source_ts": F.timestamp_millis("source_ts_ms"), "debezium_ts": F.timestamp_millis("debezium_ts_ms"), "committed_at": now, "stream_epoch": F.lit(self.epoch),
                 "attempt_id": F.lit(attempt), "source_date": F.to_date(F.timestamp_millis("source_ts_ms")),
-            })
-            retries = with_retry(lambda: self.lake.append("bronze", rows.select([F.col(f.name).cast(f.dataType) for f in BRONZE_SCHEMA]), "source_date", "stream_epoch", "batch_id", "attempt_id"))
+            }).select([F.col(f.name).cast(f.dataType) for f in BRONZE_SCHEMA])
+            lake.append("bronze", rows, "source_date", "stream_epoch", "batch_id", "attempt_id")
+            buckets = self._write_state(rows.where(F.col("apply_outcome") == APPLIED), base, batch_id, attempt)
             fresh = F.col("apply_outcome") != DUPLICATE
-            age = F.when(fresh, F.unix_millis(F.current_timestamp()) - F.col("source_ts_ms"))
+            age = F.when(fresh, F.unix_millis(now) - F.col("source_ts_ms"))
             version = F.when(fresh, F.concat_ws("@", "contract_name", F.col("contract_version").cast("string")))
-            r = planned.agg(*[F.count_if(F.col("apply_outcome") == o).alias(o) for o in (APPLIED, SUPERSEDED, STALE, DUPLICATE)], F.count_if(F.coalesce("is_late", F.lit(False))).alias("late"), F.max(F.when(fresh, F.col("source_ts_ms"))).alias("newest"), F.percentile_approx(age, [0.5, 0.95]).alias("age"), F.max(age).alias("oldest"), F.array_join(F.array_sort(F.collect_set(version)), ",").alias("versions")).first()
+            lsn = F.when(fresh, F.col("source_lsn"))
+            r = planned.agg(*[F.count_if(F.col("apply_outcome") == o).alias(o) for o in (APPLIED, SUPERSEDED, STALE, DUPLICATE)], F.count_if(F.coalesce("is_late", F.lit(False))).alias("late"), F.max(F.when(fresh, F.col("source_ts_ms"))).alias("newest"), F.percentile_approx(age, [0.5, 0.95]).alias("age"), F.max(age).alias("oldest"), F.array_join(F.array_sort(F.collect_set(version)), ",").alias("versions"), F.min(lsn).alias("low"), F.max(lsn).alias("high")).first()
         finally:
             planned.unpersist()
-        return {o: r[o] for o in (APPLIED, SUPERSEDED, STALE, DUPLICATE)}, r.late, r.newest, (*(r.age or (None, None)), r.oldest), r.versions, retries
+        middle, slow = r.age or (None, None)
+        told = {"applied": r[APPLIED], "superseded": r[SUPERSEDED], "stale": r[STALE], "duplicates": r[DUPLICATE], "late_rows": r.late, "watermark_ms": next_watermark(watermark, r.newest, self.lateness_ms), "freshness_p50_ms": middle, "freshness_p95_ms": slow, "freshness_max_ms": r.oldest, "contract_versions": r.versions}
+        return told, r.low, r.high, buckets
+
+    def _write_state(self, applied: DataFrame, base: Snapshot, batch_id: int, attempt: str) -> list[int]:
+        """Write the touched buckets of the kept state anew; the others' files stay.  A batch that ran before and does now what
+        it did then has nothing to write; where it does something else, its keys' rows are folded again without it."""
+        lake, bucket = self.lake, key_bucket(self.lake.buckets)
+        affected = None
+        if earlier := lake.earlier_attempts(base, self.epoch, batch_id):
+            mine = (F.col("stream_epoch") == self.epoch) & (F.col("batch_id") == batch_id)
+            raw = [f for f in base.table("bronze") if f.attempt in earlier]
+            old = lake.bronze(base, raw or None).where(mine & (F.col("apply_outcome") == APPLIED))
+            effect = lambda rows: fingerprint(rows, *[F.col(c) for c in ("event_id", "before_json", "after_json", "previous_lsn")]).first()
+            if effect(old) == effect(applied):
+                return []
+            affected = old.select(*KEY).union(applied.select(*KEY)).distinct()
+        changed = applied.select(*KEY) if affected is None else affected
+        buckets = sorted(r[0] for r in changed.select(bucket).distinct().collect())  # a row a bucket
+        if not buckets:
+            return []
+        kept = lake.state(base, set(buckets))
+        if affected is not None:
+            history = lake.bronze(base).where(~mine).join(affected, list(KEY), "left_semi")
+            kept = kept.join(affected, list(KEY), "left_anti").unionByName(state_rows(history))
+        rows = merge_state(kept, applied).select([F.col(f.name).cast(f.dataType) for f in STATE_SCHEMA])
+        rows.withColumn("bucket", bucket).repartition(len(buckets), "bucket").write.partitionBy("bucket").parquet(f"{lake.root}/state/attempt={attempt}")
+        return buckets
 
     def start(self, feed: DataFrame, checkpoint: str, every: str | None = "5 seconds"):
         """Run on a streaming feed; ``every=None`` takes what is there and stops."""
@@ -133,19 +185,6 @@ def new_epoch(lake: Lake, checkpoint: str) -> str:
     return epoch
 
 
-def with_retry(write, attempts: int = 5, pause: float = 0.2, conflict=("ConcurrentModification", "CommitFailed")):
-    """Call an idempotent write again after a conflict, with growing pauses; other errors pass.  Returns the retries."""
-    for k in range(attempts):
-        try:
-            write()
-            return k
-        except Exception as e:  # noqa: BLE001
-            if k == attempts - 1 or not any(c in f"{type(e).__name__}: {e}" for c in conflict):
-                raise
-            time.sleep(pause * 2**k)
-    return attempts
-
-
 def live_tap(feed: DataFrame) -> DataFrame:
     """Identifiers of any record, valid or not; works on a stream as on a table."""
     env = F.try_parse_json(F.col("value").cast("string"))
