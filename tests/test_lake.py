@@ -152,6 +152,14 @@ def test_faulty_contract_files_are_refused(change, what):
         contract_files.parse(json.dumps(contract_file() | change))
 
 
+def test_all_faults_of_a_contract_file_are_named():
+    doc = contract_file(status="odd", extra=1) | {"surprise": 1, "properties": {"order_id": {"type": "string", "x-pii": "secret", "minLength": 3, "maxLength": 2}, "amount": {"type": "string", "unit": "EUR"}}}
+    got = contract_files.faults(doc)
+    assert got == ["unknown top-level keywords", "unknown extension keys", "unknown status", "field order_id: bad lengths", "field order_id: unknown level of personal data", "field amount: unknown keywords"]
+    with pytest.raises(contract_files.ContractError, match="surprise|top-level.*; .*status"):
+        contract_files.parse(json.dumps(doc))
+
+
 def test_a_broken_contract_file_keeps_the_set_before(frame, lake, spark, tmp_path):
     folder = tmp_path / "contracts"
     folder.mkdir()
@@ -243,3 +251,59 @@ def test_a_cluster_has_to_name_the_shared_folder():
     cluster = Fake(conf=none, sparkContext=Fake(getConf=lambda: none, master="spark://host:7077"))
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         staging.shared_dir(cluster)
+
+
+# ---- digests, sketches, progress ------------------------------------------------------------------------------------
+
+
+def test_digests_find_what_the_full_join_finds(spark):
+    base = spark.range(0, 4000, 1, 4).select(F.col("id").cast("string").alias("id"), F.when(F.col("id") % 7 != 0, F.col("id") * 3).alias("a"), F.when(F.col("id") % 5 != 0, F.lit("x")).alias("b"))
+    other = base.where("id <> '11'").withColumn("a", F.when(F.col("id") == "700", F.lit(None)).otherwise(F.col("a"))).withColumn("b", F.when(F.col("id") == "9", F.lit(None)).otherwise(F.col("b"))).unionByName(spark.range(1).select(F.lit("new").alias("id"), F.lit(1).cast("long").alias("a"), F.lit("y").alias("b")))
+    other = other.withColumn("a", F.when(F.col("id") == "13", F.col("a") + 1).otherwise(F.col("a")))
+    full = sorted(map(tuple, quality.differences(base, other, ["id"], ["a", "b"]).collect()))
+    assert full == [("11", "extra"), ("13", "different"), ("9", "different"), ("new", "missing")]
+    for buckets in (1, 64, 65_536):
+        assert sorted(map(tuple, quality.differences_by_digest(base, other, ["id"], ["a", "b"], buckets).collect())) == full
+    suspect = quality.unequal_buckets(base, other, ["id"], ["a", "b"], 1000)
+    assert suspect.count() == 4
+    bucket = F.pmod(F.xxhash64("id"), F.lit(1000)).alias("bucket")
+    assert base.select("*", bucket).join(suspect, "bucket", "left_semi").count() < 40  # rows joined, of 4,000
+    assert quality.differences_by_digest(base, base, ["id"], ["a", "b"]).count() == 0 and quality.unequal_buckets(base, base.where("false"), ["id"], ["a"], 8).count() == 8
+    # a null moves between columns: another row
+    swapped = [spark.createDataFrame([("k", None, "v")], "id string, a string, b string"), spark.createDataFrame([("k", "v", None)], "id string, a string, b string")]
+    assert quality.differences_by_digest(*swapped, ["id"], ["a", "b"]).first().difference == "different"
+
+
+def test_logged_freshness_is_within_the_sketch_bound(spark):
+    rng = np.random.default_rng(4)
+    ages = [(b, int(v)) for b in range(12) for v in rng.lognormal(8, 1.5, int(rng.integers(1, 3000)))]
+    log = spark.createDataFrame(ages, "batch_id long, age long").groupBy("batch_id").agg(batchlog.freshness_sketch(F.col("age")).alias("freshness_sketch"), F.max("age").alias("freshness_max_ms"))
+    assert log.agg(F.max(F.length("freshness_sketch"))).first()[0] < 20_000
+    log = log.unionByName(spark.createDataFrame([(99, None, None)], "batch_id long, freshness_sketch string, freshness_max_ms long"))
+    for row in batchlog.logged_freshness(log, F.floor(F.col("batch_id") / 4).alias("window")).collect():
+        mine = np.sort([v for b, v in ages if b // 4 == row.window]) / 1000
+        assert (row.events, row.longest) == (len(mine), mine[-1])
+        for q, got in ((0.5, row.p50), (0.95, row.p95)):
+            assert abs(np.searchsorted(mine, got) / len(mine) - q) < 0.02
+    assert batchlog.logged_freshness(log).first().events == len(ages)
+
+
+def test_progress_is_kept_as_a_table(frame, lake, spark, tmp_path):
+    source = tmp_path / "feed"
+    for k in range(2):
+        frame([record(order(k, 5 + k), k)]).coalesce(1).write.mode("append").parquet(str(source))
+    listener = stream.ProgressListener()
+    history = stream.ProgressHistory(lake, listener, every_seconds=0.2)
+    spark.streams.addListener(listener)
+    try:
+        seen = []
+        query = feed.read_changes(spark, str(source)).writeStream.foreachBatch(lambda df, b: seen.append(df.count())).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+        query.awaitTermination(60)
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(20_000)
+    finally:
+        spark.streams.removeListener(listener)
+        history.close()
+    rows = history.table().where(F.col("query_id") == str(query.id)).collect()
+    assert {r.event for r in rows} >= {"started", "progress"} and sum(r.input_rows or 0 for r in rows) == sum(seen) == 2
+    assert {r.batch_id for r in rows if r.event == "progress" and r.input_rows} == {0, 1} and all(r.duration_ms >= 0 for r in rows if r.event == "progress")
+    assert listener.table(spark).count() == 1 and history.flush() == 0

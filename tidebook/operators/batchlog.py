@@ -61,6 +61,23 @@ def freshness(rows: DataFrame, committed: Column, source: Column, *by: str, exac
     return _beside(percentiles(rows, seconds, {"p50": 0.5, "p95": 0.95}, *by, exact=exact), rest, by).select(*by, "p50", "p95", "longest", "events")
 
 
+SKETCH_SIZE = 400  # a quantile's rank is within about one percent
+
+
+def freshness_sketch(milliseconds: Column) -> Column:
+    """A mergeable quantile sketch of a batch's ages, as text; a few kilobytes however many events it has seen."""
+    return F.base64(F.kll_sketch_agg_bigint(milliseconds, F.lit(SKETCH_SIZE)))
+
+
+def logged_freshness(log: DataFrame, *by: Column) -> DataFrame:
+    """p50 and p95 of seconds from source to commit and the number of events, by groups of batches, from the sketches in the
+    batch log: neither bronze nor any event is read.  ``freshness`` has the exact values."""
+    merged = log.where("freshness_sketch is not null").groupBy(*by).agg(F.kll_merge_agg_bigint(F.unbase64("freshness_sketch")).alias("k"), F.max("freshness_max_ms").alias("top"))
+    at = lambda q: (F.kll_sketch_get_quantile_bigint("k", F.lit(q)) / 1000).alias(f"p{round(100 * q)}")
+    names = [c for c in merged.columns if c not in ("k", "top")]
+    return merged.select(*names, at(0.5), at(0.95), (F.col("top") / 1000).alias("longest"), F.kll_sketch_get_n_bigint("k").alias("events"))
+
+
 def statistics(rows: DataFrame, value: Column, *by: str, exact: bool = False) -> DataFrame:
     """Percentiles (from a bounded sketch, or exact and linear between values), mean, sample deviation (0 for one value),
     minimum, maximum and count."""

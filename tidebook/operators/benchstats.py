@@ -42,17 +42,26 @@ def pooled_latency(samples: DataFrame, value: str = "latency_ms", *by: str, exac
     return statistics(samples, F.col(value).cast("double"), *by, exact=exact)
 
 
+def limit_table(spark, limits: dict[str, float]) -> DataFrame:
+    """threshold, metric, low, high: of limits named ``max_<metric>`` and ``min_<metric>``; other names are an error."""
+    rows = [(name, name[4:], float(v) if name.startswith("min_") else None, float(v) if name.startswith("max_") else None) for name, v in limits.items()]
+    odd = sorted(name for name, _, low, high in rows if low is None and high is None)
+    if odd:
+        raise ValueError(f"limits are max_ or min_ of a metric, not {odd}")
+    return spark.createDataFrame(rows, "threshold string, metric string, low double, high double")
+
+
 def evaluate_thresholds(metrics: DataFrame, limits: dict[str, float]) -> DataFrame:
-    """One row for each limit ``max_<metric>`` or ``min_<metric>``; a null value is not passed.  ``metrics``: one row."""
-    parts = []
-    for name, limit in limits.items():
-        side, _, metric = name.partition("_")
-        if side not in ("max", "min") or metric not in metrics.columns:
-            raise ValueError(f"unknown threshold: {name}")
-        v = F.col(metric).cast("double")
-        passed = F.coalesce(v <= limit if side == "max" else v >= limit, F.lit(False))
-        parts.append(F.struct(F.lit(name).alias("threshold"), F.lit(float(limit)).alias("limit"), v.alias("value"), passed.alias("passed")))
-    return metrics.select(F.explode(F.array(*parts)).alias("t")).select("t.*")
+    """One row for each limit and row of ``metrics``: the metrics as rows, joined with the table of limits; a value that is
+    null or outside its limit has not passed."""
+    table = limit_table(metrics.sparkSession, limits)
+    absent = sorted({name[4:] for name in limits} - set(metrics.columns))
+    if absent:
+        raise ValueError(f"no such metrics: {absent}")
+    wanted = sorted({name[4:] for name in limits})
+    measured = metrics.select([F.col(c).cast("double").alias(c) for c in wanted]).unpivot([], wanted, "metric", "value")
+    inside = F.col("value").between(F.coalesce("low", F.lit(float("-inf"))), F.coalesce("high", F.lit(float("inf"))))
+    return measured.join(F.broadcast(table), "metric").select("threshold", F.coalesce("high", "low").alias("limit"), "value", F.coalesce(inside, F.lit(False)).alias("passed"))
 
 
 def expected_vs_observed(expected: DataFrame, observed: DataFrame, rejects: DataFrame, key: str, by: str) -> DataFrame:

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidebook.functions import scalars
-from tidebook.operators import alerts, backfill, batchlog, benchstats, deadletter, lineage, quality, reads, state
+from tidebook.operators import alerts, backfill, batchlog, benchstats, deadletter, lineage, maintain, quality, reads, state
 from tidebook.operators.decode import REPLAY_OF, decoded_table, small_methods
 from tidebook.operators.planner import mark_repeats, plan_batch, plan_history, watermarks
 from tidebook.plans.contracts import SHOP, classify, contract_impact
-from tidebook.sources import feed
-from tidebook.sources.staging import staged
+from tidebook.sources import feed, staging
+from tidebook.sources.lake import BRONZE_SCHEMA, STATE_SCHEMA, Lake
+from tidebook.sources.staging import staged, unstage
 
 DATA = ["o_custkey", "o_orderstatus", "amount"]
 PII_KEY = b"a key of the deployment"
@@ -102,6 +105,40 @@ def w1_current_rows(spark, d):
     return rows.select("primary_key", *DATA, "is_deleted", "_source_lsn", "_prev_source_lsn", "_source_op")
 
 
+def w1_kept_state(spark, d):
+    """The current rows kept from batch to batch: each batch's applied events are merged into what was kept before."""
+    image = F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in DATA]))
+    rows = _committed(_planned(spark, d)).where("apply_outcome = 'applied'").withColumns({
+        "before_json": F.when(F.col("op") == "d", image), "after_json": F.when(F.col("op") != "d", image), "primary_key": F.col("primary_key").cast("string"), "contract_version": F.lit(1),
+    }).drop(*DATA)
+    rows = staged(rows, "applied")
+    kept = spark.createDataFrame([], STATE_SCHEMA)
+    for r in rows.select("batch_id").distinct().orderBy("batch_id").collect():  # a row a batch
+        before, kept = kept, staged(state.merge_state(kept, rows.where(F.col("batch_id") == r.batch_id)), "kept")
+        unstage(before)
+    fields = T.StructType([T.StructField(c, T.StringType()) for c in DATA])
+    data = F.from_json("image_json", fields)
+    return kept.select(F.col("primary_key").cast("long").alias("primary_key"), data["o_custkey"].cast("long").alias("o_custkey"), data["o_orderstatus"].alias("o_orderstatus"), data["amount"].cast("double").alias("amount"), "is_deleted", "_source_lsn", "_prev_source_lsn", "_source_op")
+
+
+def m1_compaction(spark, d):
+    """The planned history committed batch by batch to a lake, then packed by day: what each batch holds afterwards."""
+    rows = _committed(_planned(spark, d)).where("apply_outcome <> 'duplicate'").withColumns({"attempt_id": F.lit("a"), "source_date": F.to_date("source_ts")})
+    lake = Lake(spark, f"{staging.session_dir(spark)}/lake-{uuid.uuid4().hex}")
+    typed = [(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in BRONZE_SCHEMA]
+    lake.append("bronze", rows.select(typed).repartition("batch_id"), "source_date", "stream_epoch", "batch_id", "attempt_id")
+    ends = rows.groupBy("batch_id").agg(F.min("source_lsn").alias("low"), F.max("source_lsn").alias("high"), F.max("committed_at").alias("at")).orderBy("batch_id").collect()  # a row a batch
+    for r in ends:
+        key = ("e1", r.batch_id, "a")
+        files = lake.written_files("bronze", f"bronze/source_date=*/stream_epoch=e1/batch_id={r.batch_id}/attempt_id=a", key, r.low, r.high)
+        lake.commit_batch(lake.snapshot(), {"stream_epoch": "e1", "batch_id": r.batch_id, "attempt_id": "a", "spark_app_id": "", "contracts": "", "watermark_ms": 0, "started_at": r.at}, files)
+    if ends and not maintain.compact(lake)["fingerprint_match"]:
+        raise RuntimeError("the packed rows are not those that were read")
+    packed = lake.bronze()
+    digest = F.conv(F.substr(F.md5(F.concat_ws("|", "event_id", "primary_key", "source_lsn", "apply_outcome")), F.lit(1), F.lit(15)), 16, 10).cast("bigint")
+    return packed.groupBy("batch_id").agg(F.count("*").alias("row_count"), F.bit_xor(digest).alias("xor_digest"), F.min("source_lsn").alias("first_lsn"), F.max("source_lsn").alias("last_lsn"))
+
+
 def w4_bronze_append(spark, d):
     """Events that bronze doesn't have yet when batch 6 is written: an anti-join on the id."""
     events = _events(spark, d)
@@ -458,6 +495,12 @@ def q5_reconciliation(spark, d):
     return quality.differences(state.live(orders), source, ["order_id"], ["status", "amount", "customer_id"])
 
 
+def q5_digest_reconciliation(spark, d):
+    """The same differences, row for row only where the digests of a bucket of keys differ."""
+    orders, _, source, _ = _shop_tables(spark, d)
+    return quality.differences_by_digest(staged(state.live(orders), "kept_side"), staged(source, "source_side"), ["order_id"], ["status", "amount", "customer_id"])
+
+
 def q4_orphans(spark, d):
     orders, customers, _, _ = _shop_tables(spark, d)
     as_of = F.timestamp_millis(F.lit(feed.START_MS + 400_000_000))

@@ -220,6 +220,8 @@ def oracle_sql() -> dict[str, str]:
         "p8_watermarks": f"WITH {_PLAN} SELECT batch AS batch_id, wm AS watermark_ms FROM w WHERE batch IN (SELECT batch FROM d WHERE rn = 1)",
         "p10_history_plan": f"WITH {_PLAN} SELECT eid AS event_id, batch AS batch_id, off AS kafka_offset, outcome AS apply_outcome, coalesce(late, false) AS is_late FROM p",
         "w1_current_rows": f"WITH {_SILVER} SELECT pk AS primary_key, o_custkey, o_orderstatus, CAST(amount AS DOUBLE) AS amount, is_deleted, top AS _source_lsn, prev AS _prev_source_lsn, last_op AS _source_op FROM s",
+        "w1_kept_state": f"WITH {_SILVER} SELECT pk AS primary_key, o_custkey, o_orderstatus, CAST(amount AS DOUBLE) AS amount, is_deleted, top AS _source_lsn, prev AS _prev_source_lsn, last_op AS _source_op FROM s",
+        "m1_compaction": f"WITH {_PLAN}, g AS (SELECT batch, lsn, CAST(concat('0x', substr(md5(concat_ws('|', eid, pk, lsn, outcome)), 1, 15)) AS BIGINT) AS d FROM p WHERE outcome <> 'duplicate') SELECT batch AS batch_id, count(*) AS row_count, bit_xor(d) AS xor_digest, min(lsn) AS first_lsn, max(lsn) AS last_lsn FROM g GROUP BY batch",
         "w4_bronze_append": f"WITH {_FEED} SELECT DISTINCT eid AS event_id, pk AS primary_key, lsn AS source_lsn FROM f WHERE batch = 6 AND eid NOT IN (SELECT eid FROM f WHERE batch < 6)",
         "s7_as_of_batch": f"WITH {_PLAN}, {_fold(chr(40) + 'SELECT * FROM p WHERE outcome = ' + chr(39) + 'applied' + chr(39) + ' AND batch <= 4)')} SELECT pk AS primary_key, CAST(amount AS DOUBLE) AS amount, is_deleted, top AS _source_lsn FROM s",
         "f7_live_rows": f"WITH {_SILVER} SELECT o_orderstatus, count(*) AS live_rows, max(top) AS newest_lsn FROM s WHERE NOT is_deleted GROUP BY 1",
@@ -280,6 +282,7 @@ def oracle_sql() -> dict[str, str]:
         "r17_newest_events": f"WITH {_COMMITTED} SELECT eid AS event_id, off AS kafka_offset, batch AS batch_id FROM k WHERE pk % 3 <> 0 ORDER BY commit_ms DESC, off DESC, part LIMIT 50",
         "q_checks": f"WITH {_CHECKS} SELECT * FROM q",
         "q5_reconciliation": f"WITH {_SHOP} SELECT order_id, CASE WHEN pk % 401 = 0 THEN 'extra' ELSE 'different' END AS difference FROM lo WHERE pk % 401 = 0 OR pk % 503 = 0",
+        "q5_digest_reconciliation": f"WITH {_SHOP} SELECT order_id, CASE WHEN pk % 401 = 0 THEN 'extra' ELSE 'different' END AS difference FROM lo WHERE pk % 401 = 0 OR pk % 503 = 0",
         "q4_orphans": f"WITH {_SHOP} SELECT * FROM orph",
         "q11_verdict": f"WITH {_CHECKS} SELECT count(*) FILTER (status = 'fail' AND severity = 'critical') > 0 AS failed, count(*) FILTER (status = 'pass') AS passed, count(*) FILTER (status = 'fail' AND severity = 'critical') AS critical_failures, coalesce(string_agg(check_id, ',' ORDER BY check_id) FILTER (status = 'fail' AND severity = 'warning'), '') AS warnings FROM q",
         "q10_latest_results": "SELECT event_type AS check_id, CAST(event_id AS VARCHAR) AS run_id, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, CAST(event_id AS VARCHAR) DESC) AS k FROM events) WHERE k = 1",

@@ -39,7 +39,7 @@ _DECODED = "contract_name string, contract_version int, source_table string, pri
 _KAFKA = "kafka_topic string, kafka_partition int, kafka_offset long, kafka_ts timestamp"
 BRONZE_SCHEMA = schema(f"{_KAFKA}, {_DECODED}, is_late boolean, apply_outcome string, previous_lsn long, injection_id string, replay_of string, committed_at timestamp, source_date date, stream_epoch string, batch_id long, attempt_id string")
 REJECT_SCHEMA = schema(f"{_KAFKA}, source_topic string, contract_name string, status string, error_code string, error_detail string, violations array<string>, raw_key string, raw_value string, injection_id string, replay_of string, dlq_id string, is_replay boolean, replay_position string, outcome string, stream_epoch string, batch_id long, attempt_id string")
-LOG_SCHEMA = schema("pipeline string, stream_epoch string, batch_id long, attempt_id string, spark_app_id string, started_at timestamp, committed_at timestamp, duration_ms long, stage_ms map<string;long>, input_rows long, valid_rows long, dlq_rows long, tombstones long, duplicates long, applied long, superseded long, stale long, late_rows long, commit_retries long, kafka_offsets string, watermark_ms long, max_source_ts_ms long, freshness_p50_ms long, freshness_p95_ms long, freshness_max_ms long, contract_versions string, contracts string, added_data_files long, added_files_bytes long")
+LOG_SCHEMA = schema("pipeline string, stream_epoch string, batch_id long, attempt_id string, spark_app_id string, started_at timestamp, committed_at timestamp, duration_ms long, stage_ms map<string;long>, input_rows long, valid_rows long, dlq_rows long, tombstones long, duplicates long, applied long, superseded long, stale long, late_rows long, commit_retries long, kafka_offsets string, watermark_ms long, max_source_ts_ms long, freshness_p50_ms long, freshness_p95_ms long, freshness_max_ms long, contract_versions string, contracts string, freshness_sketch string, added_data_files long, added_files_bytes long")
 STATE_SCHEMA = schema("source_table string, primary_key string, image_json string, is_row boolean, is_deleted boolean, deleted_at timestamp, _source_lsn long, _prev_source_lsn long, _source_ts timestamp, _source_op string, _event_id string, _contract_version int, _batch_id long, _stream_epoch string, _ingested_at timestamp")
 HISTORY_SCHEMA = T.StructType([*schema("version long, at timestamp, kind string, app string, added_files long, removed_files long"), *LOG_SCHEMA])
 

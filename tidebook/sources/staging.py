@@ -29,12 +29,17 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def session_dir(spark: SparkSession) -> str:
+    """The folder of the application's own tables; it goes when the process ends."""
+    folder = f"{shared_dir(spark)}/tidebook-{spark.sparkContext.applicationId}"
+    _FOLDERS.add(folder)
+    return folder
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet and read again."""
     spark = df.sparkSession
-    folder = f"{shared_dir(spark)}/tidebook-{spark.sparkContext.applicationId}"
-    _FOLDERS.add(folder)
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    path = f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path

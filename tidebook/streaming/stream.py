@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import queue
+import threading
 import time
 import uuid
 
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
 from tidebook.functions.scalars import text_or_base64
-from tidebook.operators.batchlog import batch_profile, fingerprint
+from tidebook.operators.batchlog import batch_profile, fingerprint, freshness_sketch
 from tidebook.operators.deadletter import dead_letter_events
 from tidebook.operators.decode import decode, small_methods
 from tidebook.operators.planner import APPLIED, DUPLICATE, LATENESS_MS, STALE, SUPERSEDED, next_watermark, plan_batch
@@ -95,7 +97,7 @@ class Pipeline:
         """Plan the batch against the newest snapshot, write its files, and commit them."""
         base, attempt, batch_id = self.lake.snapshot(), uuid.uuid4().hex, row["batch_id"]
         before = self._watermark(batch_id, base)
-        row = row | {"attempt_id": attempt, "watermark_ms": before, "applied": 0, "superseded": 0, "stale": 0, "duplicates": 0, "late_rows": 0, "freshness_p50_ms": None, "freshness_p95_ms": None, "freshness_max_ms": None, "contract_versions": ""}
+        row = row | {"attempt_id": attempt, "watermark_ms": before, "applied": 0, "superseded": 0, "stale": 0, "duplicates": 0, "late_rows": 0, "freshness_p50_ms": None, "freshness_p95_ms": None, "freshness_max_ms": None, "freshness_sketch": None, "contract_versions": ""}
         place = f"stream_epoch={self.epoch}/batch_id={batch_id}/attempt_id={attempt}"
         files, state_files, buckets = [], [], []
         if row["valid_rows"]:
@@ -136,11 +138,11 @@ class Pipeline:
             age = F.when(fresh, F.unix_millis(now) - F.col("source_ts_ms"))
             version = F.when(fresh, F.concat_ws("@", "contract_name", F.col("contract_version").cast("string")))
             lsn = F.when(fresh, F.col("source_lsn"))
-            r = planned.agg(*[F.count_if(F.col("apply_outcome") == o).alias(o) for o in (APPLIED, SUPERSEDED, STALE, DUPLICATE)], F.count_if(F.coalesce("is_late", F.lit(False))).alias("late"), F.max(F.when(fresh, F.col("source_ts_ms"))).alias("newest"), F.percentile_approx(age, [0.5, 0.95]).alias("age"), F.max(age).alias("oldest"), F.array_join(F.array_sort(F.collect_set(version)), ",").alias("versions"), F.min(lsn).alias("low"), F.max(lsn).alias("high")).first()
+            r = planned.agg(*[F.count_if(F.col("apply_outcome") == o).alias(o) for o in (APPLIED, SUPERSEDED, STALE, DUPLICATE)], F.count_if(F.coalesce("is_late", F.lit(False))).alias("late"), F.max(F.when(fresh, F.col("source_ts_ms"))).alias("newest"), F.percentile_approx(age, [0.5, 0.95]).alias("age"), F.max(age).alias("oldest"), F.array_join(F.array_sort(F.collect_set(version)), ",").alias("versions"), F.min(lsn).alias("low"), F.max(lsn).alias("high"), freshness_sketch(age).alias("sketch")).first()
         finally:
             planned.unpersist()
         middle, slow = r.age or (None, None)
-        told = {"applied": r[APPLIED], "superseded": r[SUPERSEDED], "stale": r[STALE], "duplicates": r[DUPLICATE], "late_rows": r.late, "watermark_ms": next_watermark(watermark, r.newest, self.lateness_ms), "freshness_p50_ms": middle, "freshness_p95_ms": slow, "freshness_max_ms": r.oldest, "contract_versions": r.versions}
+        told = {"applied": r[APPLIED], "superseded": r[SUPERSEDED], "stale": r[STALE], "duplicates": r[DUPLICATE], "late_rows": r.late, "watermark_ms": next_watermark(watermark, r.newest, self.lateness_ms), "freshness_p50_ms": middle, "freshness_p95_ms": slow, "freshness_max_ms": r.oldest, "freshness_sketch": r.sketch, "contract_versions": r.versions}
         return told, r.low, r.high, buckets
 
     def _write_state(self, applied: DataFrame, base: Snapshot, batch_id: int, attempt: str) -> list[int]:
@@ -223,26 +225,77 @@ def checkpoint_offsets(rows: DataFrame) -> DataFrame:
     return topics.select("kafka_topic", F.explode("ends").alias("partition", "end_offset")).select("kafka_topic", F.col("partition").cast("int").alias("kafka_partition"), "end_offset")
 
 
+PROGRESS_SCHEMA = "query_id string, run_id string, event string, at timestamp, batch_id long, input_rows long, input_rows_per_second double, processed_rows_per_second double, duration_ms long"
+
+
 class ProgressListener(StreamingQueryListener):
-    """Keeps the last rates of each query."""
+    """Keeps the last rates of each query, and hands every event to a queue that ``ProgressHistory`` writes from.
+
+    A callback only looks at its event: writing there would hold up Spark's listener bus."""
 
     def __init__(self):
         self.rates: dict[str, dict] = {}
+        self.events: queue.SimpleQueue = queue.SimpleQueue()
+
+    def _tell(self, event, kind: str, p: dict) -> None:
+        stamp = dt.datetime.now(dt.timezone.utc)
+        took = (p.get("durationMs") or {}).get("triggerExecution")
+        self.events.put((str(event.id if not p else p["id"]), str(event.runId if not p else p["runId"]), kind, stamp, p.get("batchId"), p.get("numInputRows"), p.get("inputRowsPerSecond"), p.get("processedRowsPerSecond"), took))
 
     def onQueryStarted(self, event):  # noqa: N802 - Spark's names
         self.rates[str(event.id)] = {"active": True}
+        self._tell(event, "started", {})
 
     def onQueryProgress(self, event):  # noqa: N802
         p = json.loads(event.progress.json)
         self.rates[str(event.progress.id)] = {"active": True, "input_rows_per_second": p.get("inputRowsPerSecond"), "processed_rows_per_second": p.get("processedRowsPerSecond"), "batch_id": p.get("batchId")}
+        self._tell(event, "progress", p)
 
     def onQueryIdle(self, event):  # noqa: N802
         pass
 
     def onQueryTerminated(self, event):  # noqa: N802
         self.rates.setdefault(str(event.id), {})["active"] = False
+        self._tell(event, "terminated", {})
 
     def table(self, spark: SparkSession) -> DataFrame:
         """query_id, active, input_rows_per_second, processed_rows_per_second, batch_id: a row a query."""
         names = ("active", "input_rows_per_second", "processed_rows_per_second", "batch_id")
         return spark.createDataFrame([(k, *(v.get(n) for n in names)) for k, v in sorted(self.rates.items())], "query_id string, active boolean, input_rows_per_second double, processed_rows_per_second double, batch_id long")
+
+
+class ProgressHistory:
+    """Appends what a listener heard to the table ``progress`` of a lake, every few seconds and once more at the end, from a
+    thread of its own; a failed write is tried again with the next events."""
+
+    def __init__(self, lake: Lake, listener: ProgressListener, every_seconds: float = 30.0):
+        self.lake, self.listener, self.every = lake, listener, every_seconds
+        self.waiting: list[tuple] = []
+        self.ended = threading.Event()
+        self.writer = threading.Thread(target=self._run, daemon=True)
+        self.writer.start()
+
+    def flush(self) -> int:
+        """Write the events that came; how many."""
+        while not self.listener.events.empty():
+            self.waiting.append(self.listener.events.get())
+        rows = list(self.waiting)
+        if rows:
+            self.lake.append("progress", self.lake.spark.createDataFrame(rows, PROGRESS_SCHEMA).coalesce(1))
+            del self.waiting[: len(rows)]
+        return len(rows)
+
+    def _run(self) -> None:
+        while not self.ended.wait(self.every):
+            try:
+                self.flush()
+            except Exception:  # noqa: BLE001 - the events stay, and are written with the next ones
+                pass
+
+    def close(self) -> None:
+        self.ended.set()
+        self.writer.join()
+        self.flush()
+
+    def table(self) -> DataFrame:
+        return self.lake.spark.read.schema(PROGRESS_SCHEMA).parquet(f"{self.lake.root}/progress")
