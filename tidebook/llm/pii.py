@@ -2,9 +2,10 @@
 
 Every proposed span has a score: where it starts depends on its kind and on what its checksum says; words in the
 ``BEFORE`` characters before it and the ``AFTER`` behind it raise it (they name the kind) or lower it (they name something
-else that looks alike: an order, a part, an example), each word once, ``MOST`` words each way.  The four base kinds (email,
-ip, card, phone) are kept whenever their own test passes, with their score.  The kinds that the method adds prove little by
-their pattern and are kept from ``THRESHOLD`` on:
+else that looks alike: an order, a part, an example), each word once, ``MOST`` words each way.  A span is ``confirmed`` from
+``THRESHOLD`` on.  The four base kinds (email, ip, card, phone) are listed whenever their own test passes, confirmed or not:
+``version 1.2.3.4`` is an ip by its form and not by its score.  The kinds that the method adds prove little by their pattern
+and are listed only where they are confirmed:
 
 * ``iban``: mod-97 holds, so only words against it drop it;
 * ``ssn``, ``local_phone`` (without a country code), ``masked_card`` (all but the last four digits hidden): a word must name them;
@@ -160,16 +161,16 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def scan_pii(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each document with its spans: kind, start, end and score."""
-    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
+    """One row for each document with its spans: kind, start, end, score and whether the score confirms it."""
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("confirmed", pa.bool_())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 500):
                 part = batch.slice(low, 500)
-                spans = [[{"kind": k, "start": s, "end": e, "score": x} for k, s, e, x in scored_spans(t)] if t else [] for t in part.column(1).to_pylist()]
+                spans = [[{"kind": k, "start": s, "end": e, "score": x, "confirmed": x >= THRESHOLD} for k, s, e, x in scored_spans(t)] if t else [] for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(spans, kind)], ["doc_id", "spans"])
 
     rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     ids = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(scan, f"doc_id {ids}, spans array<struct<kind:string,start:long,end:long,score:double>>")
+    return rows.mapInArrow(scan, f"doc_id {ids}, spans array<struct<kind:string,start:long,end:long,score:double,confirmed:boolean>>")

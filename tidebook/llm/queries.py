@@ -50,7 +50,9 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.scan_pii(table(spark, sf_dir, "documents"))
     s = F.col("spans")
     least = F.array_min(F.transform(s, lambda x: x["score"])).alias("least_score")
-    return found.select("doc_id", *[_count(s, k).alias(f"n_{k}") for k in pii.BASE_KINDS], _base(s, pii.BASE_KINDS).alias("base_sha256"), _span_text(s).alias("spans"), least)
+    sure = F.filter(s, lambda x: x["confirmed"])
+    more = (F.size(sure).cast("long").alias("n_confirmed"), F.array_join(F.transform(s, lambda x: F.format_string("%.2f", x["score"])), ",").alias("scores"), _span_text(sure).alias("confirmed_spans"))
+    return found.select("doc_id", *[_count(s, k).alias(f"n_{k}") for k in pii.BASE_KINDS], _base(s, pii.BASE_KINDS).alias("base_sha256"), _span_text(s).alias("spans"), least, *more)
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
