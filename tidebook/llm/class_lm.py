@@ -8,7 +8,8 @@ P(word | word before) = P(class | history class of the word before) * P(word | c
 * every word of at least ``FLOOR`` occurrences is then an item of its own, whatever the size of the vocabulary: a word's
   counts after each history class are a row of a table, and in rounds of exchange each task moves its words to the class
   that most raises the likelihood, against the small table of history by class, which is summed anew after each round.
-  Words below the floor move as one item for each group.  The classes found become the history classes of the ``HOT``
+  As all words of a round move at once, a round may lower the likelihood: it is undone then, and the rounds end; they also
+  end where one gains less than ``LEAST_GAIN`` a token.  Words below the floor move as one item for each group.  The classes found become the history classes of the ``HOT``
   words, contexts are counted again, and the rounds repeated.
 
 A word of no class of its own, seen or not, has its group's class, so every word has one.  Emission: the words never seen
@@ -35,7 +36,8 @@ from tidebook.llm.shared import staged, unstage
 
 HOT, FREQUENT, GROUPS, CLASSES = 1 << 16, 1200, 256, 64
 FLOOR = 2  # occurrences of a word that is clustered by itself
-SWEEPS, ROUNDS = 3, 2
+SWEEPS = 3
+LEAST_GAIN = 0.01  # nats a token that a round has to gain for another one to follow
 TIES = 1 << 16  # parts of a run of words of equal count
 END = -1  # hash of the end token, as a signed long
 _FLUSH = 1 << 21
@@ -335,7 +337,13 @@ def table_of(words: DataFrame) -> np.ndarray:
     return out
 
 
-def exchange_words(words: DataFrame, group_cls: np.ndarray, rounds: int, name: str) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+def likelihood(table: np.ndarray) -> float:
+    """Log-likelihood of the classes, but for what no exchange changes."""
+    f = lambda x: np.where(x > 0, x * np.log(np.maximum(x, 1)), 0.0).sum()
+    return float(f(table) - f(table.sum(0)))
+
+
+def exchange_words(words: DataFrame, group_cls: np.ndarray, least_gain: float, name: str) -> tuple[DataFrame, np.ndarray, np.ndarray]:
     """Rounds of exchange over all words of at least ``FLOOR`` occurrences, and over the groups of the others: the words with
     their classes, the groups' classes and the last table.  ``words`` has the first classes."""
     spark = words.sparkSession
@@ -345,11 +353,11 @@ def exchange_words(words: DataFrame, group_cls: np.ndarray, rounds: int, name: s
     which, at = np.unique([r[0] for r in pooled], return_index=True)
     first, history, counts = np.append(at, len(pooled)).astype(np.int64), np.array([r[1] for r in pooled], np.int64), np.array([r[2] for r in pooled])
     which = which.astype(np.int64)
-    for k in range(rounds):
-        table = table_of(words)
-        group_cls = group_cls.copy()
-        group_cls[which] = choose(table, first, history, counts, group_cls[which])
-        shared = spark.sparkContext.broadcast((table, group_cls))
+    table = table_of(words)
+    while True:
+        new_groups = group_cls.copy()
+        new_groups[which] = choose(table, first, history, counts, group_cls[which])
+        shared = spark.sparkContext.broadcast((table, new_groups))
 
         def move(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             table, of_group = shared.value
@@ -363,13 +371,20 @@ def exchange_words(words: DataFrame, group_cls: np.ndarray, rounds: int, name: s
                     new = np.where((n < FLOOR) & (hash_ != END), of_group[grp], new)
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(new.astype(np.int32)), part.column(4), part.column(5)], part.schema.names)
 
-        old, rows = words, words.select("hash", "grp", "n", "cls", "history", "counts")
-        words = staged(rows.mapInArrow(move, rows.schema), f"{name}{k}")
-        unstage(old)
-    return words, group_cls, table_of(words)
+        rows = words.select("hash", "grp", "n", "cls", "history", "counts")
+        moved = staged(rows.mapInArrow(move, rows.schema), name)
+        new_table = table_of(moved)
+        gain = likelihood(new_table) - likelihood(table)
+        if gain <= 0:
+            unstage(moved)
+            return words, group_cls, table
+        unstage(words)
+        words, group_cls, table = moved, new_groups, new_table
+        if gain < least_gain * table.sum():
+            return words, group_cls, table
 
 
-def train(documents: DataFrame, text: str = "text", rounds: int = ROUNDS, passes: int = 2) -> tuple[Model, DataFrame]:
+def train(documents: DataFrame, text: str = "text", least_gain: float = LEAST_GAIN, passes: int = 2) -> tuple[Model, DataFrame]:
     """The model, and the table of all distinct words with their counts and classes.  ``passes``: how often contexts are
     counted, each time with the history classes of the pass before."""
     spark = documents.sparkSession
@@ -390,7 +405,7 @@ def train(documents: DataFrame, text: str = "text", rounds: int = ROUNDS, passes
             begin = counted.join(words.select("hash", "cls"), "hash")
         begin = staged(begin.select("hash", "grp", "n", F.col("cls").cast("int").alias("cls"), "history", "counts"), f"begin{k}")
         unstage(counted)
-        words, group_cls, table = exchange_words(begin, group_cls, rounds, f"exchange{k}-")
+        words, group_cls, table = exchange_words(begin, group_cls, least_gain, f"exchange{k}")
         wanted = spark.createDataFrame([(int(h),) for h, _, _ in hot], "hash long")  # HOT rows at most
         now = {r.hash: r.cls for r in words.select("hash", "cls").join(F.broadcast(wanted), "hash").collect()}
         hot_cls = np.array([now[h] for h, _, _ in hot], np.int64)
