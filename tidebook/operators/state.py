@@ -72,10 +72,16 @@ def merge_state(kept: DataFrame, applied: DataFrame) -> DataFrame:
     return both.select(*KEY, *[F.when(changed, value[c]).otherwise(o[c]).alias(c) for c in ("image_json", "is_row", *META)])
 
 
-def kept_rows(kept: DataFrame, registry: Registry, contract: str) -> DataFrame:
-    """The current-state table of one contract from the kept state; equal to ``current_rows`` of all bronze events."""
+def kept_rows(kept: DataFrame, registry: Registry, contract: str, stored: dict[str, str] | None = None) -> DataFrame:
+    """The current-state table of one contract from the kept state; equal to ``current_rows`` of all bronze events.
+
+    ``stored``: the contract's columns as the lake's snapshot has them (``columns``), which may be more than those of the
+    registry; rows written before a column came have null there."""
     mine = kept.where(F.col("source_table") == registry.current(contract).table)
-    return mine.select("primary_key", *typed(F.col("image_json"), registry.columns(contract)), *META)
+    if stored is None:
+        return mine.select("primary_key", *typed(F.col("image_json"), registry.columns(contract)), *META)
+    image = F.from_json("image_json", T.StructType([T.StructField(c, T.StringType()) for c in stored]))
+    return mine.select("primary_key", *[image[c].try_cast(kind).alias(c) for c, kind in stored.items()], *META)
 
 
 def current_rows(bronze: DataFrame, registry: Registry, contract: str) -> DataFrame:

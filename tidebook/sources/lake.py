@@ -96,7 +96,7 @@ class Lake:
             out.append(DataFile(table, path, f.getLen(), parts.get("source_date"), low, high, attempt, int(parts["bucket"]) if "bucket" in parts else None))
         return out
 
-    def commit_batch(self, base: Snapshot, row: dict, files: list[DataFile], state_buckets: list[int] = ()) -> Snapshot:
+    def commit_batch(self, base: Snapshot, row: dict, files: list[DataFile], state_buckets: list[int] = (), columns: dict | None = None) -> Snapshot:
         """Make a batch attempt visible: its files take the place of those of an earlier attempt, its state files of those of
         the same buckets.  Another batch that came meanwhile is a ``Conflict``, as this one was planned without it."""
         key = (row["stream_epoch"], row["batch_id"])
@@ -107,7 +107,7 @@ class Lake:
             before = self.earlier_attempts(now, *key)
             packed = sorted(a for a in before if a not in {f.attempt for f in old} | now.dead)
             state = [f.path for f in now.table("state") if f.bucket in touched]
-            return {"add": [vars(f) for f in files], "remove": [f.path for f in old] + state, "dead": packed, "batch": {k: v.timestamp() if isinstance(v, dt.datetime) else v for k, v in row.items()}}
+            return {"add": [vars(f) for f in files], "remove": [f.path for f in old] + state, "dead": packed, "columns": columns or {}, "batch": {k: v.timestamp() if isinstance(v, dt.datetime) else v for k, v in row.items()}}
 
         return self.commits.commit(base, "batch", lambda other, now: other["kind"] != "batch", make, row["spark_app_id"])
 

@@ -25,6 +25,7 @@ from tidebook.operators.decode import decode, small_methods
 from tidebook.operators.planner import APPLIED, DUPLICATE, LATENESS_MS, STALE, SUPERSEDED, next_watermark, plan_batch
 from tidebook.operators.state import KEY, merge_state, state_rows
 from tidebook.plans.contracts import Registry
+from tidebook.plans.evolution import evolve
 from tidebook.sources.commits import Conflict, Snapshot
 from tidebook.sources.lake import BRONZE_SCHEMA, LOG_SCHEMA, REJECT_SCHEMA, STATE_SCHEMA, Lake, key_bucket
 
@@ -46,9 +47,10 @@ class Pipeline:
     def _reload(self, batch_id: int, base: Snapshot) -> Registry:
         try:
             fresh = self.contracts()
+            evolve(base.columns, fresh)
             self.known.setdefault(fresh.fingerprint(), fresh)
             self.registry = fresh
-        except Exception:  # noqa: BLE001 - a broken contract file keeps the set before
+        except Exception:  # noqa: BLE001 - a broken contract file, or one that narrows stored columns, keeps the set before
             pass
         first = base.batches.get((self.epoch, batch_id))
         return self.known.get(first["contracts"], self.registry) if first else self.registry
@@ -94,7 +96,8 @@ class Pipeline:
         return int((time.monotonic() - mark) * 1000)
 
     def _attempt(self, decoded: DataFrame, row: dict, letters: bool, clock: float) -> dict:
-        """Plan the batch against the newest snapshot, write its files, and commit them."""
+        """Plan the batch against the newest snapshot, write its files, and commit them, with the columns that its contracts add."""
+        registry = self.known.get(row["contracts"], self.registry)
         base, attempt, batch_id = self.lake.snapshot(), uuid.uuid4().hex, row["batch_id"]
         before = self._watermark(batch_id, base)
         row = row | {"attempt_id": attempt, "watermark_ms": before, "applied": 0, "superseded": 0, "stale": 0, "duplicates": 0, "late_rows": 0, "freshness_p50_ms": None, "freshness_p95_ms": None, "freshness_max_ms": None, "freshness_sketch": None, "contract_versions": ""}
@@ -114,7 +117,8 @@ class Pipeline:
             files += self.lake.written_files("rejects", f"rejects/{place}", (self.epoch, batch_id, attempt))
             row["stage_ms"]["rejects"] = self._since(mark)
         row |= {"committed_at": dt.datetime.now(dt.timezone.utc), "duration_ms": self._since(clock), "added_data_files": len(files), "added_files_bytes": sum(f.bytes for f in files)}
-        self.lake.commit_batch(base, row, files + state_files, buckets)
+        columns = evolve(base.columns, registry)
+        self.lake.commit_batch(base, row, files + state_files, buckets, columns if columns != base.columns else None)
         return row
 
     def _write_bronze(self, decoded: DataFrame, base: Snapshot, batch_id: int, attempt: str, watermark: int) -> tuple[dict, int | None, int | None, list[int]]:
