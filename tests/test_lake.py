@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_core import KEY, envelope, image, record
 
-from tidebook.operators import alerts, batchlog, benchstats, lineage, maintain, percentiles, quality, state
+from tidebook.operators import alerts, batchlog, benchstats, deadletter, lineage, maintain, percentiles, quality, state
 from tidebook.plans.contracts import SHOP
 from tidebook.sources import contract_files, feed
 from tidebook.sources.lake import LOG_SCHEMA, Lake
@@ -206,6 +206,26 @@ def test_quality_history(spark, lake):
     history = quality.record(lake, good, "r2", at + F.expr("INTERVAL 1 DAY"))
     got = {(r.check_id, r.run_id, r.status, r.error is not None) for r in quality.latest_results(history).collect()}
     assert got == {("a", "r2", "pass", False), ("b", "r1", "error", True)} and history.count() == 3
+    recent = quality.check_history(lake, at + F.expr("INTERVAL 1 DAY"))
+    assert [r.run_id for r in recent.collect()] == ["r2"]
+    assert "run_date" in recent._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1][:60]
+
+
+def test_a_whole_quality_run(frame, lake, spark):
+    """Checks of a lake's own tables: all recorded, one that can't run is an error beside the others."""
+    pipe = stream.Pipeline(lake, lambda: SHOP, KEY)
+    pipe.process(frame([record(order(k, 5 + k), k) for k in range(3)] + [record(b"{broken", 9)]), 0)
+    orders = state.kept_rows(lake.state(), SHOP, "orders")
+    letters = deadletter.dead_letters(lake.rejects())
+    now = F.current_timestamp()
+    row = quality.run_and_record(lake, SHOP, {"orders": orders}, lake.bronze(), letters, {"orders": orders.where("order_id <> '" + uuid(1) + "'")}, "run-1", now).first()
+    history = {r.check_id: r for r in quality.check_history(lake).collect()}
+    assert row.failed and row.critical_failures == 1 and history["dlq.open_records"].value == 1 and history["bronze.event_id_unique"].status == "pass"
+    assert history["orders.source_reconciliation"].status == "fail" and {"orders.primary_key_unique", "orders.status_enum", "orders.freshness_p95"} <= set(history)
+    broken = orders.withColumn("status", F.raise_error(F.lit("boom")).cast("string"))
+    row = quality.run_and_record(lake, SHOP, {"orders": broken}, lake.bronze(), letters, {}, "run-2", now).first()
+    errors = [r for r in quality.check_history(lake).where("run_id = 'run-2' and status = 'error'").collect()]
+    assert row.failed and errors and all("boom" in r.error for r in errors) and row.passed > 0
 
 
 def test_long_chains_and_unknown_nodes(spark):
@@ -223,6 +243,16 @@ def test_run_documents(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps(doc))
     (tmp_path / "b.json").write_text(json.dumps(doc | {"run_id": "r2", "schema_version": 9}))
     assert [r.run_id for r in benchstats.read_runs(spark, str(tmp_path)).collect()] == ["r1"]
+    good, bad = benchstats.run_documents(spark, str(tmp_path)).orderBy("path").collect()
+    assert good.faults == [] and bad.faults == ["schema_version is 9"] and bad.path.endswith("b.json")
+    (tmp_path / "b.json").write_text('{"run_id": null, "schema_version": 1, "iterations": []}')
+    with pytest.raises(ValueError, match="b.json: run_id is missing, created_at is missing"):
+        benchstats.read_runs(spark, str(tmp_path), strict=True)
+    (tmp_path / "b.json").write_text("[1")
+    with pytest.raises(ValueError, match="no JSON object"):
+        benchstats.read_runs(spark, str(tmp_path), strict=True)
+    (tmp_path / "b.json").unlink()
+    assert benchstats.read_runs(spark, str(tmp_path), strict=True).count() == 1
     (tmp_path / "c").mkdir()
     (tmp_path / "c" / "c.json").write_text('{"run_id": "r3"}')
     assert benchstats.read_runs(spark, str(tmp_path / "c")).count() == 0

@@ -28,14 +28,6 @@ def select_rows(source: DataFrame, key: str | None = None, keys: list[str] | Non
     return rows if where is None else rows.where(where)
 
 
-def as_reads(changes: DataFrame) -> DataFrame:
-    """Rows of the derived feed as snapshot reads with their positions, in the planner's columns."""
-    return changes.select(
-        F.concat(F.lit("r-"), F.col("pk").cast("string")).alias("event_id"), F.lit("shop.orders").alias("source_table"), F.col("pk").alias("primary_key"), F.lit("r").alias("op"),
-        F.col("lsn").alias("source_lsn"), F.col("ts_ms").alias("source_ts_ms"), F.lit("cdc.backfill").alias("kafka_topic"), F.lit(0).cast("long").alias("kafka_partition"), F.col("pk").alias("kafka_offset"),
-    )
-
-
 def as_envelopes(rows: DataFrame, contract: Contract, lsn: Column, ts_ms: Column, topic: str) -> DataFrame:
     """Source rows of a contract's table as Kafka records of ``op = r``, ready for decoding."""
     schema, table = contract.table.split(".")

@@ -15,8 +15,25 @@ SCHEMA_VERSION = 1
 REQUIRED = ("schema_version", "run_id", "created_at", "iterations")
 
 
-def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    """Run documents with all required fields and a known version; others are left out."""
+def run_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Every run document below a path with what is wrong with it: path, text and ``faults`` (fields that are missing or
+    null, an unknown version, text that is no JSON object); good documents have none."""
+    docs = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    doc = F.try_parse_json("text")
+    get = lambda field, kind: F.try_variant_get(doc, f"$.{field}", kind)
+    lacks = [F.when(get(c, "string").isNull(), F.lit(f"{c} is missing")) for c in REQUIRED]
+    odd = F.when(get("schema_version", "string").isNotNull() & ~F.coalesce(get("schema_version", "int") == SCHEMA_VERSION, F.lit(False)), F.concat(F.lit("schema_version is "), get("schema_version", "string")))
+    found = F.when(doc.isNull() | ~F.schema_of_variant(doc).like("OBJECT%"), F.array(F.lit("no JSON object"))).otherwise(F.array_compact(F.array(*lacks, odd)))
+    return docs.withColumn("faults", found)
+
+
+def read_runs(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """Run documents with all required fields and a known version.  Others are left out, or, on request, an error that names
+    each file and its faulty fields."""
+    if strict:
+        bad = run_documents(spark, path).where(F.size("faults") > 0).select("path", F.array_join("faults", ", ").alias("faults")).orderBy("path").limit(20).collect()
+        if bad:
+            raise ValueError("; ".join(f"{r.path}: {r.faults}" for r in bad))
     rows = spark.read.option("multiLine", True).json(path)
     if any(c not in rows.columns for c in REQUIRED):
         return rows.where(F.lit(False))

@@ -141,12 +141,37 @@ def run_checks(checks: DataFrame, run_id: str, run_at: Column, runner: str = "ba
 
 
 def record(lake, checks: DataFrame, run_id: str, run_at: Column, runner: str = "batch") -> DataFrame:
-    """Append a run's checks to the lake's history and return the history; ``error`` comes with checks that have it."""
+    """Append a run's checks to the lake's history, a folder a day, and return the history; ``error`` comes with checks that
+    have it."""
     rows = run_checks(checks, run_id, run_at, runner)
     if "error" in checks.columns:
         rows = checks.select(*[F.lit(run_id).alias(c) if c == "run_id" else run_at.alias(c) if c == "run_at" else F.lit(runner).alias(c) if c == "runner" else F.col(c) for c in rows.columns])
-    lake.append("quality", rows)
-    return lake.spark.read.parquet(f"{lake.root}/quality")
+    lake.append("quality", rows.withColumn("run_date", F.to_date("run_at")).coalesce(1), "run_date")
+    return check_history(lake)
+
+
+def check_history(lake, since: Column | None = None) -> DataFrame:
+    """All recorded checks, or those of the days from a date on: other days' files aren't opened."""
+    rows = lake.spark.read.parquet(f"{lake.root}/quality")
+    return rows if since is None else rows.where(F.col("run_date") >= F.to_date(since))
+
+
+def run_and_record(lake, registry: Registry, tables: dict[str, DataFrame], bronze: DataFrame, letters: DataFrame, sources: dict[str, DataFrame], run_id: str, as_of: Column, runner: str = "batch") -> DataFrame:
+    """A whole run: every check of the contracts on its own, so that one that fails is an ``error`` row beside the others, all
+    recorded; returns the run's verdict."""
+    named = {}
+    for name in registry.names:
+        if name in tables:
+            for k, check in enumerate(contract_checks(registry, name, tables[name])):
+                named[f"{name}.contract_{k}"] = check
+            if name in sources:
+                named[f"{name}.source_reconciliation"] = reconciliation_check(registry, name, tables[name], sources[name], as_of)
+            named[f"{name}.freshness_p95"] = freshness_check(registry, name, bronze, as_of)
+    named |= {f"reference_{k}": check for k, check in enumerate(reference_checks(registry, tables, as_of))}
+    named["bronze.event_id_unique"] = _row(repeated_keys(bronze, "event_id"), "bronze.event_id_unique", "bronze", "uniqueness", "critical")
+    named["dlq.open_records"] = _row(count_where(letters, F.col("status") == "open"), "dlq.open_records", "dlq", "dead_letters", "warning")
+    history = record(lake, safe_checks(named), run_id, as_of, runner)
+    return verdict(history.where(F.col("run_id") == run_id))
 
 
 def safe_checks(named: dict[str, DataFrame]) -> DataFrame:

@@ -227,7 +227,7 @@ def oracle_sql() -> dict[str, str]:
         "f7_live_rows": f"WITH {_SILVER} SELECT o_orderstatus, count(*) AS live_rows, max(top) AS newest_lsn FROM s WHERE NOT is_deleted GROUP BY 1",
         "r12_revenue": f"WITH {_SILVER} SELECT {_CURRENCY} AS currency, o_orderstatus, count(*) AS order_count, CAST(sum(amount) AS DOUBLE) AS revenue FROM s WHERE NOT is_deleted GROUP BY 1, 2",
         "b2_repair_lost_rows": f"WITH {_SILVER} SELECT pk AS primary_key, o_custkey, o_orderstatus, CAST(amount AS DOUBLE) AS amount, is_deleted, top AS _source_lsn FROM s WHERE pk % 10 = 3",
-        "b3_rebuild_new_epoch": f"WITH {_FEED} SELECT 'duplicate' AS apply_outcome, count(*) AS events FROM f HAVING count(*) > 0",
+        "b3_rebuild_new_epoch": f"WITH {_FEED} SELECT CASE WHEN eid IN (SELECT eid FROM f) THEN 'duplicate' WHEN lsn <= (SELECT max(lsn) FROM f AS o WHERE o.pk = f.pk) THEN 'stale' ELSE 'applied' END AS apply_outcome, count(*) AS events FROM f GROUP BY 1",
         "b1_backfill": f"WITH {_PLAN} SELECT CASE WHEN lsn <= t THEN 'stale' ELSE 'applied' END AS apply_outcome, count(*) AS events, min(pk) AS first_key, max(pk) AS last_key FROM (SELECT DISTINCT f.pk, f.lsn, m.t FROM f JOIN (SELECT pk, max(lsn) AS t FROM p WHERE outcome <> 'duplicate' GROUP BY pk) m USING (pk) WHERE op = 'c' AND pk % 20 = 9) GROUP BY 1",
         "d_decode": f"""WITH {_DECODED} SELECT CASE WHEN pk % 67 = 0 THEN 'cdc.shop.unknown' ELSE 'cdc.shop.orders' END AS kafka_topic, CAST(part AS INTEGER) AS kafka_partition, off AS kafka_offset,
             CASE WHEN err IS NULL THEN 'valid' ELSE 'rejected' END AS status, err AS error_code, CASE WHEN err = 'CONTRACT_VIOLATION' THEN {_BROKEN} ELSE '' END AS violations,
@@ -235,15 +235,15 @@ def oracle_sql() -> dict[str, str]:
             CASE WHEN err IS NULL THEN ts_ms END AS source_ts_ms, CASE WHEN err IS NULL THEN 'false' END AS source_snapshot, CASE WHEN pk % 67 <> 0 THEN 'orders' END AS contract_name,
             CASE WHEN err IS NULL THEN CAST(CASE WHEN pk % 13 = 0 THEN 2 ELSE 1 END AS INTEGER) END AS contract_version, CASE WHEN err IS NULL THEN CASE WHEN pk % 59 = 0 THEN 'coupon' ELSE '' END END AS drift_fields FROM e""",
         "d18_row_images": f"WITH {_DECODED} SELECT CAST(part AS INTEGER) AS kafka_partition, off AS kafka_offset, CASE WHEN op = 'd' THEN {_IMAGE} END AS before_json, CASE WHEN op <> 'd' THEN {_IMAGE} END AS after_json FROM e WHERE err IS NULL",
-        "d21_event_ids": f"WITH {_DECODED} SELECT count(*) AS deliveries, count(DISTINCT eid) AS ids, count(DISTINCT eid) AS changes, CAST(64 AS INTEGER) AS id_length FROM e WHERE err IS NULL",
+        "d21_event_ids": f"WITH {_DECODED} SELECT count(*) AS deliveries, count(DISTINCT sha256(eid)) AS ids, count(DISTINCT (pk, lsn)) AS changes, CAST(min(length(sha256(eid))) AS INTEGER) AS id_length FROM e WHERE err IS NULL",
         "v13_contract_impact": f"""WITH {_IMAGES} SELECT 'orders' AS contract_name, CAST(CASE WHEN pk % 97 = 0 OR pk % 53 = 0 THEN NULL WHEN pk % 13 = 0 THEN 2 ELSE 1 END AS INTEGER) AS now_version,
-            CAST(CASE WHEN pk % 97 = 0 THEN NULL WHEN pk % 53 = 0 THEN 3 WHEN pk % 13 = 0 THEN 2 ELSE 1 END AS INTEGER) AS then_version, count(*) AS row_count, CAST(0 AS BIGINT) AS broken,
+            CAST(CASE WHEN pk % 97 = 0 THEN NULL WHEN pk % 53 = 0 THEN 3 WHEN pk % 13 = 0 THEN 2 ELSE 1 END AS INTEGER) AS then_version, count(*) AS row_count, count(*) FILTER (pk % 97 = 0 AND NOT (pk % 97 = 0 OR pk % 53 = 0)) AS broken,
             count(*) FILTER (pk % 53 = 0 AND pk % 97 <> 0) AS repaired FROM i GROUP BY 1, 2, 3""",
         "v10_classification": f"""WITH {_IMAGES} SELECT CAST(CASE WHEN pk % 97 = 0 OR pk % 53 = 0 THEN NULL WHEN pk % 13 = 0 THEN 2 ELSE 1 END AS INTEGER) AS version, {_BROKEN} AS violations,
             CASE WHEN pk % 59 = 0 THEN 'coupon' ELSE '' END AS drift_fields, count(*) AS images FROM i GROUP BY 1, 2, 3""",
         "r9_versions_seen": f"WITH {_DECODED} SELECT 'orders' AS contract_name, CAST(CASE WHEN pk % 13 = 0 THEN 2 ELSE 1 END AS INTEGER) AS contract_version, count(*) AS events, min(ts_ms) AS first_seen_ms, max(ts_ms) AS last_seen_ms FROM e WHERE err IS NULL GROUP BY 2",
         "a10_drift_by_field": f"WITH {_DECODED} SELECT 'orders' AS contract_name, 'coupon' AS field, count(*) AS events, max(ts_ms) AS last_seen_ms FROM e WHERE err IS NULL AND pk % 59 = 0 HAVING count(*) > 0",
-        "r13_image_diff": f"WITH {_DECODED} SELECT field, count(*) AS changes, count(*) AS had_before, CAST(0 AS BIGINT) AS had_after FROM e CROSS JOIN (SELECT unnest(['amount', 'channel', 'created_at', 'currency', 'customer_id', 'order_id', 'status', 'updated_at']) AS field) WHERE err IS NULL AND op = 'd' AND (field <> 'channel' OR pk % 13 = 0) GROUP BY field",
+        "r13_image_diff": f"WITH {_DECODED} SELECT field, count(*) AS changes, count(*) FILTER (op IN ('u', 'd')) AS had_before, count(*) FILTER (op <> 'd') AS had_after FROM e CROSS JOIN (SELECT unnest(['amount', 'channel', 'created_at', 'currency', 'customer_id', 'order_id', 'status', 'updated_at']) AS field) WHERE err IS NULL AND op = 'd' AND (field <> 'channel' OR pk % 13 = 0) GROUP BY field",
         "w6_dead_letters": f"WITH {_LETTERS} SELECT CASE WHEN pk % 67 = 0 THEN 'cdc.shop.unknown' ELSE 'cdc.shop.orders' END AS kafka_topic, CAST(part AS INTEGER) AS kafka_partition, off AS kafka_offset, code AS error_code, status, CAST(CASE WHEN again THEN 1 ELSE 0 END AS BIGINT) AS replay_attempts, CASE WHEN status = 'replayed' THEN CAST(2 AS BIGINT) END AS resolved_batch_id, CAST(1 AS BIGINT) AS batch_id FROM l",
         "a13_open_by_code": f"WITH {_LETTERS} SELECT code AS error_code, count(*) AS open_records FROM l WHERE status = 'open' GROUP BY 1",
         "x5_replay_records": f"""WITH {_LETTERS} SELECT concat('{{"order_id":"', {_uuid('CASE WHEN pk % 83 = 0 THEN pk + 1 ELSE pk END')}, '"}}') AS record_key, 'cdc.replay' AS topic, 'cdc.shop.orders' AS origin FROM (SELECT * FROM l WHERE status = 'open' AND code = 'UNSUPPORTED_OP' ORDER BY off LIMIT 50)""",
