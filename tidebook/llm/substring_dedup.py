@@ -7,8 +7,8 @@ unit; the number of tasks follows from the number of windows, so one compares ab
 first of each repeated hash, by doc_id, keeps its words; the others go back to their unit as one bit each, where windows that
 start again merge into maximal removal intervals.
 
-Two different windows are taken for equal only if their 64-bit hashes collide: about 5 in 10,000 for one such pair among 130
-million windows.  doc_id has to be integral; texts without one come last, texts of one doc_id are ordered by their unit.  A
+Two different windows are taken for equal only if their buckets and the lowest 56 bits of their hashes are the same, with some
+400 buckets about 3 in 10,000 for one such pair among 130 million windows; more windows come with more buckets.  doc_id has to be integral; texts without one come last, texts of one doc_id are ordered by their unit.  A
 null, empty or short text has no window and keeps all of its words.  An empty table gives no rows; other columns are not read.
 """
 
@@ -27,6 +27,7 @@ from tidebook.llm.shared import staged
 
 UNIT_BYTES = 1 << 19
 TASK_WINDOWS = 1 << 22  # windows that one task compares, on average
+SENT = 7  # lowest bytes of a hash that travel
 _LAST = np.iinfo(np.int64).max
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -99,7 +100,8 @@ def send_windows(units: DataFrame, window: int, buckets: int) -> DataFrame:
                 u = Unit(blob.as_buffer(), window, buckets)
                 ids = u.rows.column(0).fill_null(_LAST).to_numpy()
                 owner = ids[np.searchsorted(u.first, u.at, "right") - 1] if len(u.at) else np.zeros(0, np.int64)
-                found = [(b, u.hashes[s].tobytes(), owner[s].tobytes()) for b, s in u.slices()]
+                low = u.hashes.view(np.uint8).reshape(-1, 8)[:, :SENT]  # the bucket has the highest bits
+                found = [(b, low[s].tobytes(), owner[s].tobytes()) for b, s in u.slices()]
                 bucket, h, d = zip(*found, strict=True) if found else ((), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array([unit] * len(found), pa.int64()), pa.array(h, pa.binary()), pa.array(d, pa.binary())], ["bucket", "unit", "hashes", "ids"])
 
@@ -115,12 +117,16 @@ def mark_later(sent: DataFrame, tasks: int) -> DataFrame:
         for batch in batches:
             bucket.append(batch.column(0).to_numpy())
             unit.append(batch.column(1).to_numpy())
-            hashes += [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(2)]
+            hashes += [np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, SENT) for x in batch.column(2)]
             owners += [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(3)]
         if not hashes:
             return
         bucket, unit, size = np.concatenate(bucket), np.concatenate(unit), np.array([len(x) for x in hashes])
-        h, ids, bounds = np.concatenate(hashes), np.concatenate(owners), np.concatenate([[0], np.cumsum(size)])
+        bounds, ids = np.concatenate([[0], np.cumsum(size)]), np.concatenate(owners)
+        wide = np.zeros((bounds[-1], 8), np.uint8)
+        np.concatenate(hashes, out=wide[:, :SENT])
+        h = wide.view("<u8").ravel()
+        h |= np.repeat(bucket.astype(np.uint64) << np.uint64(8 * SENT), size)
         order = np.argsort(h, kind="stable")
         same = h[order[1:]] == h[order[:-1]]
         among = order[np.append(same, False) | np.insert(same, 0, False)]
