@@ -329,11 +329,20 @@ def own_positions(first: np.ndarray) -> np.ndarray:
 
 
 def table_of(words: DataFrame) -> np.ndarray:
-    """Counts of history classes by classes."""
-    entries = words.select("cls", F.explode(F.arrays_zip("history", "counts")).alias("e")).groupBy("cls", "e.history").agg(F.sum("e.counts").alias("n"))
+    """Counts of history classes by classes; a task sums its words first."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(CLASSES * CLASSES)
+        for batch in batches:
+            own = np.repeat(batch.column(0).to_numpy(), batch.column(1).value_lengths().to_numpy())
+            out += np.bincount(batch.column(1).flatten().to_numpy() * CLASSES + own, batch.column(2).flatten().to_numpy(), CLASSES * CLASSES)
+        seen = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array((seen // CLASSES).astype(np.int32)), pa.array((seen % CLASSES).astype(np.int32)), pa.array(out[seen].astype(np.int64))], ["h", "c", "n"])
+
+    entries = words.select("cls", "history", "counts").mapInArrow(sums, "h int, c int, n long").groupBy("h", "c").agg(F.sum("n").alias("n"))
     out = np.zeros((CLASSES, CLASSES))
     for r in entries.collect():  # CLASSES x CLASSES rows at most
-        out[r.history, r.cls] = r.n
+        out[r.h, r.c] = r.n
     return out
 
 
