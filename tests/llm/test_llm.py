@@ -304,6 +304,40 @@ def test_pairs_of_a_dense_group_grow_with_its_members(spark, monkeypatch):
     assert all(made[m, name] <= 4 * m for m in (300, 1200) for name in ("hub_pairs", "across")), made
 
 
+def test_pairs_of_a_template_grow_with_its_texts(spark, monkeypatch):
+    """Texts that share 60 words and have 48 of their own are no near copies; a few of them have one, at exactly the limit or
+    just below it."""
+    rng = np.random.default_rng(23)
+    common = [f"c{k}" for k in range(60)]
+    made, plain = {}, near_dup.meetings
+    for members in (400, 1600):
+        texts = {i: " ".join(common + [f"u{i}x{k}" for k in range(48)]) for i in range(members)}
+        for i in range(20):  # 108 words, 105 shingles: 93 shared of 117 fall below the similarity, 94 of 116 don't
+            w = texts[i].split()
+            texts[10_000 + i] = " ".join(w[: 108 - 11 - i % 2] + [f"t{i}x{k}" for k in range(11 + i % 2)])
+        for i in rng.choice(members, 20, replace=False):
+            texts[20_000 + int(i)] = texts[int(i)] + " end"
+
+        def counted(*args, members=members):
+            out = staged(plain(*args), "counted")
+            made[members] = sum(r.n * (r.n - 1) // 2 for r in out.groupBy("key").agg(F.count("*").alias("n")).collect())
+            return out
+
+        monkeypatch.setattr(near_dup, "meetings", counted)
+        df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+        check_components(df, texts, 4)
+        monkeypatch.undo()
+    assert made[1600] <= 6 * made[400] + 2016 and made[1600] < 100_000, made
+
+
+@pytest.mark.parametrize("crowd, slots", [(2, 1 << 21), (2, 3)])
+def test_near_duplicates_meet_by_rare_shingles(spark, monkeypatch, crowd, slots):
+    """Whatever the order of the shingles, here also that of three slots, no link is lost."""
+    monkeypatch.setattr(near_dup, "CROWD", crowd)
+    monkeypatch.setattr(near_dup, "SLOTS", slots)
+    test_near_duplicates_of_long_texts(spark)
+
+
 def test_near_duplicates_of_long_texts(spark):
     """Sets beyond the bitmap's size, on both sides of its limit and of the similarity."""
     rng = np.random.default_rng(3)

@@ -3,7 +3,8 @@
 Every document's set of word shingles is hashed; documents of equal sets are one class from the start.  A class has a
 signature of ``SYMBOLS`` b-bit minhashes (16 bits each).  Sets of similarity s agree in a symbol with probability s, so the
 Hamming distance limit of ``DISTANCE`` symbols lies five deviations above what similarity 0.8 gives: fewer than one pair in
-100,000 of exactly that similarity is beyond it.  Every pair within the limit is found, whatever the data:
+100,000 of exactly that similarity is beyond it.  Every pair within the limit and of the
+similarity is found, whatever the data:
 
 * the symbols are split into ``CHUNKS`` chunks of two.  By pigeonhole, signatures within the distance agree in ``SHARED``
   chunks at least; a class with fewer chunk values that another class holds has no partner and goes;
@@ -11,9 +12,15 @@ Hamming distance limit of ``DISTANCE`` symbols lies five deviations above what s
   chunk values are the most common of all, so the same one in most buckets of a dense group) is compared with the others:
   pairs in proportion to the members, after which a dense group is one component but for its outliers;
 * a bucket that still holds several components compares its members across components inside a task, so only pairs that may
-  link leave it.  A bucket of over ``BLOCK`` members is first split by a second, third, ... chunk that its members share
-  (the errors allowed are enumerated as the sets of chunks that may agree) if that saves comparisons, and is compared block
-  by block otherwise; a task holds two blocks at a time.  A pair is taken only in the bucket of its first shared chunks.
+  link leave it.  In a bucket of at most ``CROWD`` members that is every pair, taken only in the bucket of the first chunk
+  that the two share;
+* texts of one template crowd its chunks without being near copies, and their pairs would grow with the square.  So members
+  of larger buckets meet by their rarest shingles: with the shingles of all crowded classes in one order, rare ones first,
+  sets of similarity ``percent`` share one among the first ``n - percent * n / 100 + 1`` of each (n: the set's size), which
+  in a template's texts are their own.  Any order is right; the one taken is that of the counts over all crowded classes by
+  slots of the shingles' hashes (``SLOTS`` of them, so the table that tasks need has a bound), and a shingle alone in its
+  slot is nobody's partner.  A pair has to agree in ``SHARED`` chunks here as well.  A bucket of over ``BLOCK`` members is
+  compared block by block; a task holds two blocks at a time.
 
 Before a pair leaves the task, its symbols' distance is counted, and a bitmap of each set gives an upper bound of the shared
 shingles (sets of over ``SMALL`` shingles: ``BITS`` one-bit minhashes, with a limit five deviations away).  What is left is
@@ -32,6 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -42,11 +50,14 @@ SYMBOLS, CHUNKS = 64, 32
 SHARED = 4
 DISTANCE = CHUNKS - SHARED
 SYMBOL_BITS = 16
+CROWD = 64  # members of a chunk's bucket of which all pairs are compared
+SLOTS = 1 << 21  # counts of shingles by hash
 BLOCK = 4096  # members of a bucket that a task compares at once
 BITMAP = 4096  # bits of the map of a set
 SMALL = 500  # shingles of a set that its map is meant for
 BITS, BIT_DISTANCE = 1024, 150
 _PAIRS = 1 << 14  # pairs compared in one numpy step
+_PART = 1 << 20  # shingles sorted in one numpy step
 
 _RNG = np.random.default_rng(20240607)
 _MULTIPLY = _RNG.integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -217,26 +228,73 @@ def open_buckets(rows: DataFrame) -> DataFrame:
     return rows.join(sizes.select("key", "size"), "key")
 
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Parts of the batches (last column: a list of shingles) of a bounded number of shingles or one row, with the number of
+    shingles of each row and all shingles."""
+    for batch in batches:
+        n = pc.list_value_length(batch.column(batch.num_columns - 1)).to_numpy().astype(np.int64)
+        part = np.cumsum(n) // _PART
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for low, high in zip(cuts, cuts[1:]):
+            rows = batch.slice(low, high - low)
+            yield rows, n[low:high], rows.column(rows.num_columns - 1).flatten().to_numpy().view(np.uint64)
+
+
+def _slot(shingles: np.ndarray, slots: int) -> np.ndarray:
+    return (shingles >> np.uint64(11)).astype(np.int64) % slots
+
+
+def holders(crowd: DataFrame) -> np.ndarray:
+    """By slot, how many sets of ``crowd`` hold its shingles (at least 1)."""
+    slots = SLOTS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(slots, np.int64)
+        for _, _, shingles in _sets(batches):
+            held += np.bincount(_slot(shingles, slots), minlength=slots)
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], ["slot", "held"])
+
+    counts = crowd.select("shingles").mapInArrow(count, "slot long, held long").groupBy("slot").agg(F.sum("held").alias("held")).where("held > 1")
+    found = counts.select(F.col("slot").cast("int"), F.least("held", F.lit((1 << 31) - 1)).cast("int").alias("held")).toArrow()  # a row a slot at most
+    out = np.ones(slots, np.int32)
+    out[found.column("slot").to_numpy()] = found.column("held").to_numpy()
+    return out
+
+
+def rarest(crowd: DataFrame, percent: int) -> DataFrame:
+    """rep, comp, key: of each set (rep, comp, shingles) the rarest shingles, of which sets of the similarity share one."""
+    held = crowd.sparkSession.sparkContext.broadcast(holders(crowd))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, n, shingles in _sets(batches):
+            owner = np.repeat(np.arange(len(n)), n)
+            by = held.value[_slot(shingles, len(held.value))]
+            order = np.lexsort((shingles, by, owner))
+            place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+            keep = (place < (n - -(-percent * n // 100) + 1)[owner]) & (by[order] > 1)
+            key = shingles[order[keep]].view(np.int64) | np.iinfo(np.int64).min  # apart from keys of chunks, which aren't negative
+            at = pa.array(owner[keep])
+            yield pa.RecordBatch.from_arrays([rows.column(0).take(at), rows.column(1).take(at), pa.array(key)], ["rep", "comp", "key"])
+
+    return crowd.select("rep", "comp", "shingles").mapInArrow(run, "rep long, comp long, key long")
+
+
+def meetings(able: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Members (key, rep, comp, size, level, chunk) of the buckets whose members are compared: those of chunks (level 1) and
+    of rare shingles (level 0)."""
+    buckets = staged(open_buckets(able.select("rep", "comp", F.explode("keys").alias("key"))), "open")
+    members = buckets.where(F.col("size") > CROWD).select("rep", "comp").distinct()
+    crowd = staged(sets.select("rep", "shingles").join(members, "rep").select("rep", "comp", "shingles"), "crowd")
+    rare = staged(rarest(crowd, percent), "rare")
+    unstage(crowd)
+    small = buckets.where(F.col("size") <= CROWD).select("key", "rep", "comp", "size", F.lit(1).alias("level"), F.shiftright("key", 32).cast("int").alias("chunk"))
+    return small.unionByName(open_buckets(rare).select("key", "rep", "comp", "size", F.lit(0).alias("level"), F.lit(CHUNKS).alias("chunk")))
+
+
 def across(able: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (u, v) across components that may link; ``able`` has rep, comp and keys."""
-    now = able.select("rep", "comp", F.explode("keys").alias("key")).withColumn("chunk", F.shiftright("key", 32).cast("int"))
-    ready: list[DataFrame] = []
-    for level in range(1, SHARED + 1):
-        buckets = staged(open_buckets(now), f"open{level}").withColumn("level", F.lit(level))
-        large = buckets.where(F.col("size") > BLOCK)
-        if level == SHARED or large.isEmpty():
-            ready.append(buckets)
-            break
-        later = able.select("rep", F.explode("keys").alias("key2")).withColumn("chunk2", F.shiftright("key2", 32).cast("int"))
-        split = large.select("rep", "comp", "key", "size", "chunk").join(later, "rep").where("chunk2 > chunk")
-        split = staged(split.select("rep", "comp", F.xxhash64("key", "key2").alias("key"), F.col("chunk2").alias("chunk"), F.col("key").alias("parent"), "size"), f"split{level}")
-        cost = split.groupBy("key", "parent", "size").agg(F.count("*").alias("m")).groupBy("parent", "size").agg(F.sum(F.col("m").cast("double") * F.col("m")).alias("cost"))
-        better = staged(cost.where(F.col("cost") < 0.25 * F.col("size") * F.col("size")).select("parent"), f"better{level}")
-        ready.append(buckets.join(better.withColumnRenamed("parent", "key"), "key", "left_anti").select(*buckets.columns))
-        now = split.join(better, "parent", "left_semi").select("rep", "comp", "key", "chunk")
-    rows = ready[0]
-    for more in ready[1:]:
-        rows = rows.unionByName(more)
+    rows = meetings(able, sets, percent)
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "comp", "rep", "level", "chunk")
@@ -294,7 +352,8 @@ def compare(batches: list[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBa
         keep = (comp[u] != comp[v]) & (100 * np.minimum(n[u], n[v]) >= percent * np.maximum(n[u], n[v]))
         u, v = u[keep], v[keep]
         same = chunks[u] == chunks[v]
-        keep = (same & (np.arange(CHUNKS) <= chunk[u][:, None])).sum(1) == level[u]
+        shared = (same & (np.arange(CHUNKS) <= chunk[u][:, None])).sum(1)
+        keep = np.where(level[u] == 1, shared == 1, shared >= SHARED)
         u, v = u[keep], v[keep]
         keep = (symbols[u] != symbols[v]).sum(1) <= DISTANCE
         u, v = u[keep], v[keep]
@@ -330,13 +389,20 @@ def grouped(rows: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     able = staged(able.select("rep", "n", rank.alias("rank"), "keys"), "able")
     sets = staged(sets_of(rows, size, able), "sets")
 
-    first = staged(components(staged(link(hub_pairs(able, sets, percent), sets, percent), "hub-links"), "hub"), "labels")
-    able = able.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "keys", F.coalesce("component", "rep").alias("comp"))
+    hub_links = staged(link(hub_pairs(able, sets, percent), sets, percent), "hub-links")
+    first = staged(components(hub_links, "hub"), "labels")
+    plain, able = able, able.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "keys", F.coalesce("component", "rep").alias("comp"))
     able = staged(able, "labelled")
-    found = link(staged(across(able, sets, percent), "across"), sets, percent)
+    for done in (hub_links, first, plain):
+        unstage(done)
+    pairs = staged(across(able, sets, percent), "across")
+    found = link(pairs, sets, percent)
     comps = able.select("rep", "comp")
     ends = found.join(comps.select(F.col("rep").alias("u"), F.col("comp").alias("cu")), "u").join(comps.select(F.col("rep").alias("v"), F.col("comp").alias("cv")), "v")
-    second = components(staged(ends.select(F.col("cu").alias("u"), F.col("cv").alias("v")), "across-links"), "across")
+    across_links = staged(ends.select(F.col("cu").alias("u"), F.col("cv").alias("v")), "across-links")
+    second = components(across_links, "across")
+    for done in (pairs, sets, across_links):
+        unstage(done)
     comps = comps.join(second.withColumnRenamed("node", "comp"), "comp", "left").select("rep", F.coalesce("component", "comp").alias("group"))
 
     classes = classes.join(comps, "rep", "left").select(*key, F.coalesce("group", "rep").alias("group"), "least")
