@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -526,6 +527,38 @@ def test_decontamination_of_awkward_rows_in_blocks(spark, awkward, limits):
     assert got == want
 
 
+def test_all_blocks_of_items_are_searched_in_one_scan(spark, docs, texts, small, monkeypatch):
+    """Five blocks of which tasks keep the tables of one; then with two blocks a scan; then as a filter."""
+    monkeypatch.setattr(decontaminate, "HELD_BLOCKS", 1)
+    items = spark.read.parquet(f"{small}/benchmark.parquet").select(F.col("item_id").cast("long"), "text")
+    shared = items.limit(3).union(items.limit(3).select(F.lit(5_000).cast("long"), "text"))  # windows of two items
+    items = staged(items.union(shared), "test-items")
+    limits = {"block_items": -(-items.count() // 5)}
+    want = plain_hits(texts.items(), [tuple(r) for r in items.collect()])
+    rows = lambda df: Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in df.collect())
+    one = decontaminate.find_contamination(docs, items, **limits)
+    assert rows(one) == want
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Exchange" not in plan
+    assert rows(decontaminate.find_contamination(docs, items, **limits, scan_blocks=2)) == want
+    kept = Counter(r.doc_id for r in decontaminate.without_contaminated(docs, items, **limits, scan_blocks=3).collect())
+    assert kept == Counter(i for (i, _, hit, _), c in want.items() for _ in range(c) if not hit)
+
+
+def test_items_of_many_blocks_in_parts_of_a_task(monkeypatch):
+    """Texts meet blocks in stretches of few bytes; windows whose hashes are equal are told apart by their bytes."""
+    monkeypatch.setattr(decontaminate, "_whole", lambda h, begin, m: np.zeros(len(begin), np.uint64))
+    items = pa.table({"item": ["a", "b", None, "d"], "text": ["one two three", "two three four", "three four five", "one two three"]})
+    (patterns,) = decontaminate.compile_patterns(items, 3)
+    found = decontaminate.Found(pa.record_batch({"text": ["x one two three four", "two three", "three four five"]}), *decontaminate.bt.column_bytes(pa.array(["x one two three four", "two three", "three four five"])))
+    found.search([patterns])
+    n, hits, own = (c.to_pylist() for c in found.columns())
+    assert n == [5, 2, 3] and own == [["a", "b", "d"], [], []]
+    assert hits == [[{"first": 1, "last": 5}], [], [{"first": 0, "last": 3}]]
+    batch = pa.record_batch({"text": ["one two"] * 50})
+    assert [len(r) for r in decontaminate.stretches(iter([batch, batch]), "text", 1)] == [1, 1] and [len(r) for r in decontaminate.stretches(iter([batch, batch]), "text", 700)] == [2]
+
+
 def test_blocks_of_items_are_bounded():
     sizes = {3: (4, 10), 5: (5, 10), 6: (1, 90), 9: (20, 5), 30: (1, 5)}
     assert decontaminate.cut_blocks(sizes, 32, 10, 100) == [(0, 6), (6, 9), (9, 30), (30, 32)]
