@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebook.functions.scalars import PIPE, bytes_of, position
-from tidebook.operators.decode import ORIGINAL_TOPIC, REPLAY_OF
+from tidebook.functions.scalars import PIPE, bytes_of, part, position
+from tidebook.operators.decode import ORIGINAL_TOPIC, REPLAY_OF, decoded_table
+from tidebook.plans.contracts import Registry
 
 OPEN, REPLAYED = "open", "replayed"
 REPLAY_TOPIC, REPLAY_LIMIT = "cdc.replay", 50
@@ -61,14 +62,18 @@ def dead_letters(log: DataFrame) -> DataFrame:
     )
 
 
-def replay_records(letters: DataFrame, ids: list[str] | None = None, error_code: str | None = None, limit: int = REPLAY_LIMIT, topic: str = REPLAY_TOPIC) -> DataFrame:
-    """Kafka-shaped records that send open rejects through the normal path again, oldest first, with their origin in headers."""
+def replay_records(letters: DataFrame, ids: list[str] | None = None, error_code: str | None = None, limit: int | None = REPLAY_LIMIT, topic: str = REPLAY_TOPIC) -> DataFrame:
+    """Kafka-shaped records that send open rejects through the normal path again, oldest first, with their origin in headers.
+
+    Without a limit every open reject is sent, in no order.
+    """
     rows = letters.where(F.col("status") == OPEN)
     if ids is not None:
-        rows = rows.where(F.col("dlq_id").isin(ids[:limit]))
+        rows = rows.where(F.col("dlq_id").isin(ids if limit is None else ids[:limit]))
     if error_code is not None:
         rows = rows.where(F.col("error_code") == error_code)
-    rows = rows.orderBy("first_seen_at", "dlq_id").limit(limit)
+    if limit is not None:
+        rows = rows.orderBy("first_seen_at", "dlq_id").limit(limit)
     head = lambda key, value: F.struct(F.lit(key).alias("key"), F.encode(value, "UTF-8").alias("value"))
     return rows.select(
         bytes_of(F.col("raw_key")).alias("key"),
@@ -76,3 +81,34 @@ def replay_records(letters: DataFrame, ids: list[str] | None = None, error_code:
         F.lit(topic).alias("topic"),
         F.array(head(ORIGINAL_TOPIC, F.col("source_topic")), head(REPLAY_OF, F.col("dlq_id"))).alias("headers"),
     )
+
+
+def dry_run(records: DataFrame, registry: Registry, pii_key: bytes) -> DataFrame:
+    """What replay records would decode to, with nothing published or logged: dlq_id, status, error_code, violations, contract_version."""
+    feed = records.withColumns({"partition": F.lit(0), "offset": F.lit(0).cast("long"), "timestamp": F.lit(None).cast("timestamp")})
+    return decoded_table(feed, registry, pii_key, "dry-run").select(F.col("replay_of").alias("dlq_id"), "status", "error_code", "violations", "contract_version")
+
+
+def reject_impact(letters: DataFrame, candidate: Registry, pii_key: bytes) -> DataFrame:
+    """What candidate contracts would make of all open rejects: rows by (error_code now, error_code then), and how many of
+    them would be accepted.  An id that several letters have counts once for each."""
+    then = dry_run(replay_records(letters, limit=None), candidate, pii_key).select("dlq_id", F.col("status").alias("_then"), F.col("error_code").alias("then_code"))
+    rows = letters.where(F.col("status") == OPEN).select("dlq_id", "error_code").join(then, "dlq_id")
+    return rows.groupBy("error_code", "then_code").agg(F.count("*").alias("records"), F.count_if(F.col("_then") == "valid").alias("accepted"))
+
+
+def with_key(letters: DataFrame, registry: Registry) -> DataFrame:
+    """Letters with the source_table and primary_key that their raw key names: rejects are found by key though their image may
+    be unreadable.  Both are null where the topic is unknown, the key isn't a JSON object or lacks a key field."""
+    doc = F.try_parse_json("raw_key")
+    rows = letters.withColumn("_doc", F.when(part(doc, "payload").isNotNull() & part(doc, "schema").isNotNull(), part(doc, "payload")).otherwise(doc))
+    table = key = None
+    for name in registry.names:
+        contract = registry.current(name)
+        fields = [F.try_variant_get("_doc", f"$.{k}", "string") for k in contract.key]
+        whole = F.when(F.concat(*fields).isNotNull(), F.concat_ws(PIPE, *fields))
+        mine = F.col("contract_name") == name
+        table = F.when(mine, F.lit(contract.table)) if table is None else table.when(mine, F.lit(contract.table))
+        key = F.when(mine, whole) if key is None else key.when(mine, whole)
+    rows = rows.withColumns({"source_table": table, "primary_key": key}).drop("_doc")
+    return rows.withColumn("source_table", F.when(F.col("primary_key").isNotNull(), F.col("source_table")))

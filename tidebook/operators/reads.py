@@ -60,6 +60,26 @@ def trace_stages(keys: DataFrame, source: DataFrame, bronze: DataFrame, letters:
     return seen.select(*on, F.explode(rows).alias("r")).select(*on, "r.*")
 
 
+def trace_evidence(keys: DataFrame, bronze: DataFrame, letters: DataFrame, silver: DataFrame) -> DataFrame:
+    """What the stages of a trace rest on: a row for each event of a key, each of its rejects, and its current state.
+
+    evidence is event, reject or state; ``result`` is an event's operation and outcome, a reject's code and status, or live or
+    deleted; ``seconds`` is the time from the source to the commit.  ``letters``: with source_table and primary_key.
+    """
+    on = ["source_table", "primary_key"]
+    seen = keys.select(*on).distinct()
+    none = lambda kind: F.lit(None).cast(kind)
+    place = ["kafka_partition", "kafka_offset"]
+    pair = lambda a, b: F.concat_ws(" ", F.col(a), F.col(b))
+    fresh = seconds_between(F.col("committed_at"), F.col("source_ts"))
+    parts = [
+        bronze.select(*on, F.lit("event").alias("evidence"), F.col("committed_at").alias("at"), "source_lsn", *place, pair("op", "apply_outcome").alias("result"), fresh.alias("seconds")),
+        letters.select(*on, F.lit("reject").alias("evidence"), F.col("last_seen_at").alias("at"), none("long").alias("source_lsn"), *place, pair("error_code", "status").alias("result"), none("double").alias("seconds")),
+        silver.select(*on, F.lit("state").alias("evidence"), F.col("_ingested_at").alias("at"), F.col("_source_lsn").alias("source_lsn"), none("int").alias(place[0]), none("long").alias(place[1]), F.when(F.col("is_deleted"), "deleted").otherwise("live").alias("result"), none("double").alias("seconds")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).join(seen, on, "left_semi")
+
+
 def rejects_of_key(letters: DataFrame, text: str, limit: int = 20) -> DataFrame:
     """Newest rejects whose raw key contains the text."""
     return newest(letters.where(F.instr(F.coalesce("raw_key", F.lit("")), text) > 0), "last_seen_at", limit, "dlq_id")

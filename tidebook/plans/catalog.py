@@ -211,10 +211,10 @@ def d21_event_ids(spark, d):
     return rows.agg(F.count("*").alias("deliveries"), F.count_distinct("event_id").alias("ids"), F.count_distinct("primary_key", "source_lsn").alias("changes"), F.min(F.length("event_id")).alias("id_length"))
 
 
-def _kafka(rows, key, value, topic, offset):
+def _kafka(rows, key, value, topic, offset, raw=False):
     headers = F.array().cast(feed.KAFKA_SCHEMA["headers"].dataType)
     at = F.timestamp_millis(F.lit(feed.START_MS))
-    return rows.select(F.encode(key, "UTF-8").alias("key"), F.encode(value, "UTF-8").alias("value"), F.lit(topic).alias("topic"), F.lit(0).alias("partition"), offset.alias("offset"), at.alias("timestamp"), F.lit(0).alias("timestampType"), headers.alias("headers"))
+    return rows.select(F.encode(key, "UTF-8").alias("key"), (value if raw else F.encode(value, "UTF-8")).alias("value"), F.lit(topic).alias("topic"), F.lit(0).alias("partition"), offset.alias("offset"), at.alias("timestamp"), F.lit(0).alias("timestampType"), headers.alias("headers"))
 
 
 def d2_order_faults(spark, d):
@@ -266,6 +266,36 @@ def v13_contract_impact(spark, d):
         return staged(contract_impact(_images(spark, d), "image", "contract_name", SHOP, SHOP.promoted()), "impact")
 
 
+def v13_open_rejects(spark, d):
+    """What the proposed contracts would make of every open reject."""
+    letters = staged(deadletter.dead_letters(_reject_log(spark, d)), "letters")
+    return deadletter.reject_impact(letters, SHOP.promoted(), PII_KEY)
+
+
+def v1_image_types(spark, d):
+    """Images that are no objects, and an object without fields, classified: an image of each order."""
+    k = F.col("o_orderkey")
+    text = F.when(k % 6 == 0, F.lit("{}")).when(k % 6 == 1, F.concat(F.lit("["), k.cast("string"), F.lit("]"))).when(k % 6 == 2, F.to_json(F.struct("o_orderstatus"))).when(k % 6 == 3, k.cast("string")).when(k % 6 == 4, F.lit("null"))
+    rows = _table(spark, d, "orders").select(F.lit("orders").alias("contract_name"), (k % 6).alias("form"), F.try_parse_json(text).alias("image"))
+    with small_methods(spark):
+        rows = staged(classify(rows, "image", "contract_name", SHOP).select("form", "version", "violations", "drift_fields"), "image-types")
+    return rows.groupBy("form", "version", F.array_join("violations", ",").alias("violations"), F.array_join("drift_fields", ",").alias("drift_fields")).agg(F.count("*").alias("images"))
+
+
+def d15_total_decoding(spark, d):
+    """Every document's text sent as a record: whatever it is, it becomes a tombstone or a reject that keeps its bytes."""
+    k = F.col("doc_id")
+    text = F.encode("text", "UTF-8")
+    around = lambda low, high: F.concat(F.encode(F.lit(low), "UTF-8"), text, F.encode(F.lit(high), "UTF-8"))
+    value = (
+        F.when(k % 6 == 1, around('{"op":"c","after":', "}")).when(k % 6 == 2, F.concat(F.unhex(F.lit("FF")), text)).when(k % 6 == 3, F.encode(F.repeat(F.lit("["), 3_000), "UTF-8"))
+        .when(k % 6 == 4, F.lit(None).cast("binary")).when(k % 6 == 5, F.encode(F.lit('{"op":"c","after":[1],"source":{"schema":"shop","table":"orders","lsn":1,"ts_ms":1}}'), "UTF-8")).otherwise(text)
+    )
+    rows = _kafka(_table(spark, d, "documents").repartition(spark.sparkContext.defaultParallelism), F.lit(None).cast("string"), value, "cdc.shop.orders", k.cast("long"), raw=True)
+    rows = decoded_table(rows, SHOP, PII_KEY, "total")
+    return rows.select("kafka_offset", "status", "error_code", F.md5(F.col("raw_value")).alias("raw_md5"), "primary_key", "event_id")
+
+
 def v10_classification(spark, d):
     with small_methods(spark):
         rows = staged(classify(_images(spark, d), "image", "contract_name", SHOP).select("version", "violations", "drift_fields"), "classified")
@@ -318,6 +348,14 @@ def x5_replay_records(spark, d):
     return rows.select(F.col("key").cast("string").alias("record_key"), "topic", scalars.header(F.col("headers"), "original-topic").alias("origin"))
 
 
+def x5_dry_run(spark, d):
+    """The same choice of rejects decoded under the present contracts, with nothing published: they would be rejected again."""
+    letters = staged(deadletter.dead_letters(_reject_log(spark, d)), "letters")
+    records = deadletter.replay_records(letters.withColumn("first_seen_at", F.timestamp_millis(F.col("kafka_offset"))), error_code="CONTRACT_VIOLATION", limit=None)
+    rows = deadletter.dry_run(records, SHOP, PII_KEY)
+    return rows.groupBy("status", "error_code", F.array_join("violations", ",").alias("violations"), "contract_version").agg(F.count("*").alias("records"))
+
+
 def r8_rejects(spark, d):
     rows = deadletter.dead_letters(_reject_log(spark, d)).withColumn("last_seen_at", F.timestamp_millis(F.col("kafka_offset")))
     return reads.rejects(rows, "open", 40).select("kafka_offset", "kafka_partition", "error_code", "status")
@@ -405,6 +443,15 @@ def r3_trace(spark, d):
     return reads.trace_stages(keys, source, bronze, letters, log, _silver(planned.where("primary_key % 7 <> 0")))
 
 
+def r3_evidence(spark, d):
+    """Events, rejects and final state of every customer's first order key, all keys at once; rejects by their raw key."""
+    planned = _committed(_planned(spark, d))
+    keys = _table(spark, d, "customer").select(F.lit("shop.orders").alias("source_table"), (F.col("c_custkey") * 11).alias("primary_key"))
+    letters = deadletter.with_key(deadletter.dead_letters(_reject_log(spark, d)), SHOP).withColumns({"primary_key": F.substring_index("primary_key", "-", -1).cast("long"), "last_seen_at": F.timestamp_millis("kafka_offset")})
+    out = reads.trace_evidence(keys, planned, letters, state.fold(planned, DATA))
+    return out.withColumn("at_ms", F.unix_millis("at")).drop("at")
+
+
 def r5_overview(spark, d):
     rows = _committed(_planned(spark, d))
     as_of = F.timestamp_millis(F.lit(feed.START_MS + 20_000_000))
@@ -693,6 +740,22 @@ def k14_lsn_text(spark, d):
     return rows.withColumn("lsn_back", scalars.lsn_number(F.col("lsn_text")))
 
 
+def k13_raw_bytes(spark, d):
+    """Bytes kept as text, or as marked base64 where they are no UTF-8, and taken back."""
+    k = F.col("o_orderkey")
+    own = F.encode(F.concat(k.cast("string"), F.lit(" ä"), F.col("o_orderstatus")), "UTF-8")
+    data = F.when(k % 7 == 5, None).when(k % 3 == 0, F.concat(F.unhex(F.lit("FFC3")), own)).otherwise(own)
+    rows = _table(spark, d, "orders").select("o_orderkey", scalars.text_or_base64(data).alias("kept"))
+    return rows.withColumn("back", F.hex(scalars.bytes_of(F.col("kept"))))
+
+
+def k6_struct_of_texts(spark, d):
+    """JSON objects as a struct of texts; numbers keep their text, what isn't there or isn't JSON is null."""
+    text = F.when(F.col("o_orderkey") % 10 == 3, F.lit("{broken")).otherwise(F.to_json(F.struct("o_custkey", "o_orderstatus")))
+    rows = _table(spark, d, "orders").withColumn("s", F.from_json(text, "o_custkey string, o_orderstatus string, absent string"))
+    return rows.select("o_orderkey", F.col("s.o_custkey").alias("customer"), F.col("s.o_orderstatus").alias("status"), F.col("s.absent").alias("absent"))
+
+
 def k7_json_values(spark, d):
     """Scalars taken out of JSON text; what isn't there, or isn't JSON, is null."""
     rows = _table(spark, d, "events").withColumn("text", F.when(F.col("event_id") % 10 == 3, "{broken").otherwise(F.col("props")))

@@ -239,6 +239,14 @@ def oracle_sql() -> dict[str, str]:
         "v13_contract_impact": f"""WITH {_IMAGES} SELECT 'orders' AS contract_name, CAST(CASE WHEN pk % 97 = 0 OR pk % 53 = 0 THEN NULL WHEN pk % 13 = 0 THEN 2 ELSE 1 END AS INTEGER) AS now_version,
             CAST(CASE WHEN pk % 97 = 0 THEN NULL WHEN pk % 53 = 0 THEN 3 WHEN pk % 13 = 0 THEN 2 ELSE 1 END AS INTEGER) AS then_version, count(*) AS row_count, count(*) FILTER (pk % 97 = 0 AND NOT (pk % 97 = 0 OR pk % 53 = 0)) AS broken,
             count(*) FILTER (pk % 53 = 0 AND pk % 97 <> 0) AS repaired FROM i GROUP BY 1, 2, 3""",
+        "v13_open_rejects": f"""WITH {_LETTERS}, t AS (SELECT code, {_error().replace("pk % 97 = 0 OR pk % 53 = 0", "pk % 97 = 0")} AS then_code FROM l WHERE status = 'open')
+            SELECT code AS error_code, then_code, count(*) AS records, count(*) FILTER (then_code IS NULL) AS accepted FROM t GROUP BY 1, 2""",
+        "v1_image_types": """SELECT o_orderkey % 6 AS form, CAST(NULL AS INTEGER) AS version, CASE WHEN o_orderkey % 6 IN (0, 2) THEN concat_ws(',', 'order_id.required', 'customer_id.required', 'status.required', 'amount.required', 'currency.required', 'created_at.required', 'updated_at.required') ELSE '$.type' END AS violations,
+            CASE WHEN o_orderkey % 6 = 2 THEN 'o_orderstatus' ELSE '' END AS drift_fields, count(*) AS images FROM orders GROUP BY ALL""",
+        "d15_total_decoding": """WITH v AS (SELECT doc_id, doc_id % 6 AS c, text, CASE doc_id % 6 WHEN 1 THEN concat('{"op":"c","after":', text, '}') WHEN 3 THEN repeat('[', 3000) WHEN 5 THEN '{"op":"c","after":[1],"source":{"schema":"shop","table":"orders","lsn":1,"ts_ms":1}}' WHEN 0 THEN text END AS value FROM documents)
+            SELECT doc_id AS kafka_offset, CASE WHEN c = 4 OR text IS NULL AND c <= 2 THEN 'tombstone' ELSE 'rejected' END AS status,
+            CASE WHEN c = 4 OR text IS NULL AND c <= 2 THEN NULL WHEN c = 2 THEN 'MALFORMED_ENCODING' WHEN c = 3 THEN 'MALFORMED_JSON' WHEN json_valid(value) THEN 'INVALID_ENVELOPE' ELSE 'MALFORMED_JSON' END AS error_code,
+            CASE WHEN c = 4 OR text IS NULL AND c <= 2 THEN NULL WHEN c = 2 THEN md5(concat('base64:', base64(unhex('FF') || encode(text)))) ELSE md5(value) END AS raw_md5, CAST(NULL AS VARCHAR) AS primary_key, CAST(NULL AS VARCHAR) AS event_id FROM v""",
         "v10_classification": f"""WITH {_IMAGES} SELECT CAST(CASE WHEN pk % 97 = 0 OR pk % 53 = 0 THEN NULL WHEN pk % 13 = 0 THEN 2 ELSE 1 END AS INTEGER) AS version, {_BROKEN} AS violations,
             CASE WHEN pk % 59 = 0 THEN 'coupon' ELSE '' END AS drift_fields, count(*) AS images FROM i GROUP BY 1, 2, 3""",
         "r9_versions_seen": f"WITH {_DECODED} SELECT 'orders' AS contract_name, CAST(CASE WHEN pk % 13 = 0 THEN 2 ELSE 1 END AS INTEGER) AS contract_version, count(*) AS events, min(ts_ms) AS first_seen_ms, max(ts_ms) AS last_seen_ms FROM e WHERE err IS NULL GROUP BY 2",
@@ -247,6 +255,7 @@ def oracle_sql() -> dict[str, str]:
         "w6_dead_letters": f"WITH {_LETTERS} SELECT CASE WHEN pk % 67 = 0 THEN 'cdc.shop.unknown' ELSE 'cdc.shop.orders' END AS kafka_topic, CAST(part AS INTEGER) AS kafka_partition, off AS kafka_offset, code AS error_code, status, CAST(CASE WHEN again THEN 1 ELSE 0 END AS BIGINT) AS replay_attempts, CASE WHEN status = 'replayed' THEN CAST(2 AS BIGINT) END AS resolved_batch_id, CAST(1 AS BIGINT) AS batch_id FROM l",
         "a13_open_by_code": f"WITH {_LETTERS} SELECT code AS error_code, count(*) AS open_records FROM l WHERE status = 'open' GROUP BY 1",
         "x5_replay_records": f"""WITH {_LETTERS} SELECT concat('{{"order_id":"', {_uuid('CASE WHEN pk % 83 = 0 THEN pk + 1 ELSE pk END')}, '"}}') AS record_key, 'cdc.replay' AS topic, 'cdc.shop.orders' AS origin FROM (SELECT * FROM l WHERE status = 'open' AND code = 'UNSUPPORTED_OP' ORDER BY off LIMIT 50)""",
+        "x5_dry_run": f"WITH {_LETTERS} SELECT 'rejected' AS status, 'CONTRACT_VIOLATION' AS error_code, {_BROKEN} AS violations, CAST(NULL AS INTEGER) AS contract_version, count(*) AS records FROM l WHERE status = 'open' AND code = 'CONTRACT_VIOLATION' GROUP BY 3",
         "r8_rejects": f"WITH {_LETTERS} SELECT off AS kafka_offset, CAST(part AS INTEGER) AS kafka_partition, code AS error_code, status FROM l WHERE status = 'open' ORDER BY off DESC LIMIT 40",
         "r4_rejects_of_key": f"WITH {_LETTERS} SELECT off AS kafka_offset, code AS error_code, status FROM l WHERE instr({_uuid('CASE WHEN pk % 83 = 0 THEN pk + 1 ELSE pk END')}, '00000000970') > 0 ORDER BY off DESC LIMIT 20",
         "a1_batch_profile": f"WITH {_DECODED} SELECT part AS batch_id, count(*) AS input_rows, count(*) FILTER (err IS NULL) AS valid_rows, count(*) FILTER (err IS NOT NULL) AS dlq_rows, CAST(0 AS BIGINT) AS tombstones, min(ts_ms) FILTER (err IS NULL) AS min_source_ts_ms, max(ts_ms) FILTER (err IS NULL) AS max_source_ts_ms, count(DISTINCT pk) FILTER (err IS NULL) AS keys_seen FROM e GROUP BY part",
@@ -271,6 +280,11 @@ def oracle_sql() -> dict[str, str]:
                 WHEN 3 THEN CASE WHEN cap THEN 'done' WHEN rej THEN 'failed' ELSE 'pending' END WHEN 4 THEN CASE WHEN com THEN 'done' WHEN rej AND NOT cap THEN 'skipped' ELSE 'pending' END
                 WHEN 5 THEN CASE WHEN lake THEN 'done' WHEN rej AND NOT cap THEN 'skipped' ELSE 'pending' END ELSE CASE WHEN lake AND com THEN 'done' WHEN rej AND NOT cap THEN 'skipped' ELSE 'pending' END END AS state
             FROM h CROSS JOIN range(7) t(step)""",
+        "r3_evidence": f"""WITH {_COMMITTED_SILVER}{_LETTERS[len(_FEED):]}, keys AS (SELECT DISTINCT c_custkey * 11 AS pk FROM customer),
+            x AS (SELECT pk, 'event' AS evidence, commit_ms AS at_ms, lsn AS source_lsn, part AS kafka_partition, off AS kafka_offset, concat(op, ' ', outcome) AS result, (commit_ms - ts_ms) / 1000.0 AS seconds FROM k
+              UNION ALL SELECT CASE WHEN pk % 83 = 0 THEN pk + 1 ELSE pk END, 'reject', off, NULL, part, off, concat(code, ' ', status), NULL FROM l WHERE pk % 67 <> 0
+              UNION ALL SELECT pk, 'state', commit_ms, top, NULL, NULL, CASE WHEN is_deleted THEN 'deleted' ELSE 'live' END, NULL FROM s)
+            SELECT 'shop.orders' AS source_table, pk AS primary_key, evidence, source_lsn, CAST(kafka_partition AS INTEGER) AS kafka_partition, kafka_offset, result, seconds, at_ms FROM x WHERE pk IN (SELECT pk FROM keys)""",
         "r5_overview": f"WITH {_LOG}, o AS (SELECT count(*) AS batches, CAST(sum(duplicates) AS BIGINT) AS duplicates, CAST(sum(applied) AS BIGINT) AS applied, round(sum(dlq_rows) / sum(n) * 100, 2) AS reject_percent, max(commit_ms) AS last_commit_ms FROM log WHERE commit_ms >= {start} + 20000000 - 1200000000), x AS (SELECT quantile_cont((commit_ms - ts_ms) / 1000.0, 0.5) AS p50, quantile_cont((commit_ms - ts_ms) / 1000.0, 0.95) AS p95 FROM k WHERE outcome = 'applied' AND commit_ms >= {start} + 20000000 - 1200000000) SELECT * FROM o CROSS JOIN x",
         "r6_sla_status": f"WITH {_COMMITTED}, x AS (SELECT concat('orders-', part) AS dataset, quantile_cont((commit_ms - ts_ms) / 1000.0, 0.95) AS p95 FROM k WHERE outcome = 'applied' GROUP BY part) SELECT concat('orders-', n_nationkey) AS dataset, n_nationkey * 100 + 60 AS p95_seconds, p95, CASE WHEN p95 IS NULL THEN 'no_data' WHEN p95 <= n_nationkey * 100 + 60 THEN 'met' ELSE 'breached' END AS status FROM nation LEFT JOIN x ON x.dataset = concat('orders-', n_nationkey)",
         "r7_stale_metrics": "SELECT event_type, epoch_us((SELECT max(ts) FROM events)) - epoch_us(max(ts)) > 45000000 AS stale FROM events GROUP BY event_type",
@@ -324,6 +338,9 @@ def oracle_sql() -> dict[str, str]:
         "d19_customer_images": _CUSTOMER_IMAGES,
         "d19_pseudonyms": f"SELECT c_custkey, {_hmac('lower(trim(c_name))', _PII_KEY)} AS pseudonym FROM customer",
         "k14_lsn_text": "SELECT o_orderkey, o_orderkey * 987654321 AS lsn, concat(printf('%X', (o_orderkey * 987654321) >> 32), '/', printf('%X', (o_orderkey * 987654321) & 4294967295)) AS lsn_text, o_orderkey * 987654321 AS lsn_back FROM orders",
+        "k13_raw_bytes": """WITH b AS (SELECT o_orderkey, encode(concat(o_orderkey, ' ä', o_orderstatus)) AS own FROM orders), v AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 5 THEN NULL WHEN o_orderkey % 3 = 0 THEN unhex('FFC3') || own ELSE own END AS data FROM b)
+            SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN concat('base64:', base64(data)) ELSE decode(CASE WHEN o_orderkey % 3 <> 0 THEN data END) END AS kept, hex(data) AS back FROM v WHERE data IS NOT NULL UNION ALL SELECT o_orderkey, NULL, NULL FROM v WHERE data IS NULL""",
+        "k6_struct_of_texts": "SELECT o_orderkey, CASE WHEN o_orderkey % 10 <> 3 THEN CAST(o_custkey AS VARCHAR) END AS customer, CASE WHEN o_orderkey % 10 <> 3 THEN o_orderstatus END AS status, CAST(NULL AS VARCHAR) AS absent FROM orders",
         "k7_json_values": "SELECT event_id, json_extract_string(j, '$.k') AS k, CAST(json_extract_string(j, '$.k') AS BIGINT) AS k_number, json_extract_string(j, '$.none') AS none FROM (SELECT event_id, CASE WHEN event_id % 10 <> 3 THEN CAST(props AS JSON) END AS j FROM events)",
         "k3_positions": f"WITH {_FEED} SELECT eid AS event_id, off AS kafka_offset, concat(lpad(CAST(part AS VARCHAR), 5, '0'), ':', lpad(CAST(off AS VARCHAR), 20, '0')) AS position, sha256(concat('shop.orders|', pk, '|', lsn)) AS digest FROM f",
         "k12_times": "SELECT o_orderkey, strftime(o_orderdate - INTERVAL 2 HOUR, '%Y-%m-%dT%H:%M:%S.123456Z') AS utc, epoch_ms(date_trunc('second', o_orderdate)) - 7200000 + 123 AS ms FROM orders",
