@@ -41,3 +41,13 @@ def test_orphans_of_a_long_history_equal_the_twin(spark, tmp_path):
         plain = lambda v: round(v, 6) if isinstance(v, float) else v
         got = sorted([tuple(plain(r[c]) for c in result.columns) for r in df.collect()], key=str)
         assert got == sorted([tuple(map(plain, r)) for r in result.fetchall()], key=str)
+
+
+def test_text_after_a_json_value_is_no_json(spark):
+    from tidebook.functions import scalars
+
+    values = ["{}", " [1] ", "null", "3", '"x"', '{"a":{"b":[1,2]}}']
+    others = ["3 x", "{} {}", "{}}", "[1]] 2", "1, 2", '1,"b":2', "1} x", "1] x", "", " ", "{", '{"a":1,"a":2}']
+    rows = spark.createDataFrame([(t,) for t in [*values, *others]], "t string")
+    got = {r.t: r.j for r in rows.select("t", F.to_json(scalars.whole_json(F.col("t"))).alias("j"), scalars.whole_json(F.col("t")).isNotNull().alias("is")).collect() if r["is"]}
+    assert got == {t: t.strip() for t in values}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebook.functions.scalars import PIPE, bytes_of, part, position
+from tidebook.functions.scalars import PIPE, bytes_of, part, position, whole_json
 from tidebook.operators.decode import ORIGINAL_TOPIC, REPLAY_OF, decoded_table
 from tidebook.plans.contracts import Registry
 
@@ -18,10 +18,22 @@ def dead_letter_id() -> Column:
     return F.coalesce(F.col("replay_of"), F.sha2(F.concat_ws(PIPE, "kafka_topic", F.col("kafka_partition").cast("string"), F.col("kafka_offset").cast("string")), 256))
 
 
+def logged() -> Column:
+    """Whether a decoded row belongs into the log: rejects, and replays that are valid."""
+    return (F.col("status") == "rejected") | (F.col("replay_of").isNotNull() & (F.col("status") == "valid"))
+
+
+# Decoded columns that the log and the letters read.
+LOGGED = (
+    "kafka_topic", "kafka_partition", "kafka_offset", "kafka_ts", "source_topic", "replay_of", "injection_id", "status", "error_code", "error_detail",
+    "violations", "raw_key", "raw_value", "contract_name",
+)
+
+
 def dead_letter_events(decoded: DataFrame) -> DataFrame:
     """Rejects, and valid or again rejected replays, as log rows; of several replays of one id in a batch the last stays."""
     rejected = F.col("status") == "rejected"
-    rows = decoded.where(rejected | (F.col("replay_of").isNotNull() & (F.col("status") == "valid")))
+    rows = decoded.where(logged())
     rows = rows.withColumns({
         "dlq_id": dead_letter_id(),
         "is_replay": F.col("replay_of").isNotNull(),
@@ -86,7 +98,8 @@ def replay_records(letters: DataFrame, ids: list[str] | None = None, error_code:
 def dry_run(records: DataFrame, registry: Registry, pii_key: bytes) -> DataFrame:
     """What replay records would decode to, with nothing published or logged: dlq_id, status, error_code, violations, contract_version."""
     feed = records.withColumns({"partition": F.lit(0), "offset": F.lit(0).cast("long"), "timestamp": F.lit(None).cast("timestamp")})
-    return decoded_table(feed, registry, pii_key, "dry-run").select(F.col("replay_of").alias("dlq_id"), "status", "error_code", "violations", "contract_version")
+    rows = decoded_table(feed, registry, pii_key, "dry-run", ("replay_of", "status", "error_code", "violations", "contract_version"))
+    return rows.withColumnRenamed("replay_of", "dlq_id")
 
 
 def reject_impact(letters: DataFrame, candidate: Registry, pii_key: bytes) -> DataFrame:
@@ -100,7 +113,7 @@ def reject_impact(letters: DataFrame, candidate: Registry, pii_key: bytes) -> Da
 def with_key(letters: DataFrame, registry: Registry) -> DataFrame:
     """Letters with the source_table and primary_key that their raw key names: rejects are found by key though their image may
     be unreadable.  Both are null where the topic is unknown, the key isn't a JSON object or lacks a key field."""
-    doc = F.try_parse_json("raw_key")
+    doc = whole_json(F.col("raw_key"))
     rows = letters.withColumn("_doc", F.when(part(doc, "payload").isNotNull() & part(doc, "schema").isNotNull(), part(doc, "payload")).otherwise(doc))
     table = key = None
     for name in registry.names:

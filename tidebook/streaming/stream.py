@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
-from tidebook.functions.scalars import text_or_base64
+from tidebook.functions.scalars import text_or_base64, whole_json
 from tidebook.operators.batchlog import batch_profile, fingerprint, freshness_sketch
 from tidebook.operators.deadletter import dead_letter_events
 from tidebook.operators.decode import decode, small_methods
@@ -193,9 +193,9 @@ def new_epoch(lake: Lake, checkpoint: str) -> str:
 
 def live_tap(feed: DataFrame) -> DataFrame:
     """Identifiers of any record, valid or not; works on a stream as on a table."""
-    env = F.try_parse_json(F.col("value").cast("string"))
+    env = F.col("_env")
     get = lambda path, kind: F.try_variant_get(env, path, kind)
-    return feed.select(
+    return feed.withColumn("_env", whole_json(F.col("value").cast("string"))).select(
         "topic", "partition", "offset", "timestamp", text_or_base64(F.col("key")).alias("record_key"), get("$.op", "string").alias("op"), get("$.source.lsn", "bigint").alias("lsn"),
         get("$.source.ts_ms", "bigint").alias("ts_ms"), (F.col("value").isNotNull() & env.isNull()).alias("malformed"), F.col("value").isNull().alias("tombstone"),
     )
