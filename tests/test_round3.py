@@ -51,3 +51,12 @@ def test_text_after_a_json_value_is_no_json(spark):
     rows = spark.createDataFrame([(t,) for t in [*values, *others]], "t string")
     got = {r.t: r.j for r in rows.select("t", F.to_json(scalars.whole_json(F.col("t"))).alias("j"), scalars.whole_json(F.col("t")).isNotNull().alias("is")).collect() if r["is"]}
     assert got == {t: t.strip() for t in values}
+
+
+def test_columns_nobody_reads_are_not_decoded(spark):
+    """Letters need no row images, digests or keys of valid rows."""
+    from tidebook.operators import deadletter
+    from tidebook.plans import catalog
+
+    rows = catalog._decoded(spark, "/root/testdata/sf0.001", *deadletter.LOGGED)
+    assert set(rows.columns) == set(deadletter.LOGGED) and rows.where("status = 'rejected'").count()
