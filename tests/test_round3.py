@@ -60,3 +60,35 @@ def test_columns_nobody_reads_are_not_decoded(spark):
 
     rows = catalog._decoded(spark, "/root/testdata/sf0.001", *deadletter.LOGGED)
     assert set(rows.columns) == set(deadletter.LOGGED) and rows.where("status = 'rejected'").count()
+
+
+def test_images_are_walked_once_and_not_spelt_out(spark):
+    """Each member and each kind of a whole image was a walk of its own, and a schema of all that it holds."""
+    from tidebook.operators.decode import decode
+    from tidebook.plans import catalog
+    from tidebook.plans.contracts import SHOP
+    from tidebook.sources import feed
+
+    rows = decode(feed.as_envelopes(catalog._dealt(spark, "/root/testdata/sf0.001")), SHOP, b"k")
+    plan = rows._jdf.queryExecution().analyzed().toString()
+    assert "$.order_id" not in plan and "$.after" not in plan
+
+
+def test_plain_digits_fit_a_decimal_as_the_full_rule_says(spark):
+    from decimal import Decimal
+
+    from tidebook.plans.contracts import fits_decimal
+
+    texts = ["0", "12", "12.3", "12.34", "12.345", "123.4", "1234", "99.99", "100.00", "012.30", "00012", "1.", ".5", "", ".", "-1.5", "+2", "1e1", "1e2", "1.25e1", "x", "1.2\n", " 1 "]
+    got = {r.t: r.fits for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", fits_decimal(F.col("t"), 4, 2).alias("fits")).collect()}
+
+    def want(t):
+        try:
+            _, digits, exponent = Decimal(t.strip()).as_tuple()
+        except ArithmeticError:
+            return False
+        n = len("".join(map(str, digits)).lstrip("0")) or 1
+        after = max(-exponent, 0)
+        return after <= 2 and max(n - after, 0) <= 2
+
+    assert {t: want(t) for t in texts if "e" not in t} == {t: f for t, f in got.items() if "e" not in t} and got["1e1"] and got["1.25e1"]
