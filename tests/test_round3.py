@@ -92,3 +92,18 @@ def test_plain_digits_fit_a_decimal_as_the_full_rule_says(spark):
         return after <= 2 and max(n - after, 0) <= 2
 
     assert {t: want(t) for t in texts if "e" not in t} == {t: f for t, f in got.items() if "e" not in t} and got["1e1"] and got["1.25e1"]
+
+
+def test_edges_of_uses_are_those_of_the_jobs(spark, monkeypatch):
+    """The searches gathered the jobs' sets only to take them apart again."""
+    from tidebook.operators import lineage
+    from tidebook.plans import catalog
+
+    uses = spark.createDataFrame([("j1", "a", "b"), ("j1", "a", "c"), ("j1", "a", "b"), ("j2", "b", "a"), ("j3", None, "d")], "id string, input string, output string")
+    jobs = uses.groupBy("id").agg(F.collect_set("input").alias("inputs"), F.collect_set("output").alias("outputs"))
+    assert sorted(lineage.edges_of_uses(uses).collect()) == sorted(lineage.edges_of(jobs).collect())
+    plans = []
+    written = catalog.staged
+    monkeypatch.setattr(catalog, "staged", lambda df, name: plans.append(df._jdf.queryExecution().analyzed().toString()) or written(df, name))
+    catalog.g1_downstream(spark, "/root/testdata/sf0.001")
+    assert len(plans) == 1 and "collect_set" not in plans[0]

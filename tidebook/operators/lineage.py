@@ -21,6 +21,14 @@ def edges_of(jobs: DataFrame) -> DataFrame:
     return into.unionByName(out).distinct()
 
 
+def edges_of_uses(uses: DataFrame) -> DataFrame:
+    """src, dst: the edges of jobs that are given as rows of a job ``id``, an ``input`` and an ``output``.  Same edges as those
+    of the jobs' sets, which are not gathered to be taken apart again."""
+    edge = lambda src, dst, of: F.when(F.col(of).isNotNull(), F.struct(F.col(src).alias("src"), F.col(dst).alias("dst")))
+    both = F.array(edge("input", "id", "input"), edge("id", "output", "output"))
+    return uses.select(F.inline(both)).where("src IS NOT NULL OR dst IS NOT NULL").distinct()  # sets hold no nulls
+
+
 def downstream(edges: DataFrame, start: DataFrame) -> DataFrame:
     """id, depth: all nodes that the start nodes (column ``id``) reach, themselves at depth 0."""
     seen = staged(start.select("id").distinct().withColumn("depth", F.lit(0)), "reach")
