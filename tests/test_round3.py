@@ -107,3 +107,26 @@ def test_edges_of_uses_are_those_of_the_jobs(spark, monkeypatch):
     monkeypatch.setattr(catalog, "staged", lambda df, name: plans.append(df._jdf.queryExecution().analyzed().toString()) or written(df, name))
     catalog.g1_downstream(spark, "/root/testdata/sf0.001")
     assert len(plans) == 1 and "collect_set" not in plans[0]
+
+
+def test_a_task_of_the_feed_gets_a_bounded_number_of_orders(spark, monkeypatch):
+    """Orders were dealt to the cores known at that moment: two while a cluster's executors had not come yet."""
+    from tidebook.plans import catalog
+
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
+    monkeypatch.setattr(catalog, "DEALT_ROWS", 100)
+    assert catalog._dealt(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == -(-orders // 100)
+
+
+def test_images_of_strings_are_written_as_their_variants_are(spark):
+    """Members hold kinds and texts, and no variant goes on with each of them."""
+    from tidebook.functions import scalars
+
+    texts = ['{}', r'{"b":"a\"\\\u0001\n/é😀","a":"","é\"":"x"}', '{"a":"1"}', '{"a":1}', '{"a":null}', '{"a":"x","b":{"c":"d"}}', "[1]", '"x"', "null"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.parse_json("t").alias("v"))
+    taken = scalars.members(F.col("v"))
+    assert "variant" not in rows.select(taken).schema.simpleString()
+    out = rows.select("t", F.to_json("v").alias("whole"), F.to_json(F.transform_values(taken, lambda _, m: m["text"])).alias("texts"), scalars.only_texts(taken).alias("only"))
+    got = {r.t: r for r in out.collect()}
+    assert [got[t].only for t in texts] == [True, True, True, False, False, False, None, None, None]
+    assert all(got[t].whole == got[t].texts for t in texts[:3])
