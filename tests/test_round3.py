@@ -125,7 +125,7 @@ def test_images_of_strings_are_written_as_their_variants_are(spark):
     texts = ['{}', r'{"b":"a\"\\\u0001\n/é😀","a":"","é\"":"x"}', '{"a":"1"}', '{"a":1}', '{"a":null}', '{"a":"x","b":{"c":"d"}}', "[1]", '"x"', "null"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.parse_json("t").alias("v"))
     taken = scalars.members(F.col("v"))
-    assert "variant" not in rows.select(taken).schema.simpleString()
+    assert "variant" not in rows.select(taken).schema[0].dataType.simpleString()
     out = rows.select("t", F.to_json("v").alias("whole"), F.to_json(F.transform_values(taken, lambda _, m: m["text"])).alias("texts"), scalars.only_texts(taken).alias("only"))
     got = {r.t: r for r in out.collect()}
     assert [got[t].only for t in texts] == [True, True, True, False, False, False, None, None, None]
