@@ -331,6 +331,50 @@ def test_pairs_of_a_template_grow_with_its_texts(spark, monkeypatch):
     assert made[1600] <= 6 * made[400] + 2016 and made[1600] < 100_000, made
 
 
+def test_pairs_of_long_texts_leave_the_tasks_once(spark, monkeypatch):
+    """Long texts of similarity 0.7 to 0.8 share hundreds of rare shingles and are no near copies; a few have one.  Each pair
+    of them that has to be compared on the full sets is given about once, however many shingles they share and however many
+    texts there are."""
+    rng = np.random.default_rng(31)
+    made, plain = {}, near_dup.candidates
+    monkeypatch.setattr(near_dup, "CROWD", 8)
+    for families in (2, 6):
+        texts = {}
+        for f in range(families):
+            base = [f"f{f}w{k}" for k in range(1200)]
+            for j in range(16):
+                w = list(base)
+                for k in rng.choice(1200, 22, replace=False):
+                    w[k] = f"v{f}x{j}x{k}"
+                texts[100 * f + j] = " ".join(w)
+            texts[100 * f + 50] = texts[100 * f + 7] + " end"
+
+        def counted(*args, families=families):
+            out = staged(plain(*args), "counted")
+            made[families] = out.count(), out.distinct().count()
+            return out
+
+        monkeypatch.setattr(near_dup, "candidates", counted)
+        check_components(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), texts, 4)
+    assert all(pairs > 40 * families and rows <= 2 * pairs for families, (rows, pairs) in made.items()), made
+
+
+def test_classes_without_partners_send_no_shingles(spark, monkeypatch):
+    """Texts that share one passage meet across their components, here pairs of near copies, in fewer chunks than partners do."""
+    sent, plain = [], near_dup.holders
+
+    def counted(crowd):
+        sent.append(crowd.count())
+        return plain(crowd)
+
+    monkeypatch.setattr(near_dup, "CROWD", 8)
+    monkeypatch.setattr(near_dup, "holders", counted)
+    texts = {i: " ".join([f"c{k}" for k in range(36)] + [f"u{i}x{k}" for k in range(84)]) for i in range(200)}
+    texts |= {1000 + i: texts[i] + " end" for i in range(200)}
+    check_components(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), texts, 4)
+    assert len(sent) == 1 and sent[0] < 200, sent
+
+
 @pytest.mark.parametrize("crowd, slots", [(2, 1 << 21), (2, 3)])
 def test_near_duplicates_meet_by_rare_shingles(spark, monkeypatch, crowd, slots):
     """Whatever the order of the shingles, here also that of three slots, no link is lost."""

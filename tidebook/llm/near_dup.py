@@ -11,16 +11,19 @@ similarity is found, whatever the data:
 * classes that hold the same value of a chunk meet in its bucket.  First each bucket's most popular member (the one whose
   chunk values are the most common of all, so the same one in most buckets of a dense group) is compared with the others:
   pairs in proportion to the members, after which a dense group is one component but for its outliers;
-* a bucket that still holds several components compares its members across components inside a task, so only pairs that may
-  link leave it.  In a bucket of at most ``CROWD`` members that is every pair, taken only in the bucket of the first chunk
-  that the two share;
+* a bucket that still holds several components is open.  Partners across components meet in ``SHARED`` open buckets at least,
+  so a class in fewer of them goes.  The others are compared across components inside a task, so only pairs that may link
+  leave it.  In a bucket of at most ``CROWD`` members that is every pair, taken only in the first such bucket of the two;
 * texts of one template crowd its chunks without being near copies, and their pairs would grow with the square.  So members
-  of larger buckets meet by their rarest shingles: with the shingles of all crowded classes in one order, rare ones first,
+  of ``SHARED`` larger buckets (others share a smaller one with any partner) meet by their rarest shingles: with the shingles of all crowded classes in one order, rare ones first,
   sets of similarity ``percent`` share one among the first ``n - percent * n / 100 + 1`` of each (n: the set's size), which
   in a template's texts are their own.  Any order is right; the one taken is that of the counts over all crowded classes by
   slots of the shingles' hashes (``SLOTS`` of them, so the table that tasks need has a bound), and a shingle alone in its
-  slot is nobody's partner.  A pair has to agree in ``SHARED`` chunks here as well.  A bucket of over ``BLOCK`` members is
-  compared block by block; a task holds two blocks at a time.
+  slot is nobody's partner.  A pair has to agree in ``SHARED`` chunks here as well.  Long texts share hundreds of their rare
+  shingles, so each member brings the ``BEFORE`` shingles before that of the bucket, in the common order, and a pair that has
+  one of them in common is left to its bucket: the first shingle that two share has none before it, so no pair is lost, and
+  few are given more than once.  A bucket of over ``BLOCK`` members is compared block by block; a task holds two blocks at a
+  time.
 
 Before a pair leaves the task, its symbols' distance is counted, and a bitmap of each set gives an upper bound of the shared
 shingles (sets of over ``SMALL`` shingles: ``BITS`` one-bit minhashes, with a limit five deviations away).  What is left is
@@ -40,7 +43,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tidebook.llm import bytestext as bt
@@ -53,6 +56,7 @@ SYMBOL_BITS = 16
 CROWD = 64  # members of a chunk's bucket of which all pairs are compared
 SLOTS = 1 << 21  # counts of shingles by hash
 BLOCK = 4096  # members of a bucket that a task compares at once
+BEFORE = 32  # rare shingles before that of a bucket which a member brings along
 BITMAP = 4096  # bits of the map of a set
 SMALL = 500  # shingles of a set that its map is meant for
 BITS, BIT_DISTANCE = 1024, 150
@@ -228,6 +232,13 @@ def open_buckets(rows: DataFrame) -> DataFrame:
     return rows.join(sizes.select("key", "size"), "key")
 
 
+def partnered(rows: DataFrame) -> DataFrame:
+    """Rows (key, rep, comp) in open buckets, of classes that are in ``SHARED`` of them: others have no partner across components."""
+    rows = open_buckets(rows).drop("size")
+    enough = rows.groupBy("rep").agg(F.count("*").alias("m")).where(F.col("m") >= SHARED)
+    return rows.join(enough, "rep", "left_semi")
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Parts of the batches (last column: a list of shingles) of a bounded number of shingles or one row, with the number of
     shingles of each row and all shingles."""
@@ -263,7 +274,8 @@ def holders(crowd: DataFrame) -> np.ndarray:
 
 
 def rarest(crowd: DataFrame, percent: int) -> DataFrame:
-    """rep, comp, key: of each set (rep, comp, shingles) the rarest shingles, of which sets of the similarity share one."""
+    """rep, comp, key, place: of each set (rep, comp, shingles) the rarest shingles, of which sets of the similarity share one,
+    with their places in the order of all."""
     held = crowd.sparkSession.sparkContext.broadcast(holders(crowd))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,29 +287,39 @@ def rarest(crowd: DataFrame, percent: int) -> DataFrame:
             keep = (place < (n - -(-percent * n // 100) + 1)[owner]) & (by[order] > 1)
             key = shingles[order[keep]].view(np.int64) | np.iinfo(np.int64).min  # apart from keys of chunks, which aren't negative
             at = pa.array(owner[keep])
-            yield pa.RecordBatch.from_arrays([rows.column(0).take(at), rows.column(1).take(at), pa.array(key)], ["rep", "comp", "key"])
+            yield pa.RecordBatch.from_arrays([rows.column(0).take(at), rows.column(1).take(at), pa.array(key), pa.array(place[keep])], ["rep", "comp", "key", "place"])
 
-    return crowd.select("rep", "comp", "shingles").mapInArrow(run, "rep long, comp long, key long")
+    return crowd.select("rep", "comp", "shingles").mapInArrow(run, "rep long, comp long, key long, place long")
 
 
 def meetings(able: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Members (key, rep, comp, size, level, chunk) of the buckets whose members are compared: those of chunks (level 1) and
-    of rare shingles (level 0)."""
-    buckets = staged(open_buckets(able.select("rep", "comp", F.explode("keys").alias("key"))), "open")
-    members = buckets.where(F.col("size") > CROWD).select("rep", "comp").distinct()
-    crowd = staged(sets.select("rep", "shingles").join(members, "rep").select("rep", "comp", "shingles"), "crowd")
+    """Members (key, rep, comp, size, level, chunk, small, before) of the buckets whose members are compared: those of chunks
+    (level 1) and of rare shingles (level 0).  ``small`` has a bit for each chunk whose bucket of the member is compared at
+    level 1; ``before`` has the rare shingles before ``key``."""
+    buckets = staged(open_buckets(partnered(able.select("rep", "comp", F.explode("keys").alias("key")))), "open")
+    chunk, crowded = F.shiftright("key", 32).cast("int"), F.col("size") > CROWD
+    marks = buckets.groupBy("rep").agg(F.sum(F.when(crowded, 0).otherwise(F.expr("shiftleft(1L, cast(shiftright(key, 32) as int))"))).alias("small"), F.count_if(crowded).alias("crowds"))
+    members = marks.where(F.col("crowds") >= SHARED).select("rep")
+    crowd = staged(sets.select("rep", "shingles").join(members, "rep").join(able.select("rep", "comp"), "rep").select("rep", "comp", "shingles"), "crowd")
     rare = staged(rarest(crowd, percent), "rare")
     unstage(crowd)
-    small = buckets.where(F.col("size") <= CROWD).select("key", "rep", "comp", "size", F.lit(1).alias("level"), F.shiftright("key", 32).cast("int").alias("chunk"))
-    return small.unionByName(open_buckets(rare).select("key", "rep", "comp", "size", F.lit(0).alias("level"), F.lit(CHUNKS).alias("chunk")))
+    small = buckets.where(~crowded).select("key", "rep", "comp", "size", F.lit(1).alias("level"), chunk.alias("chunk"), F.array().cast("array<long>").alias("before"))
+    earlier = F.collect_list("key").over(Window.partitionBy("rep").orderBy("place").rowsBetween(-BEFORE, -1))
+    rows = small.unionByName(open_buckets(rare).select("key", "rep", "comp", "size", F.lit(0).alias("level"), F.lit(CHUNKS).alias("chunk"), earlier.alias("before")))
+    return rows.join(marks.select("rep", "small"), "rep").select("key", "rep", "comp", "size", "level", "chunk", "small", "before")
 
 
 def across(able: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (u, v) across components that may link; ``able`` has rep, comp and keys."""
+    return candidates(able, sets, percent).distinct()
+
+
+def candidates(able: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``across`` as it leaves the tasks: a pair with two rare shingles in common may come more than once."""
     rows = meetings(able, sets, percent)
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "comp", "rep", "level", "chunk")
+    rows = rows.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "comp", "rep", "level", "chunk", "small", "before")
     rows = rows.join(sets.select("rep", "n", "chunks", "sketch"), "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,9 +338,9 @@ def across(able: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         if held:
             yield from compare(held, percent)
 
-    columns = ["key", "low", "high", "block", "comp", "rep", "level", "chunk", "n", "chunks", "sketch"]
+    columns = ["key", "low", "high", "block", "comp", "rep", "level", "chunk", "small", "before", "n", "chunks", "sketch"]
     dealt = rows.select(*columns).repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "block", "comp")
-    return dealt.mapInArrow(run, "u long, v long").distinct()
+    return dealt.mapInArrow(run, "u long, v long")
 
 
 def compare(batches: list[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -328,11 +350,21 @@ def compare(batches: list[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBa
     if not rows:
         return
     column = lambda name: table.column(name).combine_chunks()
-    key, low, high, block, comp, rep, level, chunk, n = (column(c).to_numpy() for c in ("key", "low", "high", "block", "comp", "rep", "level", "chunk", "n"))
+    key, low, high, block, comp, rep, level, chunk, small, n = (column(c).to_numpy() for c in ("key", "low", "high", "block", "comp", "rep", "level", "chunk", "small", "n"))
     chunks = column("chunks").flatten().to_numpy().reshape(rows, CHUNKS)
     symbols = chunks.view(np.uint16)
     sketch = np.frombuffer(b"".join(column("sketch").to_pylist()), np.uint64).reshape(rows, -1)
     n_map = BITMAP // 64
+    in_small = (small[:, None] >> np.arange(CHUNKS) & 1).astype(bool)
+    n_before = pc.list_value_length(column("before")).to_numpy()
+    all_before = np.append(column("before").flatten().to_numpy(), 0)
+    at_before = np.cumsum(n_before) - n_before
+
+    def before(at: np.ndarray, fill: int) -> np.ndarray:
+        """The rare shingles that the rows bring along, filled up to the same number."""
+        k = np.arange(BEFORE)
+        there = k < n_before[at][:, None]
+        return np.where(there, all_before[np.where(there, at_before[at][:, None] + k, -1)], fill)
 
     def run_ends(*by: np.ndarray) -> np.ndarray:
         """For each row the end of its run of equal values."""
@@ -352,8 +384,8 @@ def compare(batches: list[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBa
         keep = (comp[u] != comp[v]) & (100 * np.minimum(n[u], n[v]) >= percent * np.maximum(n[u], n[v]))
         u, v = u[keep], v[keep]
         same = chunks[u] == chunks[v]
-        shared = (same & (np.arange(CHUNKS) <= chunk[u][:, None])).sum(1)
-        keep = np.where(level[u] == 1, shared == 1, shared >= SHARED)
+        met = (same & in_small[u] & (np.arange(CHUNKS) <= chunk[u][:, None])).sum(1)  # up to this one, if it is small
+        keep = np.where(level[u] == 1, met == 1, (met == 0) & (same.sum(1) >= SHARED))
         u, v = u[keep], v[keep]
         keep = (symbols[u] != symbols[v]).sum(1) <= DISTANCE
         u, v = u[keep], v[keep]
@@ -365,6 +397,9 @@ def compare(batches: list[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBa
         most = (total - apart) // 2  # no more shingles are shared
         keep[~large] = 100 * most >= percent * (total - most)
         keep[large] = np.bitwise_count(sketch[u[large], n_map:] ^ sketch[v[large], n_map:]).sum(1, dtype=np.int64) <= BIT_DISTANCE
+        u, v = u[keep], v[keep]
+        # left to the bucket of a rare shingle before; keys are negative
+        keep = ~(before(u, 0)[:, :, None] == before(v, 1)[:, None, :]).any((1, 2))
         u, v = rep[u[keep]], rep[v[keep]]
         if len(u):
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
