@@ -1,19 +1,21 @@
-"""Quality checks generated from the contracts: each is one lazy row with a number, and all run as one job.
+"""Quality checks generated from the contracts: each is one lazy row with a number, and they run in turn.
 
 A check passes when its number is at most its threshold; no number is ``no_data``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidebook.functions.scalars import any_of, seconds_between
 from tidebook.operators.percentiles import percentiles
 from tidebook.operators.state import live
 from tidebook.plans.contracts import Registry
+from tidebook.sources.staging import short_shuffles
 
 RECONCILE_GRACE_SECONDS, FRESH_MINUTES = 120, 60
+CHECK_SCHEMA = "check_id string, dataset string, category string, severity string, status string, value double, threshold double, unit string"
 
 
 def _row(value: DataFrame, check: str, dataset: str, category: str, severity: str, threshold: float = 0.0, unit: str = "rows") -> DataFrame:
@@ -116,8 +118,8 @@ def freshness_check(registry: Registry, name: str, bronze: DataFrame, as_of: Col
     return _row(p95, f"{name}.freshness_p95", name, "freshness", "warning", c.p95_seconds, "seconds")
 
 
-def build_checks(registry: Registry, tables: dict[str, DataFrame], bronze: DataFrame, letters: DataFrame, sources: dict[str, DataFrame], as_of: Column, exact: bool = False) -> DataFrame:
-    """All checks as one DataFrame; the list follows from the contracts.  Each input is read by several checks, so pass
+def row_checks(registry: Registry, tables: dict[str, DataFrame], sources: dict[str, DataFrame], as_of: Column) -> list[DataFrame]:
+    """The checks of current-state tables; the list follows from the contracts.  Each table is read by several checks, so pass
     tables that lie written rather than plans that are long to compute."""
     out: list[DataFrame] = []
     for name in registry.names:
@@ -125,14 +127,26 @@ def build_checks(registry: Registry, tables: dict[str, DataFrame], bronze: DataF
             out += contract_checks(registry, name, tables[name])
             if name in sources:
                 out.append(reconciliation_check(registry, name, tables[name], sources[name], as_of))
-            out.append(freshness_check(registry, name, bronze, as_of, exact))
-    out += reference_checks(registry, tables, as_of)
+    return out + reference_checks(registry, tables, as_of)
+
+
+def event_checks(registry: Registry, names: list[str], bronze: DataFrame, letters: DataFrame, as_of: Column, exact: bool = False) -> list[DataFrame]:
+    """The checks of the named contracts' events and of the dead letters; ``bronze`` is read by several, like a table above."""
+    out = [freshness_check(registry, name, bronze, as_of, exact) for name in registry.names if name in names]
     out.append(_row(repeated_keys(bronze, "event_id"), "bronze.event_id_unique", "bronze", "uniqueness", "critical"))
     out.append(_row(count_where(letters, F.col("status") == "open"), "dlq.open_records", "dlq", "dead_letters", "warning"))
-    every = out[0]
-    for x in out[1:]:
-        every = every.unionByName(x)
-    return every
+    return out
+
+
+def run_in_turn(checks: list[DataFrame]) -> list[Row]:
+    """The checks' rows, each check run on its own: the shuffles of one check at a time lie on disk.  One that fails, fails all;
+    ``safe_checks`` reports it."""
+    with short_shuffles(checks[0].sparkSession):
+        return [r for check in checks for r in check.select("*").collect()]  # a few rows a check; selected, so made in here
+
+
+def as_table(spark: SparkSession, rows: list[Row]) -> DataFrame:
+    return spark.createDataFrame(rows, CHECK_SCHEMA)
 
 
 def run_checks(checks: DataFrame, run_id: str, run_at: Column, runner: str = "batch") -> DataFrame:
