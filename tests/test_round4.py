@@ -60,3 +60,9 @@ def test_checks_leave_nothing_on_disk(spark):
 
     assert not _left_behind(spark, catalog.q_checks)
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_the_verdict_leaves_nothing_on_disk(spark):
+    from tidebook.plans import catalog
+
+    assert not _left_behind(spark, catalog.q11_verdict)
